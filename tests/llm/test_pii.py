@@ -1,0 +1,79 @@
+import hashlib
+import random
+import re
+
+from cutplan.llm import pii
+
+KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(s):
+    total = 0
+    for i, c in enumerate(reversed(s)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def brute(text):
+    spans = []
+    for no, (kind, pattern) in enumerate(KINDS.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": lambda: True,
+                "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")),
+                "card": lambda: 14 <= len(d) <= 19 and luhn(d),
+                "phone": lambda: 10 <= len(d) <= 15,
+            }[kind]()
+            if ok:
+                spans.append((m.start(), no, m.end(), kind))
+    return sorted(spans)
+
+
+EDGE = [
+    None,
+    "",
+    "a@b.cd%x@e.f and 1.2.3.4.5.6.7.8",
+    "x@y.z@w.q a.b@c",
+    "4111 1111 1111 1111 é 4111-1111-1111-1112",
+    "+1 (555) 123-4567. call +49 30 1234567",
+    "ip 256.1.1.1 or 010.0.0.255, 1.1.1.1.",
+    "9" * 20000,
+    "a" * 20000 + "@",
+    "1.2.3." * 3000,
+    "𝒳 mail me@x.org 𝒴 +123456789012",
+]
+
+
+def test_base_spans_equal_brute_force(spark):
+    rng = random.Random(5)
+    alphabet = ["a", "b1", "@", ".", "4111111111111111", "+1", " ", "-", "25", "300", "x.y", "(", ")", "é", "\n"]
+    texts = EDGE + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.digest(docs).collect():
+        want = brute(texts[r.doc_id])
+        line = ",".join(f"{k}:{s}:{e}" for s, _, e, k in want)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest(), texts[r.doc_id][:200]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[3] == k for x in want) for k in KINDS]
+        assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
+
+
+def test_iban_checksum_and_context(spark):
+    texts = ["bank account GB82 WEST 1234 5698 7654 32 ok", "GB82 WEST 1234 5698 7654 33", "my social security 123-45-6789", "part 123-45-6789"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digest(docs).collect()}
+    assert "iban:13:40" in got[0] and "iban" not in got[1]
+    assert "ssn" in got[2] and "ssn" not in got[3]
+
+
+def test_redaction_clashing_columns_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, "to a@b.cd now", "x")], "doc_id long, text string, pii string")
+    row = pii.redact(pii.find_pii(docs)).first()
+    assert row.redacted == "to [email] now"
+    assert pii.digest(docs.limit(0)).count() == 0
