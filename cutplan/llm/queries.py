@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutplan.llm import chat, line_dedup, near_dedup, pii
+from cutplan.llm import chat, decontaminate, line_dedup, near_dedup, pii
 from cutplan.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
         "op3_near_dedup": lambda spark, d: near_dedup.digest(table(spark, d, "documents")),
         "op6_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
+        "op7_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op8_chat": lambda spark, d: chat.digest(table(spark, d, "conversations")),
     }
 
@@ -25,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.ORACLE,
         "op3_near_dedup": near_dedup.ORACLE,
+        "op7_decontaminate": decontaminate.ORACLE,
         "op8_chat": chat.ORACLE,
     }
