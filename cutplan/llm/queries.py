@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutplan.llm import chat, decontaminate, line_dedup, near_dedup, pii, substring_dedup
+from cutplan.llm import chat, decontaminate, line_dedup, near_dedup, ogg, pii, substring_dedup
 from cutplan.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op6_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
         "op7_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op8_chat": lambda spark, d: chat.digest(table(spark, d, "conversations")),
+        "op9_ogg": lambda spark, d: ogg.digest(table(spark, d, "documents")),
         "op10_substring_dedup": lambda spark, d: substring_dedup.digest(table(spark, d, "documents")),
     }
 
