@@ -5,7 +5,8 @@
 2. A band's bucket links each member with the bucket's first member only (a star, so a bucket of m
    gives m-1 pairs).  Signatures of a pair are compared in batches; after each batch the pair is
    dropped once the posterior probability of a similarity at the threshold is below `miss`.
-   Survivors are verified on full sets.
+   Survivors are verified on full sets.  A sixth of the bands comes first; stars of the others are
+   needed only where the components found by then still differ.
 3. Components follow by minimum labels with pointer jumping.  A bucket with members in several
    components isn't settled: its members are compared across components in blocks of bounded size,
    by signature first, and what survives is verified too, so every pair in a bucket is decided.
@@ -276,7 +277,7 @@ def near_duplicates(
         f"{folder}/classes",
     )
     keyed = classes.select("set_id", "rep", F.posexplode("bands").alias("band", "key")).select(
-        "set_id", "rep", F.xxhash64("band", "key").alias("bucket")
+        "set_id", "rep", "band", F.xxhash64("band", "key").alias("bucket")
     )
     firsts = (
         keyed.groupBy("bucket")
@@ -284,16 +285,36 @@ def near_duplicates(
         .where("m > 1")
         .select("bucket", F.col("first.set_id").alias("a"))
     )
-    buckets = saved(keyed.join(firsts, "bucket").select("bucket", "set_id", "a"), f"{folder}/buckets")
-    stars = buckets.where(F.col("a") != F.col("set_id")).select("a", F.col("set_id").alias("b")).distinct()
-    links = saved(verify(saved(prune(stars, classes, scheme), f"{folder}/star"), docs, classes, scheme, doc_id, text), f"{folder}/star-links")
+    buckets = saved(keyed.join(firsts, "bucket").select("bucket", "band", "set_id", "a"), f"{folder}/buckets")
     nodes = classes.select("set_id", "rep")
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        left = saved(prune(pairs, classes, scheme), f"{folder}/{name}")
+        return saved(verify(left, docs, classes, scheme, doc_id, text), f"{folder}/{name}-links")
+
+    early = max(1, scheme.bands // 6)
+    stars = buckets.where(F.col("a") != F.col("set_id")).select("band", "a", F.col("set_id").alias("b"))
+    links = checked(stars.where(F.col("band") < early).select("a", "b").distinct(), "early")
     labels = components(nodes, links, f"{folder}/first")
+    root = labels.select("set_id", F.col("label.set_id").alias("root"))
+    apart = (
+        stars.where(F.col("band") >= early)
+        .select("a", "b")
+        .distinct()
+        .join(root.select(F.col("set_id").alias("a"), F.col("root").alias("root_a")), "a", "left")
+        .join(root.select(F.col("set_id").alias("b"), F.col("root").alias("root_b")), "b", "left")
+        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        .select("a", "b")
+    )
+    late = checked(apart, "late")
+    if not late.isEmpty():
+        links = links.union(late)
+        labels = components(nodes, links, f"{folder}/second")
     extra = saved(open_pairs(buckets.select("bucket", "set_id"), labels, classes, scheme, block), f"{folder}/open")
     if not extra.isEmpty():
         more = verify(extra, docs, classes, scheme, doc_id, text)
         links = links.union(saved(more, f"{folder}/open-links"))
-        labels = components(nodes, links, f"{folder}/second")
+        labels = components(nodes, links, f"{folder}/third")
     roots = classes.select("set_id", "rep").join(labels, "set_id", "left")
     roots = roots.select("set_id", F.coalesce("label.rep", "rep").alias("root"))
     done = signs.select("doc_id", "n_shingles", "set_id").join(roots, "set_id", "left")
