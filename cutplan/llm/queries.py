@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutplan.llm import chat, decontaminate, language, line_dedup, near_dedup, ogg, pii, substring_dedup
+from cutplan.llm import chat, decontaminate, language, line_dedup, near_dedup, ogg, packing, pii, quality, substring_dedup
 from cutplan.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,8 @@ def queries() -> dict[str, Query]:
         "op1_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
         "op2_language": lambda spark, d: language.digest(table(spark, d, "documents")),
         "op3_near_dedup": lambda spark, d: near_dedup.digest(table(spark, d, "documents")),
+        "op4_packing": lambda spark, d: packing.digest(table(spark, d, "documents")),
+        "op5_quality": lambda spark, d: quality.digest(table(spark, d, "documents"), table(spark, d, "labels")),
         "op6_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
         "op7_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op8_chat": lambda spark, d: chat.digest(table(spark, d, "conversations")),
