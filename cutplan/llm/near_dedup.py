@@ -9,7 +9,8 @@
    needed only where the components found by then still differ.
 3. Components follow by minimum labels with pointer jumping.  A bucket with members in several
    components isn't settled: its members are compared across components in blocks of bounded size,
-   by signature first, and what survives is verified too, so every pair in a bucket is decided.
+   by signature and then on full sets within the task, so every pair in a bucket is decided and only
+   links leave it.
 
 Bands follow from `threshold`: with r rows, the least b with (1 - threshold**r)**b <= `band_miss`.
 Hot keys: copies collapse to a class before banding, stars and labels are pre-aggregated, pairs are
@@ -35,6 +36,8 @@ from cutplan.llm import kernels as K
 from cutplan.llm.shared import saved, shuffle_width, work_dir
 
 U32 = np.uint32
+#: Shingles that the members of one block of a bucket may have together.
+BLOCK_SHINGLES = 2_000_000
 
 
 def band_count(threshold: float, rows: int, band_miss: float) -> int:
@@ -213,43 +216,91 @@ def components(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
             return labels
 
 
-def open_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, scheme: Scheme, block: int) -> DataFrame:
-    """Pairs across components within a bucket that pass the sequential comparison, found block by block.
+def shared_counts(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets, for rows (i, j) of `pairs`."""
+    if len(pairs) < 2000:
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs], np.int64)
+    used = np.unique(pairs)
+    owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    column = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(used), len(used)), np.float32)
+    for low in range(0, int(column[-1]) + 1, 4096):  # columns of the membership matrix, a slice at a time
+        part = slice(*np.searchsorted(column, [low, low + 4096]))
+        member = np.zeros((len(used), 4096), np.float32)
+        member[owner[part], column[part] - low] = 1
+        common += member @ member.T
+    at = np.searchsorted(used, pairs)
+    return common[at[:, 0], at[:, 1]].astype(np.int64)
+
+
+def decide_group(group: pd.DataFrame, scheme: Scheme) -> list[tuple[bytes, bytes]]:
+    """Links across components within one block, or between two blocks, of a bucket.
+
+    A pair that also shares a bucket of an earlier band is decided there.
+    """
+    group = group.drop_duplicates(["set_id", "text"])
+    texts, sets = [t.encode() for t in group["text"]], []
+    for lo, hi in K.blocks(texts):
+        hashed, _, _, bounds = K.words(texts[lo:hi], K.NOT_SPACE)
+        sets += [K.shingles(hashed[bounds[i] : bounds[i + 1]], scheme.words) for i in range(hi - lo)]
+    right = [k for k, (s, x) in enumerate(zip(sets, group["set_id"], strict=True)) if K.digest16(s.tobytes()) == x]
+    group, sets = group.iloc[right], [sets[k] for k in right]
+    ids, slot, band = group["set_id"].to_numpy(), group["slot"].to_numpy(), group["band"].iloc[0] if len(group) else 0
+    sigs = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(len(group), scheme.hashes)
+    keys = np.array(group["bands"].tolist(), np.int64).reshape(len(group), scheme.bands)[:, :band]
+    root = pd.factorize(group["root"])[0]
+    sizes = np.array([len(s) for s in sets])
+    apart = len(group) > 0 and group["s0"].iloc[0] != group["s1"].iloc[0]
+    found = []
+    for i in range(len(group) - 1):
+        rest = np.arange(i + 1, len(group))
+        rest = rest[(root[rest] != root[i]) & ((slot[rest] != slot[i]) if apart else True)]
+        small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+        rest = rest[100 * small >= scheme.percent * large]
+        rest = rest[~(keys[rest] == keys[i]).any(1)]
+        rest = rest[scheme.alike(np.broadcast_to(sigs[i], (len(rest), scheme.hashes)), sigs[rest])]
+        found.append(np.stack([np.full(len(rest), i), rest], 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    common = shared_counts(sets, pairs)
+    ok = pairs[100 * common >= scheme.percent * (sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - common)]
+    return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in ok]
+
+
+def open_links(
+    buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, scheme: Scheme, block: int, doc_id: str, text: str
+) -> DataFrame:
+    """Links across components within a bucket, found and verified block by block.
 
-    Members of a bucket get a block number by hash, about `block` a number; each two numbers are one group.
+    Members of a bucket get a block number by hash, `block` members or `BLOCK_SHINGLES` shingles to a
+    number; each two numbers are one group, so a group's size doesn't grow with its bucket.
     """
     marked = buckets.join(labels.select("set_id", F.col("label.set_id").alias("root")), "set_id", "left").withColumn(
         "root", F.coalesce("root", "set_id")
     )
     unsettled = (
         marked.groupBy("bucket")
-        .agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m"))
+        .agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
         .where((F.col("r0") != F.col("r1")) & (F.col("m") > 2))
     )
-    slots = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
+    slots = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     members = (
         marked.join(unsettled.select("bucket", slots.alias("slots")), "bucket")
         .withColumn("slot", F.pmod(F.xxhash64("set_id"), "slots").cast("int"))
-        .join(classes.select("set_id", "sig"), "set_id")
+        .select("bucket", "band", "set_id", "root", "slot", "slots")
     )
-    dealt = members.select(
-        "bucket", "slot", "set_id", "root", "sig", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other")
-    ).select(
-        "bucket", "set_id", "root", "sig", "slot", F.least("slot", "other").alias("s0"), F.greatest("slot", "other").alias("s1")
+    needed = members.select("set_id").distinct().join(classes.select("set_id", "rep", "sig", "bands"), "set_id")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    full = rows.join(needed, rows.doc_id.eqNullSafe(needed.rep)).select("set_id", "sig", "bands", "text")
+    dealt = (
+        members.join(full, "set_id")
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other"))
+        .select("bucket", "band", "set_id", "root", "sig", "bands", "slot", "text", F.least("slot", "other").alias("s0"), F.greatest("slot", "other").alias("s1"))
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sigs = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(len(group), scheme.hashes)
-        roots = pd.factorize(group["root"])[0]
-        slot = group["slot"].to_numpy()
-        ids, found = group["set_id"].to_numpy(), []
-        apart = group["s0"].iloc[0] != group["s1"].iloc[0]
-        for i in range(len(group) - 1):
-            rest = np.arange(i + 1, len(group))
-            rest = rest[(roots[rest] != roots[i]) & ((slot[rest] != slot[i]) if apart else True)]
-            rest = rest[scheme.alike(np.broadcast_to(sigs[i], (len(rest), scheme.hashes)), sigs[rest])]
-            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in rest]
-        return pd.DataFrame(found, columns=["a", "b"])
+        return pd.DataFrame(decide_group(group, scheme), columns=["a", "b"])
 
     return dealt.groupBy("bucket", "s0", "s1").applyInPandas(compare, "a binary, b binary").distinct()
 
@@ -273,11 +324,11 @@ def near_duplicates(
     classes = saved(
         signs.where(F.col("set_id").isNotNull())
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
         f"{folder}/classes",
     )
-    keyed = classes.select("set_id", "rep", F.posexplode("bands").alias("band", "key")).select(
-        "set_id", "rep", "band", F.xxhash64("band", "key").alias("bucket")
+    keyed = classes.select("set_id", "rep", "n", F.posexplode("bands").alias("band", "key")).select(
+        "set_id", "rep", "n", "band", F.xxhash64("band", "key").alias("bucket")
     )
     firsts = (
         keyed.groupBy("bucket")
@@ -285,7 +336,7 @@ def near_duplicates(
         .where("m > 1")
         .select("bucket", F.col("first.set_id").alias("a"))
     )
-    buckets = saved(keyed.join(firsts, "bucket").select("bucket", "band", "set_id", "a"), f"{folder}/buckets")
+    buckets = saved(keyed.join(firsts, "bucket").select("bucket", "band", "set_id", "n", "a"), f"{folder}/buckets")
     nodes = classes.select("set_id", "rep")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
@@ -310,11 +361,10 @@ def near_duplicates(
     if not late.isEmpty():
         links = links.union(late)
         labels = components(nodes, links, f"{folder}/second")
-    extra = saved(open_pairs(buckets.select("bucket", "set_id"), labels, classes, scheme, block), f"{folder}/open")
-    if not extra.isEmpty():
-        more = verify(extra, docs, classes, scheme, doc_id, text)
-        links = links.union(saved(more, f"{folder}/open-links"))
-        labels = components(nodes, links, f"{folder}/third")
+    members = buckets.select("bucket", "band", "set_id", "n")
+    more = saved(open_links(members, labels, classes, docs, scheme, block, doc_id, text), f"{folder}/open")
+    if not more.isEmpty():
+        labels = components(nodes, links.union(more), f"{folder}/third")
     roots = classes.select("set_id", "rep").join(labels, "set_id", "left")
     roots = roots.select("set_id", F.coalesce("label.rep", "rep").alias("root"))
     done = signs.select("doc_id", "n_shingles", "set_id").join(roots, "set_id", "left")
