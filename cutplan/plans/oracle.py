@@ -133,6 +133,7 @@ def oracle_sql() -> dict[str, str]:
             upto="r0",
         ),
         "delete_mask": _sql("SELECT * FROM del", upto="del"),
+        "delete_mask_joined": _sql("SELECT * FROM del", upto="del"),
         "deletes_from_list": _sql(
             """SELECT video_id, frame_idx, EXISTS (SELECT 1 FROM events e WHERE e.user_id = fr.video_id AND e.event_id % 120 = fr.frame_idx) AS deleted FROM fr""",
             upto="fr",

@@ -16,6 +16,7 @@ from cutplan.operators import mask as M
 from cutplan.operators import outputs as O
 from cutplan.operators import scoring as B
 from cutplan.operators import segments as S
+from cutplan.plans import fused
 from cutplan.sources import frames as A
 from cutplan.sources.params import resolve_params
 
@@ -38,8 +39,7 @@ class Plan:
         self.mask = M.pause_mask(M.pause_activity(frames, MOTION), F.lit(STILL))
         self.trims = trim_edits(self.clips)
         self.trimmed = E.apply_trim_edits(self.clips, self.trims)
-        self.base = D.base_deletes(frames, self.pauses, self.mask, self.trimmed)
-        self.deleted = D.delete_mask(self.base, factor_02=FACTOR)
+        self.base, self.deleted = fused.delete_mask(frames, self.trimmed, STILL, MOTION, BOUNDARY, FACTOR)
         self.ranges = O.kept_ranges(self.deleted)
         self.cuts = O.cut_list(self.ranges, F.lit(FPS))
 
@@ -239,6 +239,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clip_deletes": _events(lambda p: D.clip_deletes(p.frames, p.trimmed)),
         "speedup_deletes": _events(lambda p: D.speedup_deletes(p.frames.select("video_id", "frame_idx", "state", F.lit(False).alias("deleted")), 4, F.lit(FACTOR), F.lit(True))),
         "delete_mask": _events(lambda p: p.deleted),
+        "delete_mask_joined": _events(lambda p: D.delete_mask(D.base_deletes(p.frames, p.pauses, p.mask, p.trimmed), factor_02=FACTOR)),
         "deletes_from_list": _listed,
         "kept_ranges": _events(lambda p: p.ranges),
         "skip_ranges": _events(lambda p: O.skip_ranges(p.pauses, p.mask, p.trimmed)),
