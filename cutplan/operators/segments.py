@@ -9,21 +9,45 @@ from pyspark.sql import functions as F
 from cutplan.functions.frames import PAUSE, mean_abs_diff
 
 
-def islands(rows: DataFrame, keys: list[str], order: str, values: list[str], start: str = "run_start", end: str = "run_end") -> DataFrame:
+def islands(
+    rows: DataFrame, keys: list[str], order: str, values: list[str], start: str = "run_start", end: str = "run_end", block: int | None = None
+) -> DataFrame:
     """Adds the first and last `order` of the run of equal `values` that a row is in.
 
     `order` is dense within a run: row number in (keys, values) less `order` is constant on it.  All
-    windows start with `keys`, so one exchange serves them.
+    windows start with `keys`, so one exchange serves them.  With `block`, windows end at every `block`
+    of `order` and runs are put together on the table of their parts, so that one key with a large
+    share of all rows is spread over tasks.
     """
-    ranked = W.partitionBy(*keys, *values).orderBy(order)
-    group = F.col(order) - F.row_number().over(ranked)
-    run = W.partitionBy(*keys, *values, "_group")
-    return (
-        rows.withColumn("_group", group)
+    scope = keys
+    if block:
+        rows, scope = rows.withColumn("_block", F.floor(F.col(order) / block)), [*keys, "_block"]
+    ranked = W.partitionBy(*scope, *values).orderBy(order)
+    run = W.partitionBy(*scope, *values, "_group")
+    marked = (
+        rows.withColumn("_group", F.col(order) - F.row_number().over(ranked))
         .withColumn(start, F.min(order).over(run))
         .withColumn(end, F.max(order).over(run))
         .drop("_group")
     )
+    if not block:
+        return marked
+    parts = marked.groupBy(*scope, *values, start).agg(F.max(end).alias("_e"))
+    along = W.partitionBy(*keys).orderBy(start)
+    same = F.lag("_e").over(along) == F.col(start) - 1
+    for v in values:
+        same &= F.lag(v).over(along).eqNullSafe(F.col(v))
+    numbered = parts.withColumn("_n", F.sum(F.when(same, 0).otherwise(1)).over(along))
+    whole = W.partitionBy(*keys, "_n")
+    found = numbered.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(scope)],
+        F.col(start).alias("_s"),
+        F.min(start).over(whole).alias("_first"),
+        F.max("_e").over(whole).alias("_last"),
+    )
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(scope)] + [F.col(start) == F.col("_s")]
+    joined = marked.join(found, on).withColumn(start, F.col("_first")).withColumn(end, F.col("_last"))
+    return joined.drop("_block", "_s", "_first", "_last", *[f"_k{i}" for i in range(len(scope))])
 
 
 def state_runs(frames: DataFrame, block: int = 100_000) -> DataFrame:

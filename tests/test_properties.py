@@ -93,6 +93,14 @@ def test_runs_masks_decimation_and_ranges(spark):
         assert to == next((j for j in range(i, len(gone[v])) if not gone[v][j]), len(gone[v]))
 
 
+def test_islands_in_blocks_equal_plain_ones(spark):
+    f = table(spark, videos(4, 20)).select("video_id", "frame_idx", "state")
+    plain = segments.islands(f, ["video_id"], "frame_idx", ["state"])
+    split = segments.islands(f, ["video_id"], "frame_idx", ["state"], block=5)
+    assert split.columns == plain.columns
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
+
+
 def test_pauses_and_clips_cover_each_video(spark):
     data = videos(2, 40)
     f = table(spark, data)
