@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutplan.llm import kernels as K
+from cutplan.llm.shared import with_column
 
 
 class Automaton:
@@ -205,7 +206,7 @@ def match_items(docs: DataFrame, items: Items, text: str, out: str) -> DataFrame
     broadcast = docs.sparkSession.sparkContext.broadcast(items)
     names = [c for c in docs.columns if c != out]
     at = names.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields) + f", `{out}` {RESULT}"
+    schema = with_column(docs.select(*names), out, RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

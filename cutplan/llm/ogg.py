@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cutplan.llm import kernels as K
+from cutplan.llm.shared import with_column
 
 PACKET, RATE, STREAMS = 1000, 8000, 2
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -176,7 +177,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame
     """All columns of `docs` plus `out`, the Ogg file of the text's padded UTF-8 bytes."""
     names = [c for c in docs.columns if c != out]
     at = names.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields) + f", `{out}` binary"
+    schema = with_column(docs.select(*names), out, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

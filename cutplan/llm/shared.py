@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: `[\x20\x09-\x0D]`, the white space of every text contract here.
 SPACE = " \t\n\x0b\x0c\r"
@@ -48,5 +49,6 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % F.lit(n)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def with_column(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """The schema of `df` and one more column, of a type in DDL."""
+    return T.StructType([*df.schema.fields, T.StructField(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType)])
