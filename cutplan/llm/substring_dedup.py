@@ -293,7 +293,7 @@ def remove_repeats(
     text: str = "text",
     length: int = 400,
     gram: int = 160,
-    shard_bytes: int = 2 << 20,
+    shard_bytes: int = 1 << 20,
     max_contexts: int = 4000,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), one row per row of `docs`."""
