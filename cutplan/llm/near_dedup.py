@@ -202,17 +202,18 @@ def components(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     step = 0
     while True:
         step += 1
-        spread = both.join(labels.withColumnRenamed("set_id", "a"), "a").select(F.col("b").alias("set_id"), "label")
-        least = labels.union(spread).groupBy("set_id").agg(F.min("label").alias("label"))
+        spread = both.join(labels.withColumnRenamed("set_id", "a"), "a").select(F.col("b").alias("set_id"), "label", F.lit(None).alias("old"))
+        known = labels.select("set_id", "label", F.col("label").alias("old"))
+        least = known.union(spread).groupBy("set_id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = labels.select(F.col("set_id").alias("t"), F.col("label").alias("far"))
         moved = (
             least.join(jump, F.col("label.set_id") == F.col("t"), "left")
-            .select("set_id", F.least("label", F.coalesce("far", "label")).alias("label"))
+            .select("set_id", F.least("label", F.coalesce("far", "label")).alias("label"), "old")
+            .select("set_id", "label", (F.col("label") != F.col("old")).alias("moved"))
         )
         new = saved(moved, f"{folder}/labels-{step}")
-        changed = new.withColumnRenamed("label", "new").join(labels, "set_id").where(F.col("new") != F.col("label")).limit(1).count()
-        labels = new
-        if not changed:
+        labels = new.drop("moved")
+        if new.where("moved").isEmpty():
             return labels
 
 
