@@ -126,28 +126,34 @@ def dedup_lines(
     lines = hashed_lines(docs, doc_id, text, min_chars)
     alive = runs.survivors(lines, min_docs).groupBy("d", "tag").agg(F.collect_set("pos").alias("_alive"))
 
-    pieces = docs.select(
-        F.struct("*").alias("_row"),
-        _rank(F.col(doc_id)).alias("d"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"),
-    )
+    names = docs.columns
+    held = [f"_c{i}" for i in range(len(names))]
+    body = F.coalesce(F.col(held[names.index(text)]), F.lit(""))
+    pieces = docs.toDF(*held).withColumn("d", _rank(F.col(held[names.index(doc_id)]))).withColumn("tag", F.xxhash64(body))
     joined = pieces.join(alive, ["d", "tag"], "left")
-    body = F.split(F.coalesce(F.col("_row")[text], F.lit("")), "\n")
+    # `once` keeps a value from being put into the lambdas that use it, where it would be made for every line
+    lined = joined.select(*held, "_alive", once(F.split(body, "\n")).alias("_lines"))
     numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
-    lined = joined.withColumn("_lines", body)
     long_pos = F.filter(
         numbers,
         lambda i: (F.char_length(F.get("_lines", i)) >= min_chars) & (F.char_length(line_key(F.get("_lines", i))) >= min_chars),
     )
     dropped = F.array_except(long_pos, F.coalesce("_alive", F.array().cast("array<int>")))
-    lined = lined.withColumn("_gone", dropped)
-    kept = F.when(F.size("_gone") == 0, F.coalesce(F.col("_row")[text], F.lit(""))).otherwise(
+    lined = lined.select(*held, "_lines", once(dropped).alias("_gone"))
+    kept = F.when(F.size("_gone") == 0, body).otherwise(
         F.array_join(F.transform(F.array_except(numbers, F.col("_gone")), lambda i: F.get("_lines", i)), "\n")
     )
     result = F.struct(
         F.size("_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_dropped"), kept.alias("kept")
     )
-    return lined.select("_row", result.alias("_out")).select("_row.*", "_out").withColumn(out, F.col("_out")).drop("_out")
+    done = lined.select(*held, once(result).alias("_out"))
+    columns = [F.col("_out").alias(out) if n == out else F.col(h).alias(n) for n, h in zip(names, held, strict=True)]
+    return done.select(*columns, *([] if out in names else [F.col("_out").alias(out)]))
+
+
+def once(value: Column) -> Column:
+    """The value made once a row: a generator is a barrier that projections aren't merged across."""
+    return F.explode(F.array(value))
 
 
 def digest(docs: DataFrame) -> DataFrame:
