@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,7 +57,7 @@ def correlation(patch: Column, m: Column, tz: Column, tn: Column, tc: Column) ->
     return sums
 
 
-#: Templates that one broadcast may hold; more are taken in blocks.
+#: Templates that one pass takes; more are taken in blocks.
 MAX_TEMPLATES = 1000
 
 
@@ -80,21 +84,80 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
     return done.withColumn("x", x).withColumn("y", y)
 
 
+SCORES = "video_id long, frame_idx long, ctype string, template_id int, score double, x int, y int"
+#: Pixels of patches that the kernel holds at once.
+PATCH_PIXELS = 2_000_000
+
+
+def _score_block(images: np.ndarray, t: Row) -> tuple[np.ndarray, np.ndarray] | None:
+    """(best correlation or nan, its place in row order) of one template on images[n, h, w]."""
+    n, height, width = images.shape
+    region = images[:, t.roi_y : min(height, t.roi_y + t.roi_h), t.roi_x : min(width, t.roi_x + t.roi_w)]
+    if region.shape[1] < t.th or region.shape[2] < t.tw:
+        return None
+    on = np.array(t.m, bool).reshape(t.th, t.tw)
+    z = np.where(on, np.array(t.t, float).reshape(t.th, t.tw), 0.0)
+    count = int(on.sum())
+    if count == 0:
+        return np.full(n, np.nan), np.zeros(n, int)
+    z = np.where(on, z - z.sum() / count, 0.0)
+    score, place = np.empty(n), np.empty(n, int)
+    patches = np.lib.stride_tricks.sliding_window_view(region, (t.th, t.tw), axis=(1, 2))
+    size = max(1, PATCH_PIXELS // (patches.shape[1] * patches.shape[2] * t.th * t.tw))
+    for lo in range(0, n, size):
+        p = np.where(on, patches[lo : lo + size], 0.0)
+        total, squares = p.sum((3, 4)), (p * p).sum((3, 4))
+        spread = squares - total * total / count
+        flat = (spread <= 1e-12 * squares) | ((z * z).sum() <= 0)
+        r = np.where(flat, -np.inf, (p * z).sum((3, 4)) / np.sqrt(np.where(flat, 1.0, spread * (z * z).sum()))).reshape(len(p), -1)
+        place[lo : lo + size] = r.argmax(1)
+        score[lo : lo + size] = r.max(1)
+    return np.where(np.isfinite(score), score, np.nan), place
+
+
 def template_scores(frames: DataFrame, templates: DataFrame) -> DataFrame:
     """B2: (video_id, frame_idx, ctype, template_id, score, x, y), the best placement of every template.
 
-    templates have roi_x, roi_y, roi_w, roi_h, tw, th, t, m; the region is clamped to the frame.  The
+    templates have roi_x, roi_y, roi_w, roi_h, tw, th, t, m; the region is clamped to the frame, and one
+    that is smaller than the template gives no row; neither does a frame whose payload isn't w x h.  The
     score is null where no placement varies.  Templates are the stated query set: they are counted, and
-    broadcast in blocks of at most `MAX_TEMPLATES`.
+    taken in blocks of at most `MAX_TEMPLATES`.  Frames of one size in a batch are scored together.
     """
-    ready = prepared(templates)
     count = max(1, -(-templates.count() // MAX_TEMPLATES))
+    columns = ["ctype", "template_id", "roi_x", "roi_y", "roi_w", "roi_h", "tw", "th", "t", "m"]
     pixels = frames.select("video_id", "frame_idx", "w", "h", F.col("gray").cast("array<double>").alias("gray"))
+    pixels = pixels.where(F.size("gray") == F.col("w") * F.col("h"))
     out = None
     for k in range(count):
-        block = ready if count == 1 else ready.where(F.pmod(F.xxhash64("ctype", "template_id"), F.lit(count)) == k)
-        part = scored_pairs(pixels.join(F.broadcast(block), F.lit(True)))
-        part = part.select("video_id", "frame_idx", "ctype", "template_id", "score", "x", "y")
+        rows = templates.select(*columns) if count == 1 else templates.select(*columns).where(F.pmod(F.xxhash64("ctype", "template_id"), F.lit(count)) == k)
+        block = rows.collect()
+
+        def run(batches: Iterator[pa.RecordBatch], block: list[Row] = block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v, i, w, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+                ends = np.cumsum(w * h)
+                values = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+                for shape in sorted(set(zip(w.tolist(), h.tolist(), strict=True))):
+                    at = np.flatnonzero((w == shape[0]) & (h == shape[1]))
+                    images = np.stack([values[ends[j] - shape[0] * shape[1] : ends[j]] for j in at]).reshape(len(at), shape[1], shape[0])
+                    for t in block:
+                        if (got := _score_block(images, t)) is None:
+                            continue
+                        nx = min(shape[0] - t.roi_x, t.roi_w) - t.tw + 1
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(v[at], pa.int64()),
+                                pa.array(i[at], pa.int64()),
+                                pa.array([t.ctype] * len(at), pa.string()),
+                                pa.array([t.template_id] * len(at), pa.int32()),
+                                pa.array(got[0], pa.float64(), from_pandas=True),
+                                pa.array(t.roi_x + got[1] % nx, pa.int32()),
+                                pa.array(t.roi_y + got[1] // nx, pa.int32()),
+                            ],
+                            names=[c.split(" ")[0] for c in SCORES.split(", ")],
+                        )
+
+        part = pixels.mapInArrow(run, SCORES)
         out = part if out is None else out.unionByName(part)
     return out
 
