@@ -33,9 +33,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate group stays (five words, similarity 0.8 or more)."""
-    gone = near_dedup.near_duplicates(docs).where(F.col("kept") == F.lit(False)).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of the smallest doc_id of each near-duplicate group stays (five words, similarity 0.8 or more)."""
+    return near_dedup.kept_documents(docs).select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

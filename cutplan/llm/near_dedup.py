@@ -16,9 +16,11 @@ Bands follow from `threshold`: with r rows, the least b with (1 - threshold**r)*
 Hot keys: copies collapse to a class before banding, stars and labels are pre-aggregated, pairs are
 joined by equality with sides that Spark may split.
 
-Defined results: null or wordless text is an empty set and its own component; equal rows share a
-class; a null doc_id can't represent others unless all of its class are null; an empty table gives an
-empty table; extra columns aren't used.
+Defined results: null or wordless text is an empty set, its own component and kept; equal rows share a
+class; null doc_ids come last, so a null stands for others only where all of its component are null
+(component_id is null then); one row of each component is kept, of rows with its smallest doc_id one of
+the least set and text, also where ids are null or repeat; an empty table gives an empty table; extra
+columns aren't used.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutplan.llm import kernels as K
@@ -99,9 +101,9 @@ def _signatures(scheme: Scheme, sets: list[np.ndarray]) -> np.ndarray:
 
 
 SIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("text_id", pa.binary()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]
 )
-SIGNED_DDL = "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>"
+SIGNED_DDL = "doc_id long, text_id binary, n_shingles long, set_id binary, sig binary, bands array<long>"
 
 
 def _sign(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +125,7 @@ def _sign(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(lo, hi - lo).cast(pa.int64()),
+                    batch.column(2).slice(lo, hi - lo).cast(pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([K.digest16(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array(sigs, pa.binary()),
@@ -132,9 +135,31 @@ def _sign(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             )
 
 
+def text_key(text: str) -> Column:
+    """Digest of a text as it is written; with the doc_id it is a row's key."""
+    return F.unhex(F.md5(F.col(text).cast("string")))
+
+
+def keyed_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_key(text).alias("text_id"))
+
+
 def signed(docs: DataFrame, scheme: Scheme, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _sign(scheme, it), SIGNED_DDL)
+    """Sets, signatures and bands of the rows; `row` numbers them and holds once this is written."""
+    rows = keyed_texts(docs, doc_id, text)
+    return rows.mapInArrow(lambda it: _sign(scheme, it), SIGNED_DDL).withColumn("row", F.monotonically_increasing_id())
+
+
+def class_texts(docs: DataFrame, needed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """`needed` classes with the text that stands for each; rows without an id are met once a text."""
+    rows = keyed_texts(docs, doc_id, text)
+    rows = rows.where(F.col("doc_id").isNotNull()).union(rows.where(F.col("doc_id").isNull()).dropDuplicates(["text_id"]))
+    return rows.join(needed, rows.doc_id.eqNullSafe(needed.rep) & (rows.text_id == needed.rep_text))
+
+
+def ranked() -> Column:
+    """What classes are ordered by: doc_ids, those that are null last, then sets."""
+    return F.struct(F.col("rep").isNull().alias("none"), "rep", "set_id")
 
 
 def prune(pairs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
@@ -161,10 +186,9 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scheme: Scheme
     needed = (
         pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
         .distinct()
-        .join(classes.select("set_id", F.col("rep").alias("doc_id")), "set_id")
+        .join(classes.select("set_id", "rep", "rep_text"), "set_id")
     )
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = rows.join(needed, rows.doc_id.eqNullSafe(needed.doc_id)).select("set_id", "text")
+    texts = class_texts(docs, needed, doc_id, text).select("set_id", "text")
     full = (
         pairs.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -193,11 +217,11 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scheme: Scheme
 
 
 def components(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
-    """(set_id, label): label is the least (rep, set_id) that links reach.  Minimum labels over both
+    """(set_id, label): label is the least `ranked` that links reach.  Minimum labels over both
     directions of the links, then each node takes its label's label; ends when nothing changes."""
     both = saved(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{folder}/links")
     touched = both.select(F.col("a").alias("set_id")).distinct()
-    own = F.struct("rep", "set_id").alias("label")
+    own = ranked().alias("label")
     labels = saved(nodes.join(touched, "set_id").select("set_id", own), f"{folder}/labels-0")
     step = 0
     while True:
@@ -291,9 +315,8 @@ def open_links(
         .withColumn("slot", F.pmod(F.xxhash64("set_id"), "slots").cast("int"))
         .select("bucket", "band", "set_id", "root", "slot", "slots")
     )
-    needed = members.select("set_id").distinct().join(classes.select("set_id", "rep", "sig", "bands"), "set_id")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    full = rows.join(needed, rows.doc_id.eqNullSafe(needed.rep)).select("set_id", "sig", "bands", "text")
+    needed = members.select("set_id").distinct().join(classes.select("set_id", "rep", "rep_text", "sig", "bands"), "set_id")
+    full = class_texts(docs, needed, doc_id, text).select("set_id", "sig", "bands", "text")
     dealt = (
         members.join(full, "set_id")
         .select("*", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other"))
@@ -306,7 +329,7 @@ def open_links(
     return dealt.groupBy("bucket", "s0", "s1").applyInPandas(compare, "a binary, b binary").distinct()
 
 
-def near_duplicates(
+def decided(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -317,7 +340,7 @@ def near_duplicates(
     miss: float = 1e-7,
     block: int = 256,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of `docs`."""
+    """(doc_id, text_id, n_shingles, component_id, kept), one row per row of `docs`; one is kept of each component."""
     spark = docs.sparkSession
     scheme = Scheme(words, threshold, rows, band_miss, miss)
     folder = work_dir(spark, "near-dedup")
@@ -325,7 +348,13 @@ def near_duplicates(
     classes = saved(
         signs.where(F.col("set_id").isNotNull())
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "row")).alias("least"),
+            F.first("n_shingles").alias("n"),
+            F.first("sig").alias("sig"),
+            F.first("bands").alias("bands"),
+        )
+        .select("set_id", F.col("least.doc_id").alias("rep"), F.col("least.text_id").alias("rep_text"), F.col("least.row").alias("rep_row"), "n", "sig", "bands"),
         f"{folder}/classes",
     )
     keyed = classes.select("set_id", "rep", "n", F.posexplode("bands").alias("band", "key")).select(
@@ -333,7 +362,7 @@ def near_duplicates(
     )
     firsts = (
         keyed.groupBy("bucket")
-        .agg(F.min(F.struct("rep", "set_id")).alias("first"), F.count(F.lit(1)).alias("m"))
+        .agg(F.min(ranked()).alias("first"), F.count(F.lit(1)).alias("m"))
         .where("m > 1")
         .select("bucket", F.col("first.set_id").alias("a"))
     )
@@ -366,11 +395,38 @@ def near_duplicates(
     more = saved(open_links(members, labels, classes, docs, scheme, block, doc_id, text), f"{folder}/open")
     if not more.isEmpty():
         labels = components(nodes, links.union(more), f"{folder}/third")
-    roots = classes.select("set_id", "rep").join(labels, "set_id", "left")
-    roots = roots.select("set_id", F.coalesce("label.rep", "rep").alias("root"))
-    done = signs.select("doc_id", "n_shingles", "set_id").join(roots, "set_id", "left")
-    component = F.coalesce("root", "doc_id")
-    return done.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    roots = classes.select("set_id", "rep", "rep_row").join(labels, "set_id", "left")
+    roots = roots.select(
+        "set_id",
+        F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("label.rep")).alias("root"),
+        F.when(F.coalesce("label.set_id", "set_id") == F.col("set_id"), F.col("rep_row")).otherwise(-1).alias("kept_row"),
+    )
+    done = signs.select("doc_id", "text_id", "n_shingles", "set_id", "row").join(roots, "set_id", "left")
+    component = F.when(F.col("kept_row").isNull(), F.col("doc_id")).otherwise(F.col("root"))
+    kept = F.coalesce(F.col("row") == F.col("kept_row"), F.lit(True))
+    return done.select("doc_id", "text_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, *args, **more) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of `docs`; arguments as for `decided`."""
+    return decided(docs, *args, **more).drop("text_id")
+
+
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """The rows of `docs` that are kept.  Rows are met by doc_id and text; of rows that are equal in both
+    at most one is kept, the one with the least other columns, which must be sortable."""
+    names = docs.columns
+    keys = decided(docs, doc_id, text, **more).where("n_shingles > 0").groupBy("doc_id", "text_id")
+    keys = keys.agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("n > 1 OR NOT kept")
+    keys = saved(keys, f"{work_dir(docs.sparkSession, 'near-dedup')}/keys")
+
+    def met(given: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_doc_id"), F.col("text_id").alias("_text_id"))
+        same = F.col(doc_id).cast("long").eqNullSafe(F.col("_doc_id")) & text_key(text).eqNullSafe(F.col("_text_id"))
+        return given.join(keys, same, how)
+
+    repeated = met(docs, keys.where("kept"), "left_semi").select(F.col(doc_id).cast("long").alias("d"), text_key(text).alias("t"), F.struct(*names).alias("row"))
+    return met(docs, keys, "left_anti").union(repeated.groupBy("d", "t").agg(F.min("row").alias("row")).select("row.*"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -59,5 +59,32 @@ def test_five_words_repeated_ids_and_extra_columns(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(docs, 5, 80)
 
 
+def null_ids():
+    """One component whose least class has null ids only, one without any id, one without near copies."""
+    rng = random.Random(7)
+    a, b, c = ([f"{x}{rng.randrange(500)}" for _ in range(120)] for x in "abc")
+    near = lambda ws, k: " ".join([*ws[:k], "changed", *ws[k + 1 :]])
+    docs = [(None, " ".join(a)), (None, " ".join(a)), (5, near(a, 0)), (3, near(a, 119)), (4, near(a, 60))]
+    docs += [(None, " ".join(b))] * 3 + [(None, near(b, 0))]
+    docs += [(7, " ".join(c)), (7, near(a, 30)), (7, near(c, 0)), (7, " ".join(c)), (None, None), (None, "")]
+    return docs
+
+
+def test_one_row_is_kept_of_each_component_with_null_and_repeated_ids(spark):
+    docs = null_ids()
+    got = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    kept = [(r.doc_id, r.component_id, r.n_shingles > 0) for r in got if r.kept]
+    assert sorted(kept, key=str) == sorted([(3, 3, True), (7, 7, True), (None, None, True), (None, None, False), (None, None, False)], key=str)
+    assert sum(r.component_id == 3 for r in got) == 6 and sum(r.component_id == 7 for r in got) == 3
+
+
+def test_null_ids_in_unsettled_buckets(spark):
+    docs = [(d if d % 3 else None, t) for d, t in chains(4, groups=6)]
+    got = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=3, threshold=0.85, rows=6, block=8).collect()
+    want = brute([(d if d is not None else 10**6 + i, t) for i, (d, t) in enumerate(docs)], 3, 85)
+    assert sum(r.kept for r in got) == len({root for _, _, root in want if root is not None})
+    assert sorted(r.component_id for r in got if r.component_id is not None) == sorted(root for _, _, root in want if root < 10**6)
+
+
 def test_empty_table(spark):
     assert N.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -10,6 +10,7 @@ from cutplan.llm.packing import CAPACITIES
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_line_dedup import brute as lines
 from tests.llm.test_near_dedup import brute as near
+from tests.llm.test_near_dedup import null_ids
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +73,16 @@ def test_stages(spark, tables):
             assert d not in got
 
 
+def test_near_stage_with_null_and_repeated_ids(spark):
+    docs = null_ids()
+    given = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in P.near_stage(spark, given, "").collect()]
+    texts = [t or "" for _, t in got]
+    assert len(got) == 5 and texts.count("") == 2
+    assert sorted(t.split()[1][0] for t in texts if t) == ["a", "b", "c"]
+    assert [d for d, t in got if t and t.split()[1][0] == "a"] == [3]
+
+
 def test_run_packs_what_is_kept(spark, tables):
     folder, docs, *_ = tables
     got = P.run(spark, folder).collect()
