@@ -2,7 +2,9 @@
 
 The words of all items go into one automaton over word ids (`Automaton`).  Each document streams its
 words through it and tracks, at every word, the longest stretch ending there that some item holds.
-A stretch of at least `window` words, or a whole shorter item, makes its words hit.  Words whose
+A stretch of at least `window` words, or a whole shorter item, makes its words hit.  Hit words that
+touch are one span; `stretches` are the longest matches before that, with their places in words, so
+that removal can leave those below a length limit.  Words whose
 neighbour pair no item has can't be inside a stretch of two or more, so runs of such words are passed
 over with one vectorised test and the automaton starts again at its root behind them.
 
@@ -23,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutplan.llm import kernels as K
@@ -103,10 +105,14 @@ class Automaton:
                 state, length = self.next[state][w], length + 1
             yield state, length
 
-    def hits(self, words: list[int], base: int, spans: list[list[int]], items: set) -> None:
-        """Adds the spans [start, end) of words that are hit, and the items whose windows occur."""
+    def hits(self, words: list[int], base: int, spans: list[list[int]], stretches: list[list[int]], items: set) -> None:
+        """Adds the spans [start, end) of words that are hit, the stretches that no other holds, and the items whose windows occur."""
 
         def add(start: int, end: int) -> None:
+            if not (stretches and stretches[-1][0] <= start and stretches[-1][1] >= end):
+                while stretches and stretches[-1][0] >= start:
+                    stretches.pop()
+                stretches.append([start, end])
             while spans and spans[-1][1] >= start:
                 start = min(start, spans.pop()[0])
             spans.append([start, end])
@@ -171,9 +177,9 @@ class Items:
         return start[long], end[long]
 
 
-RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<array<int>>>"
+RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<array<int>>,stretches:array<array<int>>>"
 RESULT_TYPE = pa.struct(
-    [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int32())))]
+    [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int32()))), ("stretches", pa.list_(pa.list_(pa.int32())))]
 )
 
 
@@ -183,19 +189,20 @@ def _match(items: Items, texts: list[bytes]) -> list[dict]:
     first, last = items.runs(items.word_ids(hashed), bounds)
     owner = np.searchsorted(bounds, first, side="right") - 1
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    found: dict[int, tuple[list, set]] = {}
+    found: dict[int, tuple[list, list, set]] = {}
     for a, b, row in zip(first.tolist(), last.tolist(), owner.tolist(), strict=True):
-        spans, names = found.setdefault(row, ([], set()))
-        items.automaton.hits(items.word_ids(hashed[a:b]).tolist(), a, spans, names)
+        spans, stretches, names = found.setdefault(row, ([], [], set()))
+        items.automaton.hits(items.word_ids(hashed[a:b]).tolist(), a, spans, stretches, names)
     out = []
     for i in range(len(texts)):
-        spans, names = found.get(i, ((), ()))
+        spans, stretches, names = found.get(i, ((), (), ()))
         out.append(
             {
                 "n_words": int(bounds[i + 1] - bounds[i]),
                 "n_hit": sum(e - s for s, e in spans),
                 "items": sorted(str(n) for n in names if n is not None),
                 "spans": [[int(starts[s] - offsets[i]), int(ends[e - 1] - offsets[i])] for s, e in spans],
+                "stretches": [[int(starts[s] - offsets[i]), int(ends[e - 1] - offsets[i]), int(s - bounds[i]), int(e - bounds[i])] for s, e in stretches],
             }
         )
     return out
@@ -240,7 +247,8 @@ def contamination(
     window: int = 10,
     max_words: int = 200_000,
 ) -> DataFrame:
-    """All columns of `docs` plus `out`: struct<n_words, n_hit, items, spans>; spans are byte ranges of `text`."""
+    """All columns of `docs` plus `out`: struct<n_words, n_hit, items, spans, stretches>; spans are byte
+    ranges of `text`, stretches have their range of words besides and may overlap."""
     names = [c for c in docs.columns if c != out]
     passes, done = [], docs.select(*names)
     for k, items in enumerate(item_blocks(benchmark, item_id, item_text, window, max_words)):
@@ -267,25 +275,40 @@ def contamination(
     pieces = F.transform("_spans", lambda s: F.decode(F.substring(body, F.get(s, F.lit(0)) + 1, F.get(s, F.lit(1)) - F.get(s, F.lit(0))), "utf-8"))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     n_hit = F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + F.regexp_count(p, F.lit(word)))
-    result = F.struct(F.col(passes[0])["n_words"].alias("n_words"), n_hit.alias("n_hit"), every.alias("items"), F.col("_spans").alias("spans"))
+    stretches = F.array_sort(F.flatten(F.array(*[F.col(p)["stretches"] for p in passes])))
+    result = F.struct(
+        F.col(passes[0])["n_words"].alias("n_words"), n_hit.alias("n_hit"), every.alias("items"), F.col("_spans").alias("spans"), stretches.alias("stretches")
+    )
     return reduce(lambda d, p: d.drop(p), [*passes, "_spans"], joined.withColumn("_out", result)).withColumnRenamed("_out", out)
 
 
 def remove_spans(
     docs: DataFrame, text: str = "text", out: str = "contamination", least_words: int = 10, drop_share: float = 0.5
 ) -> DataFrame:
-    """Takes hit spans out of `text`; documents of which more than `drop_share` of the words is hit go."""
+    """Takes stretches of at least `least_words` words out of `text`; shorter ones, which are whole short
+    items, stay.  Documents of which more than `drop_share` of the words is in such stretches go, and so do
+    those that are nothing but test items, whatever the items' lengths."""
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
-    cut = F.aggregate(
-        F.col(out)["spans"],
-        F.struct(F.lit(0).alias("at"), F.encode(F.lit(""), "utf-8").alias("t")),
-        lambda a, s: F.struct(
-            F.get(s, F.lit(1)).alias("at"), F.concat(a["t"], F.substring(body, a["at"] + 1, F.get(s, F.lit(0)) - a["at"])).alias("t")
-        ),
-    )
-    rest = F.decode(F.concat(cut["t"], F.substring(body, cut["at"] + 1, F.lit(2**31 - 1))), "utf-8")
-    keep = docs.where(F.coalesce(F.col(out)["n_hit"] <= drop_share * F.col(out)["n_words"], F.lit(True)))
-    return keep.withColumn(text, F.when(F.size(F.col(out)["spans"]) > 0, rest).otherwise(F.col(text)))
+    long = F.filter(F.col(out)["stretches"], lambda s: F.get(s, F.lit(3)) - F.get(s, F.lit(2)) >= least_words)
+
+    def step(a: Column, s: Column) -> Column:
+        begin, end, first, last = (F.get(s, F.lit(i)) for i in range(4))
+        # stretches that overlap or touch are cut as one, with what is between their words
+        between = F.when(first > a["word"], F.substring(body, a["at"] + 1, begin - a["at"])).otherwise(F.encode(F.lit(""), "utf-8"))
+        return F.struct(
+            F.greatest(a["at"], end).alias("at"),
+            F.greatest(a["word"], last).alias("word"),
+            (a["n"] + F.greatest(F.lit(0), last - F.greatest(first, a["word"]))).alias("n"),
+            F.concat(a["t"], between).alias("t"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("word"), F.lit(0).alias("n"), F.encode(F.lit(""), "utf-8").alias("t"))
+    cut = F.aggregate(long, start, step)
+    rest = F.decode(F.concat(F.col("_cut")["t"], F.substring(body, F.col("_cut")["at"] + 1, F.lit(2**31 - 1))), "utf-8")
+    hit, n_words = F.col(out)["n_hit"], F.col(out)["n_words"]
+    only_items = (hit == n_words) & (hit > drop_share * n_words)
+    keep = docs.withColumn("_cut", cut).where(F.coalesce((F.col("_cut")["n"] <= drop_share * n_words) & ~only_items, F.lit(True)))
+    return keep.withColumn(text, F.when(F.col("_cut")["n"] > 0, rest).otherwise(F.col(text))).drop("_cut")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

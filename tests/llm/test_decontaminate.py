@@ -76,3 +76,18 @@ def test_removal_empty_tables_and_clashing_columns(spark):
     assert 1 not in kept and kept[2].text is None and kept[0].item_id == 2
     assert D.digest(d, b.limit(0)).where("contaminated").count() == 0
     assert D.digest(d.limit(0), b).count() == 0
+
+
+def test_removal_leaves_short_items(spark):
+    passage = " ".join(f"q{i}" for i in range(12))
+    items = [(1, "Yes"), (2, "new york"), (3, " ".join(f"n{i}" for i in range(9))), (4, passage), (5, "yes " + " ".join(f"r{i}" for i in range(9)))]
+    nine, ten = items[2][1], items[4][1]
+    docs = [
+        "yes, we went to New York and said yes", "New York, yes, new york yes yes.", "yes yes no", "yes " * 12 + "no", nine + " and more",
+        f"({passage} yes) " + "w " * 30, ten + " " + passage + " k" * 30, "", passage + " yes " * 20 + "no", '"' + ten + '" ' + "z " * 20,
+    ]
+    want = {0: docs[0], 2: docs[2], 3: docs[3], 4: docs[4], 5: "( yes) " + "w " * 30, 6: " k" * 30, 7: "", 8: " yes " * 20 + "no", 9: '"" ' + "z " * 20}
+    d, b = frames(spark, list(enumerate(docs)), items)
+    for more in ({}, {"max_words": 5}):
+        got = {r.doc_id: r.text for r in D.remove_spans(D.contamination(d, b, **more)).collect()}
+        assert got == want
