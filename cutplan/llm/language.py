@@ -1,7 +1,7 @@
 """Operator 2: language identification by bit-sliced Bloom filters of n-grams.
 
-Filter.  Row b of the filter is a 64-bit mask of languages; an n-gram of language l sets bit l in
-`probes` rows.  One lookup, the AND of an n-gram's rows, gives all languages that hold it at once.
+Filter.  Row b of the filter is a mask of languages, as many 64-bit words as there are languages for;
+an n-gram of language l sets bit l in `probes` rows.  One lookup, the AND of an n-gram's rows, gives all languages that hold it at once.
 
 Learning.  N-grams (`n` bytes, lower-cased, words only) of at most `sample` training documents per
 language are counted in Spark; each language's most telling `grams` n-grams go into the filter: those
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutplan.llm import kernels as K
@@ -64,7 +64,7 @@ def grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Filter:
-    """The bit-sliced filter with what the decision needs; its size is bound by `bits` rows of 8 bytes."""
+    """The bit-sliced filter with what the decision needs; its size is `bits` rows of 8 bytes for each 64 languages."""
 
     languages: list[str]
     rows: np.ndarray
@@ -75,6 +75,11 @@ class Filter:
     fallback: int
 
     def masks(self, hashed: np.ndarray) -> np.ndarray:
+        """Masks of the languages that hold each n-gram: one word, or a row of words where there are more than 64."""
+        found = self.words(hashed)
+        return found[:, 0] if found.shape[1] == 1 else found
+
+    def words(self, hashed: np.ndarray) -> np.ndarray:
         bits = K.U(len(self.rows) - 1)
         found = self.rows[hashed & bits]
         for k in range(1, self.probes):
@@ -85,9 +90,10 @@ class Filter:
         """float[texts, languages]: share of n-grams that are the language's, without false positives."""
         hashed, owner = grams(texts, self.n)
         total = np.bincount(owner, minlength=len(texts))[: len(texts)].astype(float)
-        masks = self.masks(hashed)
+        masks = np.ascontiguousarray(self.words(hashed).T)
         hits = np.stack(
-            [np.bincount(owner[(masks >> K.U(k)) & K.U(1) == 1], minlength=len(texts))[: len(texts)] for k in range(len(self.languages))], axis=1
+            [np.bincount(owner[(masks[k >> 6] >> K.U(k & 63)) & K.U(1) == 1], minlength=len(texts))[: len(texts)] for k in range(len(self.languages))],
+            axis=1,
         )
         share = hits / np.maximum(total, 1)[:, None]
         return np.maximum(0, (share - self.false_rate) / (1 - self.false_rate)) * (total > 0)[:, None]
@@ -103,12 +109,11 @@ class Filter:
 def training_rows(docs: DataFrame, doc_id: str, text: str, lang: str, sample: int) -> tuple[DataFrame, list[tuple[str, int]]]:
     """About `sample` rows per language at most, taken by a hash of doc_id, and the languages' row counts."""
     rows = docs.where((crc_mod(F.col(doc_id), 4) != 2) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = [(r["lang"], r["n"]) for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()]
-    share = F.lit(0.0)
-    for name, n in sizes:
-        share = F.when(F.col(lang) == name, min(1.0, sample / n)).otherwise(share)
-    kept = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 20)) < share * (1 << 20)
-    return rows.where(kept).select(F.col(lang).alias("lang"), F.col(text).alias("text")), sizes
+    sizes = [(r["lang"], r["n"]) for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    shares = docs.sparkSession.createDataFrame([(name, min(1.0, sample / n)) for name, n in sizes], "_lang string, _share double")
+    kept = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 20)) < F.col("_share") * (1 << 20)
+    rows = rows.select(F.col(doc_id), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(shares), F.col("lang") == F.col("_lang"))
+    return rows.where(kept).select("lang", "text"), sizes
 
 
 def learn(
@@ -133,20 +138,23 @@ def learn(
     counts = rows.mapInArrow(count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")).persist()
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("c").alias("n")).collect()}
     languages = sorted(totals)
-    share = {name: F.sum(F.when(F.col("lang") == name, F.col("c") / totals[name]).otherwise(0.0)) for name in languages}
-    wide = counts.groupBy("gram").agg(*[share[name].alias(f"s{k}") for k, name in enumerate(languages)])
-    table = np.zeros(bits, K.U)
-    own, others = np.zeros(len(languages)), np.zeros(len(languages))
-    for k in range(len(languages)):
-        rest = sum((F.col(f"s{j}") for j in range(len(languages)) if j != k), F.lit(0.0)) / max(1, len(languages) - 1)
-        top = wide.select("gram", F.col(f"s{k}").alias("own"), (F.col(f"s{k}") - rest).alias("surplus")).where("surplus > 0")
-        best = top.orderBy(F.desc("surplus"), "gram").limit(grams_kept).select("gram", "own").collect()
-        gram = np.array([r["gram"] for r in best], np.int64).view(K.U)
-        own[k] = sum(r["own"] for r in best)
-        for i in range(probes):
-            table[(gram >> K.U(20 * i)) & K.U(bits - 1)] |= K.U(1) << K.U(k)
+    known = docs.sparkSession.createDataFrame([(name, k, totals[name]) for k, name in enumerate(languages)], "lang string, k int, total long")
+    share = counts.join(F.broadcast(known), "lang").select("gram", F.struct("k", (F.col("c") / F.col("total")).alias("own")).alias("s"))
+    every = share.groupBy("gram").agg(F.array_sort(F.collect_list("s")).alias("every")).select("gram", "every", F.explode("every").alias("s"))
+    # summed in the order of languages, so that runs agree to the last bit
+    rest = F.aggregate("every", F.lit(0.0), lambda a, s: a + F.when(s["k"] == F.col("s.k"), 0.0).otherwise(s["own"])) / max(1, len(languages) - 1)
+    top = every.select("gram", "s.k", "s.own", (F.col("s.own") - rest).alias("surplus")).where("surplus > 0")
+    order = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("surplus"), "gram"))
+    best = top.withColumn("place", order).where(F.col("place") <= grams_kept).select("k", "place", "gram", "own").toPandas()
     counts.unpersist()
-    fill = np.array([np.mean((table >> K.U(k)) & K.U(1)) for k in range(len(languages))])
+    table = np.zeros((bits, -(-len(languages) // 64)), K.U)
+    own = np.zeros(len(languages))
+    for k, mine in best.sort_values(["k", "place"]).groupby("k"):
+        gram = mine["gram"].to_numpy(np.int64).view(K.U)
+        own[k] = sum(mine["own"].tolist())
+        for i in range(probes):
+            table[(gram >> K.U(20 * i)) & K.U(bits - 1), k >> 6] |= K.U(1) << K.U(k & 63)
+    fill = np.array([np.mean((table[:, k >> 6] >> K.U(k & 63)) & K.U(1)) for k in range(len(languages))])
     largest = next((name for name, _ in sizes if name in totals), languages[0])
     return Filter(languages, table, probes, n, fill**probes, np.maximum(own, 1e-9), languages.index(largest))
 

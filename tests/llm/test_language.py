@@ -48,3 +48,16 @@ def test_no_training_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert L.digest(docs).first().lang_pred == "und"
     assert L.digest(docs.limit(0)).count() == 0
+
+
+def test_more_than_64_languages(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:03}": ["".join(rng.choice(letters) for _ in range(7)) for _ in range(6)] for k in range(140)}
+    rows = [(i, " ".join(rng.choice(words[name]) for _ in range(12)), name) for i, name in enumerate(sorted(words) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(docs)
+    assert model.languages == sorted(words) and model.rows.shape[1] == 3
+    got = {r.doc_id: r.lang_pred for r in L.predict(docs, model).collect()}
+    held = [(i, name) for i, _, name in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i] == name for i, name in held) >= 0.98 * len(held)
