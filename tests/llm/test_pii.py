@@ -77,3 +77,16 @@ def test_redaction_clashing_columns_and_empty_table(spark):
     row = pii.redact(pii.find_pii(docs)).first()
     assert row.redacted == "to [email] now"
     assert pii.digest(docs.limit(0)).count() == 0
+
+
+def test_iban_followed_by_capitals_and_digits(spark):
+    ibans = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S", "BE68 5390 0754 7034"]
+    tails = [" BIC COBADEFFXXX", " EUR", " 2024-01-01", " 100 EUR", "", ".", " GB82 WEST 1234 5698 7654 32"]
+    texts = [f"to {iban}{tail}" for iban in ibans for tail in tails]
+    docs = spark.createDataFrame(list(enumerate([*texts, "to DE893704004405320130001", "to DE88370400440532013000 EUR"])), "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in pii.digest(docs).collect()}
+    for i, text in enumerate(texts):
+        iban, tail = ibans[i // len(tails)], tails[i % len(tails)]
+        spans = [f"iban:3:{3 + len(iban)}"] + ([f"iban:{4 + len(iban)}:{len(text)}"] if "WEST" in tail else [])
+        assert [s for s in got[i] if s.startswith("iban")] == spans, text
+    assert not any(s.startswith("iban") for i in (len(texts), len(texts) + 1) for s in got[i])
