@@ -4,9 +4,11 @@ Lengths are UTF-8 bytes plus one end mark, the tokens of a byte-level vocabulary
 column can be given.  A document longer than the largest permitted length is cut into pieces of that
 length first.  Pieces are dealt by hash to shards of about `shard_pieces`, and a shard packs its own:
 pieces by decreasing length, each into the open bin with the least room that still holds it.  If none
-does, a bin of the permitted length with the least cost is opened, where a bin of capacity c costs
-c * (1 + attention * c / largest): a longer bin is taken only while pieces still to come are likely to
-fill it.  After the last piece each bin is made as small as a permitted length allows.
+does, a bin is opened, of the permitted length with the least cost for each token expected in it, where
+a bin of capacity c costs c * (1 + attention * c / largest).  What to expect in it is simulated on the
+shard's own remaining pieces (`joint`), so waste counts as well as length.  Those pieces may end in other
+bins; so after the last piece each bin is made as small as a permitted length allows, and a shard takes
+the smallest lengths that hold each piece instead (`opened`) where that comes out cheaper.
 
 Equal pieces go one way, so a shard works through at most `largest` different lengths and groups of
 equal bins, not through pieces; hash shards are even whatever the texts, and each loses at most a few
@@ -19,7 +21,8 @@ empty table; extra columns aren't used.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable
 from heapq import heappop, heappush
 
 import numpy as np
@@ -45,7 +48,7 @@ def pieces(docs: DataFrame, doc_id: str, length: Column, largest: int) -> DataFr
 
 
 def opened(length: int, left: int, capacities: tuple[int, ...], attention: float) -> int:
-    """The permitted length to open for a piece: least cost for each token that will be in the bin.
+    """The permitted length to open for a piece if any length fills: the smallest that holds it.
 
     `left` is the total length of this piece and those still to come, which can't fill more.
     """
@@ -54,8 +57,40 @@ def opened(length: int, left: int, capacities: tuple[int, ...], attention: float
     return min(fits, key=lambda c: (cost(c), c))
 
 
-def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], attention: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, place, capacity) for lengths in decreasing order."""
+def bin_cost(capacity: int, capacities: tuple[int, ...], attention: float) -> float:
+    return capacity * (1 + attention * capacity / capacities[-1])
+
+
+def joint(lengths: np.ndarray, capacities: tuple[int, ...], attention: float) -> Callable[[int, int], int]:
+    """The permitted length to open for piece i of lengths in decreasing order, by the fill that each would
+    have if the longest of the pieces still to come that fit went into it, one after the other."""
+    falling = (-lengths).tolist()
+
+    def fill(i: int, capacity: int) -> int:
+        room, at = capacity + falling[i], i + 1
+        while room and (at := bisect_left(falling, -room, at)) < len(falling):
+            size, end = -falling[at], bisect_right(falling, falling[at], at)
+            room -= size * min(end - at, room // size)
+            at = end
+        return capacity - room
+
+    def choose(i: int, left: int) -> int:
+        fits = [c for c in capacities if c >= -falling[i]]
+        return min(fits, key=lambda c: (bin_cost(c, capacities, attention) / fill(i, c), c))
+
+    return choose
+
+
+def cheapest(lengths: np.ndarray, capacities: tuple[int, ...], attention: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`best_fit` with lengths chosen by `joint`, or by `opened` where the bins then cost less in all."""
+    ways = [best_fit(lengths, capacities, attention, joint(lengths, capacities, attention)), best_fit(lengths, capacities, attention)]
+    return min(ways, key=lambda way: sum(bin_cost(int(c), capacities, attention) for c in way[2][way[1] == 0]))
+
+
+def best_fit(
+    lengths: np.ndarray, capacities: tuple[int, ...], attention: float, choose: Callable[[int, int], int] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, place, capacity) for lengths in decreasing order; `choose(i, left)` gives the length to open for piece i."""
     n = len(lengths)
     bins, places, rooms = np.empty(n, np.int64), np.empty(n, np.int64), []
     used: list[int] = []
@@ -78,7 +113,7 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], attention: float)
             if not by_room[room]:
                 del by_room[room], open_rooms[at]
         else:
-            room, b = opened(size, left, capacities, attention), len(used)
+            room, b = choose(i, left) if choose else opened(size, left, capacities, attention), len(used)
             used.append(0)
             rooms.append(room)
         bins[i], places[i] = b, used[b]
@@ -103,7 +138,7 @@ def pack(
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, places, capacity = best_fit(group["length"].to_numpy(), capacities, attention)
+        bins, places, capacity = cheapest(group["length"].to_numpy(), capacities, attention)
         group = group.assign(bin_id=[f"{key[0]}-{b}" for b in bins], capacity=capacity, place=places)
         return group[["doc_id", "piece", "first", "length", "bin_id", "capacity", "place"]]
 

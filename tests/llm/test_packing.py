@@ -65,3 +65,42 @@ def test_every_token_once_and_bins_within_capacity(spark):
 
 def test_empty_table(spark):
     assert P.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def bins_of(way, lengths):
+    """{bin: (fill, capacity)}"""
+    fill = defaultdict(int)
+    for b, n in zip(way[0].tolist(), lengths, strict=True):
+        fill[b] += n
+    return {b: (fill[b], c) for b, c in zip(way[0].tolist(), way[2].tolist(), strict=True)}
+
+
+def total(way, lengths, attention=0.1):
+    return sum(c * (1 + attention * c / 8192) for _, c in bins_of(way, lengths).values())
+
+
+def test_mid_sized_pieces_share_long_bins(spark):
+    got = P.pack(spark.createDataFrame([(i, "x" * 1499) for i in range(50)], "doc_id long, text string")).collect()
+    assert {r.capacity for r in got} == {8192} and len({r.bin_id for r in got}) == 10
+
+
+def test_bins_are_downsized_when_others_took_their_pieces():
+    lengths = [3000, 3000, 3000, 1900, 1050, 1050]
+    choose, chosen = P.joint(np.array(lengths), P.CAPACITIES, 0.1), []
+    way = P.best_fit(np.array(lengths), P.CAPACITIES, 0.1, lambda i, left: chosen.append(choose(i, left)) or chosen[-1])
+    final = [c for _, c in bins_of(way, lengths).values()]
+    assert sum(final) < sum(chosen) and all(f <= c for f, c in zip(final, chosen, strict=True))
+
+
+def test_never_dearer_than_the_smallest_lengths():
+    rng = random.Random(4)
+    cheaper = 0
+    for top in (300, 1700, 2000, 4000, 8192):
+        for n in (1, 7, 60, 400):
+            lengths = sorted((rng.randrange(max(1, top - 900), top + 1) if n % 2 else rng.randrange(1, top + 1) for _ in range(n)), reverse=True)
+            way, small = P.cheapest(np.array(lengths), P.CAPACITIES, 0.1), P.best_fit(np.array(lengths), P.CAPACITIES, 0.1)
+            bins = bins_of(way, lengths)
+            assert all(f <= c for f, c in bins.values()) and sum(f for f, _ in bins.values()) == sum(lengths)
+            assert total(way, lengths) <= total(small, lengths)
+            cheaper += total(way, lengths) < total(small, lengths)
+    assert cheaper
