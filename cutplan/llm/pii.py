@@ -9,14 +9,17 @@ so running sums of their lengths are the match positions, in code points.  Patte
 possessive repeats and one starting point a run, which changes no match but keeps the matcher linear
 and off the stack on very long runs.
 
-Base kinds are always reported.  Kinds that the method adds (`iban`, `ssn`) are reported where their
-score reaches `threshold`.  Defined results: null text is empty; no span gives zero counts and the
+Base kinds are always reported.  Kinds that the method adds (`iban`, `ssn`, and `secret`: access keys,
+and values given to passwords, tokens and the like) are reported where their score reaches `threshold`.  Defined results: null text is empty; no span gives zero counts and the
 digest of the empty string; rows are independent, so repeated rows repeat their result; extra columns
 pass through and the result column replaces one of the same name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +41,16 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN_FORMS})\b",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:password|passwd|secret|token|api[_-]?key)[\x20\"':=]{1,6}[A-Za-z0-9_+/-]{16,}+",
 }
 BASE = ("email", "ip", "card", "phone")
 #: A text without a match of this has no span of the kind; a cheap look before the pattern itself.
-MUST_HAVE = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
+MUST_HAVE = {
+    "email": ["@"], "ip": ["."], "phone": ["+"], "ssn": ["-"],
+    "secret": ["AKIA", "ASIA", "assw", "ASSW", "ecret", "ECRET", "oken", "OKEN", "api", "Api", "API"],
+}
 # Scores before context, and words that raise or lower them.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "secret": 0.7}
 RAISING = {
     "email": "mail|contact|write",
     "ip": "ip|address|host|server|login",
@@ -51,6 +58,7 @@ RAISING = {
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|bank|account",
     "ssn": "ssn|social|security",
+    "secret": "key|login|user|auth|access",
 }
 LOWERING = "example|sample|test|version|isbn"
 IP_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})){3}$"
@@ -83,34 +91,57 @@ VALID = {
     "phone": lambda m: F.char_length(digits(m)).between(10, 15),
     "iban": mod97,
     "ssn": lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"),
+    # what is assigned must look drawn at random: digits and letters, no letter or digit four times in a row
+    "secret": lambda m: m.rlike(r"^A[KS]IA|[0-9][^\x20\"':=]*[A-Za-z]|[\x20\"':=][^\x20\"':=]*[A-Za-z][^\x20\"':=]*[0-9]") & ~m.rlike(r"([A-Za-z0-9])\1{3}"),
 }
+#: Matches whose positions are added up together: arrays that grow are copied once a group, not once a match.
+GROUP = 256
 
 
-def confirmed(text: Column, kind: str) -> Column:
-    """array<struct<start, end>> of the pattern's matches, leftmost, not overlapping, that the validator accepts."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
+def proposed(text: Column, kind: str) -> Column:
+    """array<struct<gap, value>>: the text before each match of the pattern and the match; last, what is behind them."""
     between = F.split(text, PATTERNS[kind], -1)
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    pairs = F.filter(F.arrays_zip(between.alias("gap"), found.alias("value")), lambda p: p["value"].isNotNull())
+    pairs = F.arrays_zip(between.alias("gap"), found.alias("value"))
+    if kind not in MUST_HAVE:
+        return pairs
+    return F.when(reduce(or_, [F.contains(text, F.lit(w)) for w in MUST_HAVE[kind]]), pairs).otherwise(F.array().cast("array<struct<gap:string,value:string>>"))
+
+
+def confirmed(pairs: Column, kind: str) -> Column:
+    """array<struct<start, end, i>> of the matches that the validator accepts, i their place in `pairs`."""
+    none = F.array().cast("array<struct<start:int,end:int,i:int>>")
 
     def step(a: Column, p: Column) -> Column:
         start = a["at"] + F.char_length(p["gap"])
-        end = start + F.char_length(p["value"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(VALID[kind](p["value"]), F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+        end = start + F.coalesce(F.char_length(p["value"]), F.lit(0))
+        span = F.array(F.struct(start.alias("start"), end.alias("end"), a["i"].alias("i")))
+        spans = F.when(F.coalesce(VALID[kind](p["value"]) & p["value"].isNotNull(), F.lit(False)), F.concat(a["spans"], span)).otherwise(a["spans"])
+        return F.struct(end.alias("at"), (a["i"] + 1).alias("i"), spans.alias("spans"))
 
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
-    return F.when(F.contains(text, F.lit(MUST_HAVE[kind])), spans).otherwise(none) if kind in MUST_HAVE else spans
+    def group(a: Column, g: Column) -> Column:
+        part = F.aggregate(F.slice(pairs, g * GROUP + 1, GROUP), F.struct(a["at"].alias("at"), a["i"].alias("i"), none.alias("spans")), step)
+        return F.struct(part["at"].alias("at"), part["i"].alias("i"), F.concat(a["spans"], part["spans"]).alias("spans"))
 
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), none.alias("spans"))
+    groups = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / GROUP).cast("int"))
+    return F.when(F.size(pairs) > 1, F.aggregate(groups, start, group, lambda a: a["spans"])).otherwise(none)
 
-def scored(text: Column, spans: Column, kind: str, order: int, window: int) -> Column:
-    """Spans as struct<start, kind_no, end, kind, score>; context words adjust the prior."""
+
+def scored(pairs: Column, spans: Column, kind: str, order: int, window: int) -> Column:
+    """Spans as struct<start, kind_no, end, kind, score>; context words adjust the prior.
+
+    The context is put together from the nearest gaps and matches, of which any three code points or
+    more hold a pair, so a span costs the same wherever it is in its text.
+    """
+    n = window // 3 + 2
 
     def one(s: Column) -> Column:
-        begin = F.greatest(F.lit(1), s["start"] + 1 - window)
-        around = F.lower(
-            F.concat_ws(" ", F.substring(text, begin, s["start"] + 1 - begin), F.substring(text, s["end"] + 1, F.lit(window)))
-        )
+        i = s["i"]
+        before = F.transform(F.slice(pairs, F.greatest(F.lit(1), i + 1 - n), F.least(F.lit(n), i)), lambda p: F.concat(F.right(p["gap"], F.lit(window)), F.right(p["value"], F.lit(window))))
+        behind = F.transform(F.slice(pairs, i + 2, n), lambda p: F.concat(F.left(p["gap"], F.lit(window)), F.left(F.coalesce(p["value"], F.lit("")), F.lit(window))))
+        left = F.right(F.concat(F.array_join(before, ""), F.right(F.get(pairs, i)["gap"], F.lit(window))), F.lit(window))
+        around = F.lower(F.concat_ws(" ", left, F.left(F.array_join(behind, ""), F.lit(window))))
         raised = F.when(around.rlike(rf"\b(?:{RAISING[kind]})"), 0.3).otherwise(0.0)
         lowered = F.when(around.rlike(rf"\b(?:{LOWERING})\b"), 0.2).otherwise(0.0)
         score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(PRIOR[kind]) + raised - lowered))
@@ -123,14 +154,18 @@ def scored(text: Column, spans: Column, kind: str, order: int, window: int) -> C
 
 def find_pii(docs: DataFrame, text: str = "text", out: str = "pii", window: int = 40, threshold: float = 0.6) -> DataFrame:
     """All columns of `docs` plus `out`: array<struct<start, kind_no, end, kind, score>> by start, then kind."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.struct("*").alias("_row"), body.alias("_text"))
-    rows = rows.select("_row", "_text", *[confirmed(F.col("_text"), k).alias(f"_{k}") for k in PATTERNS])
+    names = docs.columns
+    held = [f"c{i}" for i in range(len(names))]
+    body = F.coalesce(F.col(f"c{names.index(text)}"), F.lit(""))
+    rows = docs.toDF(*held).select(*held, *[proposed(body, k).alias(f"pairs_{k}") for k in PATTERNS])
+    rows = rows.select("*", *[confirmed(F.col(f"pairs_{k}"), k).alias(f"spans_{k}") for k in PATTERNS])
     every = []
     for order, kind in enumerate(PATTERNS):
-        with_score = scored(F.col("_text"), F.col(f"_{kind}"), kind, order, window)
+        with_score = scored(F.col(f"pairs_{kind}"), F.col(f"spans_{kind}"), kind, order, window)
         every.append(with_score if kind in BASE else F.filter(with_score, lambda s: s["score"] >= threshold))
-    return rows.select("_row", F.sort_array(F.concat(*every)).alias("_out")).select("_row.*", "_out").withColumn(out, F.col("_out")).drop("_out")
+    found = rows.select(*held, F.sort_array(F.concat(*every)).alias("found"))
+    columns = [F.col("found" if n == out else h).alias(n) for n, h in zip(names, held, strict=True)]
+    return found.select(*columns, *([] if out in names else [F.col("found").alias(out)]))
 
 
 def redact(docs: DataFrame, text: str = "text", spans: str = "pii", out: str = "redacted") -> DataFrame:
@@ -166,5 +201,6 @@ def digest(docs: DataFrame) -> DataFrame:
         *[_count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"),
         F.array_join(F.transform("pii", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
     )
