@@ -1,7 +1,8 @@
 """Operator 8: chat formatting as relational work.
 
 Turns of a conversation are collected as structs and sorted, adjacent turns of one role are merged
-into a block by array aggregation, and blocks are concatenated; all in Spark expressions.
+into a block by array functions (places of role changes, slices between them), and blocks are
+concatenated; all in Spark expressions and linear in the turns.
 
 Template.  A user block is `[INST]`...`[/INST]`, an assistant block ends in `</s>`, any other role is
 `[ROLE]`role`[BODY]`...`[/ROLE]`.  Merged turns stand in one block with `[SEP]` between them, so each
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutplan.llm.shared import once
+
 # The template's control strings.
 USER, USER_END, SAID_END, ROLE, BODY, ROLE_END, SEP = "[INST]", "[/INST]", "</s>", "[ROLE]", "[BODY]", "[/ROLE]", "[SEP]"
 CONTROL = r"(?:/?INST\]|SEP\]|/?ROLE\]|BODY\]|/s>)"
@@ -39,22 +42,16 @@ def blocks(turns: DataFrame, conv_id: str, turn: str, role: str, text: str) -> D
         F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     ordered = turns.groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    kind = "array<struct<role:string,first:int,last:int>>"
-    runs = F.aggregate(
-        F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), i.alias("first"), i.alias("last"))),
-        F.array().cast(kind),
-        lambda a, t: F.when(
-            F.get(a, F.size(a) - 1)["role"] == t["role"],
-            F.concat(
-                F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))),
-                F.array(F.struct(t["role"].alias("role"), F.get(a, F.size(a) - 1)["first"].alias("first"), t["last"].alias("last"))),
-            ),
-        ).otherwise(F.concat(a, F.array(t))),
-    )
-    texts = lambda b: F.transform(F.slice("turns", b["first"] + 1, b["last"] - b["first"] + 1), lambda t: t["text"])
-    return ordered.withColumn("runs", runs).select(
-        "conv_id", F.transform("runs", lambda b: F.struct(b["role"].alias("role"), texts(b).alias("texts"))).alias("blocks")
-    )
+    role_at = lambda i: F.get("turns", i)["role"]
+    changes = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (role_at(i) != role_at(i - 1)))
+    placed = ordered.select("conv_id", "turns", once(changes).alias("starts"))
+
+    def block(first: Column, k: Column) -> Column:
+        after = F.coalesce(F.get("starts", k + 1), F.size("turns"))
+        texts = F.transform(F.slice("turns", first + 1, after - first), lambda t: t["text"])
+        return F.struct(role_at(first).alias("role"), texts.alias("texts"))
+
+    return placed.select("conv_id", F.transform("starts", block).alias("blocks"))
 
 
 def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -22,12 +22,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for tables that cut lineage, below `spark.checkpoint.dir`.
 
     That folder is shared by all executors, so what is written there outlives a lost one.
-    Where the setting is missing (tests, one machine) a temporary folder is used.
+    Where the setting is missing on one machine (tests) a temporary folder is used; a cluster must have it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -37,6 +39,12 @@ def saved(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def once(value: Column) -> Column:
+    """The value made once a row: a generator is a barrier that projections aren't merged across, so a
+    lambda that uses the column doesn't make it anew for every element."""
+    return F.explode(F.array(value))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; `lower` does that for pure ASCII and is faster there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

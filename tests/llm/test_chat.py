@@ -37,3 +37,10 @@ def test_added_conversation_null_ids_and_empty_table(spark):
     got = {r.conv_id: r for r in chat.digest(frame).collect()}
     assert got[None].n_turns == 2 and got[-1].n_turns == 2 and got[-1].loss_chars == len("</s>[INST] ok [/INST]")
     assert chat.digest(frame.limit(0)).count() == 1
+
+
+def test_long_conversation(spark):
+    roles = ["user", "user", "assistant", "system", "assistant"]
+    rows = [(1, i, roles[i % 5], f"t{i}") for i in range(20_000)]
+    got = chat.parse_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).first()
+    assert [(t.role, t.text) for t in got.turns] == [(r[2], r[3]) for r in rows]
