@@ -2,7 +2,8 @@
 
 Lengths are UTF-8 bytes plus one end mark, the tokens of a byte-level vocabulary; any other length
 column can be given.  A document longer than the largest permitted length is cut into pieces of that
-length first.  Pieces are dealt by hash to shards of about `shard_pieces`, and a shard packs its own:
+length first.  Pieces are dealt to shards of about `shard_pieces` by a hash of id, piece and length, with
+a rank among equal ones, so bins don't depend on how the input is partitioned.  A shard packs its own:
 pieces by decreasing length, each into the open bin with the least room that still holds it.  If none
 does, a bin is opened, of the permitted length with the least cost for each token expected in it, where
 a bin of capacity c costs c * (1 + attention * c / largest).  What to expect in it is simulated on the
@@ -30,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutplan.llm.shared import saved, work_dir
+
 CAPACITIES = (2048, 4096, 8192)
 PACKED = "doc_id long, piece int, first long, length int, bin_id string, capacity int, place int"
 
@@ -132,9 +135,13 @@ def pack(
     """(doc_id, piece, first, length, bin_id, capacity, place): each piece's range of its document and where it lies."""
     capacities = tuple(sorted(capacities))
     parts = pieces(docs, doc_id, length if length is not None else byte_length(F.col(text)), capacities[-1])
-    total = parts.count()
+    # rows of one id, piece and length are alike in all that is returned; a rank among them deals them out too
+    counted = parts.groupBy("doc_id", "piece", "first", "length").agg(F.count(F.lit(1)).alias("n"))
+    counted = saved(counted, f"{work_dir(docs.sparkSession, 'packing')}/pieces")
+    total = counted.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_pieces))
-    spread = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards))
+    ranked = counted.select("doc_id", "piece", "first", "length", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("rank"))
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "length", "rank"), F.lit(shards))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
@@ -142,7 +149,7 @@ def pack(
         group = group.assign(bin_id=[f"{key[0]}-{b}" for b in bins], capacity=capacity, place=places)
         return group[["doc_id", "piece", "first", "length", "bin_id", "capacity", "place"]]
 
-    return parts.withColumn("shard", spread).groupBy("shard").applyInPandas(run, PACKED)
+    return ranked.withColumn("shard", spread).drop("rank").groupBy("shard").applyInPandas(run, PACKED)
 
 
 def digest(docs: DataFrame) -> DataFrame:
