@@ -92,20 +92,22 @@ class Stream:
     packets: list[tuple[int | None, bytes]] = field(default_factory=list)
     partial: bytes | None = None
     rate: int = 0
+    number: int = 0
     pages: int = 0
     last_granule: int = 0
     ended: bool = False
 
 
 def read(data: bytes) -> tuple[dict[int, Stream], int]:
-    """Logical streams by serial number, and the number of pages that fail their checksum or are cut off."""
+    """Logical streams by serial number, and the number of pages that fail their checksum, are cut off or
+    are missing by their sequence numbers; a packet that goes on from a missing page is left out."""
     streams: dict[int, Stream] = {}
-    bad = at = 0
+    bad = missing = at = 0
     while (at := data.find(b"OggS", at)) >= 0:
         if len(data) < at + HEAD.size:
             bad += 1
             break
-        _, _, flags, granule, serial, _, crc, n = HEAD.unpack_from(data, at)
+        _, _, flags, granule, serial, number, crc, n = HEAD.unpack_from(data, at)
         lacing = data[at + HEAD.size : at + HEAD.size + n]
         end = at + HEAD.size + n + sum(lacing)
         whole = data[at:end]
@@ -113,6 +115,9 @@ def read(data: bytes) -> tuple[dict[int, Stream], int]:
             bad, at = bad + 1, at + 4
             continue
         stream = streams.setdefault(serial, Stream())
+        if number != stream.number:
+            missing, stream.partial = missing + max(1, number - stream.number), None
+        stream.number = number + 1
         if not flags & CONTINUED:
             stream.partial = None
         first = len(stream.packets)
@@ -134,7 +139,8 @@ def read(data: bytes) -> tuple[dict[int, Stream], int]:
         stream.last_granule = max(stream.last_granule, granule)
         stream.ended |= bool(flags & LAST)
         at = end
-    return streams, bad
+    # a page that fails its checksum is missing from its stream as well and counts once
+    return streams, max(bad, missing)
 
 
 def payload_of(streams: dict[int, Stream]) -> bytes:

@@ -54,3 +54,11 @@ def test_query_rows(spark):
         assert "bad_pages=0" in rows[i].feature
     assert rows[2].media_sha256 == rows[6].media_sha256 and rows[0].feature == rows[1].feature
     assert ogg.digest(docs.limit(0)).count() == 0 and ogg.encode(docs).columns == ["doc_id", "text", "media"]
+
+
+def test_missing_pages_are_counted():
+    payload = bytes(range(256)) * 1200
+    data = ogg.write(payload)
+    at = [i for i in range(len(data)) if data[i : i + 4] == b"OggS"]
+    streams, bad = ogg.read(data[: at[3]] + data[at[4] :])
+    assert bad == 1 and len(ogg.payload_of(streams)) < len(payload)
