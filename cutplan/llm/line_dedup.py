@@ -1,11 +1,18 @@
 """Operator 1, native: line dedup over levelled sorted runs of line hashes.
 
-The store holds runs, Parquet tables of (h1, h2, n_docs, max_doc) hashed and sorted by the 128-bit
-line hash.  Each batch of documents adds a run on level 0; `fanout` runs of one level are merged
-into one run of the next, so a line is rewritten once a level and log(batches) times in all.
-Batches are disjoint doc_id ranges, so counts of distinct documents add up over runs.  Afterwards
-every line merge-anti-joins the compacted runs; only (document, position, hash) rows move, never
-line texts.
+Lines are hashed once, into a table of (batch, d, tag, pos, h1, h2); batches are ranges of doc_id.  They
+are added from the largest ids down, so the first batch that has a line has its largest doc_id.  The
+store holds runs: tables of distinct 128-bit line hashes with the doc_id that owns them, bucketed and
+sorted by the hash.  Each batch is grouped by hash and merge-anti-joins the runs: hashes that no run
+holds are the batch's own run, owned by the batch's largest doc_id that has the line; for the others the
+join brings the owner along.  Runs are disjoint, so `fanout` runs of one level merge into one of the next
+without any summing, and a hash is rewritten log(batches) times in all.
+
+Only lines that are met again can go, and only they are counted: every batch leaves the hashes that it
+repeats, with the number of documents besides the owner.  `min_docs` counts over the whole table, so no
+batch can decide it alone; one aggregate over these repeats does, and one pass over the hashed lines
+finds the places that go.  Only hashes and places move, never line texts, but for the texts that lose
+a line's place in the last join.
 
 Defined results: null or empty text is one empty line; rows with the same doc_id are one document
 when documents are counted, and each row gets its own result; a null doc_id is one document, smaller
@@ -15,14 +22,14 @@ result column replaces one of the same name.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutplan.llm.shared import SPACE, ascii_lower, saved, work_dir
+from cutplan.llm.shared import SPACE, ascii_lower, once, saved, work_dir
 
-RUN = ("h1", "h2", "n_docs", "max_doc")
 #: Stands for a null doc_id where ids are compared.
 LEAST = -(2**63)
 
@@ -47,56 +54,66 @@ def hashed_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Dat
 
 
 class LineRuns:
-    """The levelled store.  `add` takes a batch of `hashed_lines`, disjoint from others by document."""
+    """The levelled store.  `add` takes batches of `hashed_lines`, each of smaller doc_ids than those before."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
-        self.root = work_dir(spark, "line-runs")
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = 2):
+        self.spark, self.fanout, self.folder = spark, fanout, folder
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
-        self.written = 0
-
-    def _write(self, run: DataFrame) -> DataFrame:
-        self.written += 1
-        return saved(run.sortWithinPartitions("h1", "h2"), f"{self.root}/run-{self.written}")
-
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(
-            F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc")
-        )
-
-    def add(self, lines: DataFrame) -> None:
-        per_doc = lines.select("h1", "h2", "d").distinct()
-        run = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("d").alias("max_doc"))
-        self.levels[0].append(self._write(run))
+        self.repeats: list[DataFrame] = []
+        self.names: list[str] = []
+
+    def _write(self, rows: DataFrame, *parts: str) -> DataFrame:
+        """A table that Spark knows as bucketed and sorted by the hash, so that joins on it don't exchange it."""
+        self.names.append(f"line_runs_{uuid.uuid4().hex}")
+        dealt = rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        (dealt.partitionBy(*parts) if parts else dealt).option("path", f"{self.folder}/{self.names[-1]}").saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
+
+    def _compact(self) -> None:
+        """Full levels are merged into a run of the next; runs share no hash."""
         level = 0
-        while len(self.levels[level]) >= self.fanout:
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(self._write(self._merge(self.levels[level])))
-            self.levels[level] = []
+        while level < len(self.levels):
+            if len(self.levels[level]) >= self.fanout:
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(self._write(reduce(DataFrame.unionByName, self.levels[level]).repartition(self.buckets, "h1", "h2")))
+                self.levels[level] = []
             level += 1
 
-    def compacted(self) -> DataFrame:
-        runs = [run for level in self.levels for run in level]
-        return self._merge(runs) if len(runs) > 1 else runs[0]
-
-    def survivors(self, lines: DataFrame, min_docs: int) -> DataFrame:
-        """Merge-anti-join: lines that no document with a larger id holds, or that too few hold."""
-        frequent = self.compacted().where(F.col("n_docs") >= min_docs)
-        return lines.alias("l").join(
-            frequent.alias("r"),
-            (F.col("l.h1") == F.col("r.h1")) & (F.col("l.h2") == F.col("r.h2")) & (F.col("r.max_doc") > F.col("l.d")),
-            "left_anti",
-        )
-
-
-def batch_bounds(docs: DataFrame, doc_id: str, batches: int) -> list[int]:
-    """Upper bounds of all but the last doc_id range; ranges let the scan skip row groups."""
+    def add(self, lines: DataFrame) -> None:
+        self._compact()
+        held = [run for level in self.levels for run in level]
+        batch = lines.select("h1", "h2", "d").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("top"))
+        owner = F.lit(None).cast("long")
+        for k, run in enumerate(held):
+            batch = batch.join(run.select("h1", "h2", F.col("owner").alias(f"o{k}")).hint("merge"), ["h1", "h2"], "left")
+            owner = F.coalesce(owner, F.col(f"o{k}"))
+        fresh = owner.isNull()
+        marked = batch.select("h1", "h2", F.coalesce(owner, F.col("top")).alias("owner"), (F.col("n") - F.when(fresh, 1).otherwise(0)).alias("again"), fresh.alias("fresh"))
+        done = self._write(marked, "fresh")
+        self.levels[0].append(done.where("fresh").select("h1", "h2", "owner"))
+        self.repeats.append(done.where("again > 0").select("h1", "h2", "owner", "again"))
+
+    def frequent(self, min_docs: int) -> DataFrame:
+        """(h1, h2, owner) of lines that at least `min_docs` documents hold, the owner among them."""
+        total = reduce(DataFrame.unionByName, self.repeats).groupBy("h1", "h2").agg(F.sum("again").alias("n"), F.max("owner").alias("owner"))
+        return total.where(F.col("n") + 1 >= min_docs).select("h1", "h2", "owner")
+
+    def forget(self) -> None:
+        """Takes the tables' names out of the session's catalog; their files stay in the folder."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def batch_bounds(docs: DataFrame, doc_id: str, text: str, batches: int, batch_bytes: int) -> list[int]:
+    """Least doc_ids of all but the last batch, falling; as many batches as texts of `batch_bytes` each need."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    batches = max(batches, -(-total // batch_bytes))
     if batches < 2:
         return []
-    cuts = docs.select(F.percentile_approx(F.col(doc_id).cast("long"), [i / batches for i in range(1, batches)], 1000)).first()[0]
-    return sorted(set(cuts or []))
+    cuts = docs.select(F.percentile_approx(F.col(doc_id).cast("long"), [i / batches for i in range(1, batches)], 10 * batches)).first()[0]
+    return sorted(set(cuts or []), reverse=True)
 
 
 def dedup_lines(
@@ -107,39 +124,36 @@ def dedup_lines(
     min_chars: int = 40,
     min_docs: int = 5,
     batches: int = 3,
-    fanout: int = 3,
+    batch_bytes: int = 1 << 40,
+    fanout: int = 2,
 ) -> DataFrame:
-    """All columns of `docs` plus `out`: struct<n_lines, n_dropped: bigint, kept: string>."""
-    runs = LineRuns(docs.sparkSession, fanout)
-    low = None
-    for high in [*batch_bounds(docs, doc_id, batches), None]:
-        part = docs
-        if high is not None:
-            part = part.where(F.col(doc_id) <= high)
-        if low is not None:
-            part = part.where(F.col(doc_id) > low)
-        elif high is not None:
-            part = docs.where((F.col(doc_id) <= high) | F.col(doc_id).isNull())
-        runs.add(hashed_lines(part, doc_id, text, min_chars))
-        low = high
-
-    lines = hashed_lines(docs, doc_id, text, min_chars)
-    alive = runs.survivors(lines, min_docs).groupBy("d", "tag").agg(F.collect_set("pos").alias("_alive"))
+    """All columns of `docs` plus `out`: struct<n_lines, n_dropped: bigint, kept: string>.
+
+    There are at least `batches` batches, and more where a batch would have more than about `batch_bytes` of text.
+    """
+    spark = docs.sparkSession
+    folder = work_dir(spark, "line-runs")
+    bounds = batch_bounds(docs, doc_id, text, batches, batch_bytes)
+    number = F.lit(0)
+    for low in bounds:
+        number = number + F.when(F.col("d") < low, 1).otherwise(0)
+    hashed_lines(docs, doc_id, text, min_chars).withColumn("batch", number).write.partitionBy("batch").parquet(f"{folder}/lines")
+    lines = spark.read.schema("d long, tag long, pos int, h1 long, h2 long, batch int").parquet(f"{folder}/lines")
+    runs = LineRuns(spark, folder, fanout)
+    for k in range(len(bounds) + 1):
+        runs.add(lines.where(F.col("batch") == k))
+    frequent = saved(runs.frequent(min_docs), f"{folder}/frequent")
+    runs.forget()
+    gone = lines.join(frequent, ["h1", "h2"]).where(F.col("owner") > F.col("d"))
+    gone = gone.groupBy("d", "tag").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
 
     names = docs.columns
     held = [f"_c{i}" for i in range(len(names))]
     body = F.coalesce(F.col(held[names.index(text)]), F.lit(""))
     pieces = docs.toDF(*held).withColumn("d", _rank(F.col(held[names.index(doc_id)]))).withColumn("tag", F.xxhash64(body))
-    joined = pieces.join(alive, ["d", "tag"], "left")
-    # `once` keeps a value from being put into the lambdas that use it, where it would be made for every line
-    lined = joined.select(*held, "_alive", once(F.split(body, "\n")).alias("_lines"))
+    joined = pieces.join(gone, ["d", "tag"], "left")
+    lined = joined.select(*held, F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"), once(F.split(body, "\n")).alias("_lines"))
     numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
-    long_pos = F.filter(
-        numbers,
-        lambda i: (F.char_length(F.get("_lines", i)) >= min_chars) & (F.char_length(line_key(F.get("_lines", i))) >= min_chars),
-    )
-    dropped = F.array_except(long_pos, F.coalesce("_alive", F.array().cast("array<int>")))
-    lined = lined.select(*held, "_lines", once(dropped).alias("_gone"))
     kept = F.when(F.size("_gone") == 0, body).otherwise(
         F.array_join(F.transform(F.array_except(numbers, F.col("_gone")), lambda i: F.get("_lines", i)), "\n")
     )
@@ -151,11 +165,6 @@ def dedup_lines(
     return done.select(*columns, *([] if out in names else [F.col("_out").alias(out)]))
 
 
-def once(value: Column) -> Column:
-    """The value made once a row: a generator is a barrier that projections aren't merged across."""
-    return F.explode(F.array(value))
-
-
 def digest(docs: DataFrame) -> DataFrame:
     """The rows of the query: doc_id, n_lines, n_dropped, kept_sha256."""
     done = dedup_lines(docs.select("doc_id", "text"))

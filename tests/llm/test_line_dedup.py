@@ -59,3 +59,19 @@ def test_null_ids_and_empty_table(spark):
     got = {r.doc_id: r.line_dedup.n_dropped for r in D.dedup_lines(frame, min_chars=20, min_docs=3).collect()}
     assert got == {None: 1, 1: 1, 2: 0}
     assert D.digest(frame.limit(0)).count() == 0
+
+
+def test_runs_share_no_hash_and_are_not_exchanged_again(spark, tmp_path):
+    rows = [(d, 0, 0, h, h) for d in range(40) for h in range(d % 7, 60, 1 + d % 5)]
+    lines = spark.createDataFrame(rows, "d long, tag long, pos int, h1 long, h2 long")
+    runs = D.LineRuns(spark, f"file://{tmp_path}", fanout=2)
+    for low in (30, 20, 10, 0):
+        runs.add(lines.where(f"d >= {low} AND d < {low + 10}"))
+    held = [r for level in runs.levels for r in level]
+    owners = [(r.h1, r.owner) for run in held for r in run.collect()]
+    assert len(runs.levels) > 1 and len(owners) == len({h for h, _ in owners})
+    want = {h: max(d for d, *_, x, _ in rows if x == h) for h in {r[3] for r in rows}}
+    assert dict(owners) == want
+    plan = held[0].join(held[1].hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    runs.forget()
