@@ -8,9 +8,12 @@
    Survivors are verified on full sets.  A sixth of the bands comes first; stars of the others are
    needed only where the components found by then still differ.
 3. Components follow by minimum labels with pointer jumping.  A bucket with members in several
-   components isn't settled: its members are compared across components in blocks of bounded size,
-   by signature and then on full sets within the task, so every pair in a bucket is decided and only
-   links leave it.
+   components isn't settled: its members are compared across components in blocks of bounded size.
+   Signatures go first; members of pairs that they leave meet again, now with their texts, and are
+   verified on full sets within the task, so every pair in a bucket is decided and only links leave it.
+
+Texts of classes that share a bucket are written once, by set, and read from there; no other text is
+shuffled.
 
 Bands follow from `threshold`: with r rows, the least b with (1 - threshold**r)**b <= `band_miss`.
 Hot keys: copies collapse to a class before banding, stars and labels are pre-aggregated, pairs are
@@ -101,9 +104,9 @@ def _signatures(scheme: Scheme, sets: list[np.ndarray]) -> np.ndarray:
 
 
 SIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("text_id", pa.binary()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("text_id", pa.binary()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sig", pa.binary()), ("bands", pa.binary())]
 )
-SIGNED_DDL = "doc_id long, text_id binary, n_shingles long, set_id binary, sig binary, bands array<long>"
+SIGNED_DDL = "doc_id long, text_id binary, n_shingles long, set_id binary, sig binary, bands binary"
 
 
 def _sign(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +124,7 @@ def _sign(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 keys = K.mix((parts * factors).sum(2, dtype=K.U)).view(np.int64)
                 short = (K.mix(signature.astype(K.U)) >> K.U(48)).astype(np.uint16)
                 for j, i in enumerate(i for i, s in enumerate(sets) if len(s)):
-                    sigs[i], bands[i] = short[j].tobytes(), keys[j]
+                    sigs[i], bands[i] = short[j].tobytes(), keys[j].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(lo, hi - lo).cast(pa.int64()),
@@ -129,7 +132,7 @@ def _sign(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([K.digest16(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array(sigs, pa.binary()),
-                    pa.array(bands, pa.list_(pa.int64())),
+                    pa.array(bands, pa.binary()),
                 ],
                 schema=SIGNED,
             )
@@ -151,10 +154,11 @@ def signed(docs: DataFrame, scheme: Scheme, doc_id: str, text: str) -> DataFrame
 
 
 def class_texts(docs: DataFrame, needed: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """`needed` classes with the text that stands for each; rows without an id are met once a text."""
+    """(set_id, text) of `needed` classes (set_id, rep, rep_text); rows without an id are met once a text."""
     rows = keyed_texts(docs, doc_id, text)
     rows = rows.where(F.col("doc_id").isNotNull()).union(rows.where(F.col("doc_id").isNull()).dropDuplicates(["text_id"]))
-    return rows.join(needed, rows.doc_id.eqNullSafe(needed.rep) & (rows.text_id == needed.rep_text))
+    met = rows.join(needed, rows.doc_id.eqNullSafe(needed.rep) & (rows.text_id == needed.rep_text))
+    return met.select("set_id", "text")
 
 
 def ranked() -> Column:
@@ -181,35 +185,28 @@ def prune(pairs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(test, "a binary, b binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scheme: Scheme, doc_id: str, text: str) -> DataFrame:
-    """Pairs whose full sets reach the threshold.  Texts of the pairs' documents are met by set_id."""
-    needed = (
-        pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
-        .distinct()
-        .join(classes.select("set_id", "rep", "rep_text"), "set_id")
-    )
-    texts = class_texts(docs, needed, doc_id, text).select("set_id", "text")
+def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    for lo, hi in K.blocks(texts):
+        hashed, _, _, bounds = K.words(texts[lo:hi], K.NOT_SPACE)
+        for i in range(hi - lo):
+            yield K.shingles(hashed[bounds[i] : bounds[i + 1]], words)
+
+
+def verify(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs whose full sets reach the threshold.  texts (set_id, text)."""
     full = (
         pairs.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
 
-    def sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-        for lo, hi in K.blocks(texts):
-            hashed, _, _, bounds = K.words(texts[lo:hi], K.NOT_SPACE)
-            for i in range(hi - lo):
-                yield K.shingles(hashed[bounds[i] : bounds[i + 1]], scheme.words)
-
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table, ok = pa.table(batch), []
-            columns = zip(sets(K.as_bytes(batch.column(2))), sets(K.as_bytes(batch.column(3))), strict=True)
-            for x, y, a, b in zip(*zip(*columns, strict=True), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if table.num_rows else ():
+            sets = (shingle_sets(K.as_bytes(batch.column(i)), scheme.words) for i in (2, 3))
+            for x, y in zip(*sets, strict=True):
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                # rows of one doc_id may have several texts; only the texts that the pair is about count
-                right = K.digest16(x.tobytes()) == a and K.digest16(y.tobytes()) == b
-                ok.append(right and 100 * common >= scheme.percent * (len(x) + len(y) - common))
+                ok.append(100 * common >= scheme.percent * (len(x) + len(y) - common))
             if table.num_rows:
                 yield from table.filter(pa.array(ok, pa.bool_())).select(["a", "b"]).to_batches()
 
@@ -260,73 +257,100 @@ def shared_counts(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return common[at[:, 0], at[:, 1]].astype(np.int64)
 
 
-def decide_group(group: pd.DataFrame, scheme: Scheme) -> list[tuple[bytes, bytes]]:
-    """Links across components within one block, or between two blocks, of a bucket.
-
-    A pair that also shares a bucket of an earlier band is decided there.
-    """
-    group = group.drop_duplicates(["set_id", "text"])
-    texts, sets = [t.encode() for t in group["text"]], []
-    for lo, hi in K.blocks(texts):
-        hashed, _, _, bounds = K.words(texts[lo:hi], K.NOT_SPACE)
-        sets += [K.shingles(hashed[bounds[i] : bounds[i + 1]], scheme.words) for i in range(hi - lo)]
-    right = [k for k, (s, x) in enumerate(zip(sets, group["set_id"], strict=True)) if K.digest16(s.tobytes()) == x]
-    group, sets = group.iloc[right], [sets[k] for k in right]
-    ids, slot, band = group["set_id"].to_numpy(), group["slot"].to_numpy(), group["band"].iloc[0] if len(group) else 0
-    sigs = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(len(group), scheme.hashes)
-    keys = np.array(group["bands"].tolist(), np.int64).reshape(len(group), scheme.bands)[:, :band]
-    root = pd.factorize(group["root"])[0]
-    sizes = np.array([len(s) for s in sets])
-    apart = len(group) > 0 and group["s0"].iloc[0] != group["s1"].iloc[0]
-    found = []
-    for i in range(len(group) - 1):
-        rest = np.arange(i + 1, len(group))
-        rest = rest[(root[rest] != root[i]) & ((slot[rest] != slot[i]) if apart else True)]
-        small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-        rest = rest[100 * small >= scheme.percent * large]
-        rest = rest[~(keys[rest] == keys[i]).any(1)]
-        rest = rest[scheme.alike(np.broadcast_to(sigs[i], (len(rest), scheme.hashes)), sigs[rest])]
-        found.append(np.stack([np.full(len(rest), i), rest], 1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    common = shared_counts(sets, pairs)
-    ok = pairs[100 * common >= scheme.percent * (sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - common)]
-    return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in ok]
-
-
-def open_links(
-    buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, scheme: Scheme, block: int, doc_id: str, text: str
-) -> DataFrame:
+class Bundle:
+    """Rows of many blocks of buckets as arrays; `blocks` gives each block's row numbers."""
+
+    def __init__(self, group: pd.DataFrame, scheme: Scheme):
+        self.scheme, n = scheme, len(group)
+        self.band, self.slot, self.size = (group[c].to_numpy(np.int64) for c in ("band", "slot", "n"))
+        self.key = [group[c].to_numpy(np.int64) for c in ("bucket", "s0", "s1")]
+        self.root = pd.factorize(group["root"])[0]
+        self.sigs = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(n, scheme.hashes)
+        self.keys = np.frombuffer(b"".join(group["bands"]), np.int64).reshape(n, scheme.bands)
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        order = np.lexsort(self.key[::-1])
+        new = np.zeros(len(order), bool)
+        for k in self.key:
+            new[1:] |= k[order[1:]] != k[order[:-1]]
+        yield from np.split(order, np.flatnonzero(new))
+
+    def pairs(self, block: np.ndarray) -> np.ndarray:
+        """Row pairs of a block, across components, that sizes and signatures leave; of two different
+        slots of a bucket only pairs across them, and none that a bucket of an earlier band decides."""
+        if self.root[block].min() == self.root[block].max():
+            return np.zeros((0, 2), np.int64)
+        apart, band, found = self.key[1][block[0]] != self.key[2][block[0]], self.band[block[0]], []
+        for k, i in enumerate(block[:-1].tolist()):
+            rest = block[k + 1 :]
+            rest = rest[(self.root[rest] != self.root[i]) & ((self.slot[rest] != self.slot[i]) if apart else True)]
+            small, large = np.minimum(self.size[rest], self.size[i]), np.maximum(self.size[rest], self.size[i])
+            rest = rest[100 * small >= self.scheme.percent * large]
+            rest = rest[~(self.keys[rest, :band] == self.keys[i, :band]).any(1)]
+            if len(rest):
+                rest = rest[self.scheme.alike(np.broadcast_to(self.sigs[i], (len(rest), self.scheme.hashes)), self.sigs[rest])]
+                found.append(np.stack([np.full(len(rest), i), rest], 1))
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+DEALT = ["bucket", "s0", "s1", "slots", "band", "slot", "set_id", "root", "n", "sig", "bands"]
+DEALT_DDL = "bucket long, s0 int, s1 int, slots int, band int, slot int, set_id binary, root binary, n long, sig binary, bands binary"
+#: Rows that one call compares; small blocks share a call.
+CALL_ROWS = 2048
+
+
+def bundled(rows: DataFrame, total: int) -> DataFrame:
+    """Rows with `bundle`: blocks of buckets of one slot are dealt by hash to calls of about `CALL_ROWS`."""
+    calls = F.lit(max(1, -(-total // CALL_ROWS)))
+    return rows.withColumn("bundle", F.when(F.col("slots") == 1, F.pmod(F.xxhash64("bucket"), calls)).otherwise(F.xxhash64("bucket", "s0", "s1")))
+
+
+def open_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, scheme: Scheme, block: int, folder: str) -> DataFrame:
     """Links across components within a bucket, found and verified block by block.
 
-    Members of a bucket get a block number by hash, `block` members or `BLOCK_SHINGLES` shingles to a
-    number; each two numbers are one group, so a group's size doesn't grow with its bucket.
+    Members of a bucket get a slot by hash, `block` members or `BLOCK_SHINGLES` shingles to a slot; each
+    two slots are one block, so a block's size doesn't grow with its bucket.
     """
     marked = buckets.join(labels.select("set_id", F.col("label.set_id").alias("root")), "set_id", "left").withColumn(
         "root", F.coalesce("root", "set_id")
     )
-    unsettled = (
+    slots = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    unsettled = saved(
         marked.groupBy("bucket")
         .agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
         .where((F.col("r0") != F.col("r1")) & (F.col("m") > 2))
+        .select("bucket", slots.alias("slots"), "m"),
+        f"{folder}/unsettled",
     )
-    slots = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    members = (
-        marked.join(unsettled.select("bucket", slots.alias("slots")), "bucket")
-        .withColumn("slot", F.pmod(F.xxhash64("set_id"), "slots").cast("int"))
-        .select("bucket", "band", "set_id", "root", "slot", "slots")
-    )
-    needed = members.select("set_id").distinct().join(classes.select("set_id", "rep", "rep_text", "sig", "bands"), "set_id")
-    full = class_texts(docs, needed, doc_id, text).select("set_id", "sig", "bands", "text")
+    small = unsettled.where("slots = 1").agg(F.sum("m")).first()[0] or 0
+    members = marked.join(unsettled.select("bucket", "slots"), "bucket").withColumn("slot", F.pmod(F.xxhash64("set_id"), "slots").cast("int"))
     dealt = (
-        members.join(full, "set_id")
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other"))
-        .select("bucket", "band", "set_id", "root", "sig", "bands", "slot", "text", F.least("slot", "other").alias("s0"), F.greatest("slot", "other").alias("s1"))
+        members.join(classes.select("set_id", "sig", "bands"), "set_id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        .withColumns({"s0": F.least("slot", "other"), "s1": F.greatest("slot", "other")})
     )
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(decide_group(group, scheme), columns=["a", "b"])
-
-    return dealt.groupBy("bucket", "s0", "s1").applyInPandas(compare, "a binary, b binary").distinct()
+    def left(group: pd.DataFrame) -> pd.DataFrame:
+        bundle = Bundle(group, scheme)
+        rows = [np.unique(bundle.pairs(b)) for b in bundle.blocks()]
+        return group.iloc[np.concatenate(rows)][DEALT]
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        bundle, ids, found = Bundle(group, scheme), group["set_id"].to_numpy(), []
+        for rows in bundle.blocks():
+            if not len(pairs := bundle.pairs(rows)):
+                continue
+            used, at = np.unique(pairs, return_inverse=True)
+            sets = list(shingle_sets([t.encode() for t in group["text"].iloc[used]], scheme.words))
+            at = at.reshape(pairs.shape)
+            common, sizes = shared_counts(sets, at), np.array([len(x) for x in sets])
+            ok = 100 * common >= scheme.percent * (sizes[at].sum(1) - common)
+            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in pairs[ok]]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    some = saved(bundled(dealt.select(*DEALT), small).groupBy("bundle").applyInPandas(left, DEALT_DDL), f"{folder}/open-left")
+    full = bundled(some.join(texts, "set_id"), some.where("slots = 1").count())
+    return full.select("bundle", *DEALT, "text").groupBy("bundle").applyInPandas(linked, "a binary, b binary").distinct()
 
 
 def decided(
@@ -338,7 +362,7 @@ def decided(
     rows: int = 5,
     band_miss: float = 1e-6,
     miss: float = 1e-7,
-    block: int = 256,
+    block: int = 1024,
 ) -> DataFrame:
     """(doc_id, text_id, n_shingles, component_id, kept), one row per row of `docs`; one is kept of each component."""
     spark = docs.sparkSession
@@ -357,8 +381,9 @@ def decided(
         .select("set_id", F.col("least.doc_id").alias("rep"), F.col("least.text_id").alias("rep_text"), F.col("least.row").alias("rep_row"), "n", "sig", "bands"),
         f"{folder}/classes",
     )
-    keyed = classes.select("set_id", "rep", "n", F.posexplode("bands").alias("band", "key")).select(
-        "set_id", "rep", "n", "band", F.xxhash64("band", "key").alias("bucket")
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(scheme.bands - 1)))
+    keyed = classes.select("set_id", "rep", "n", "bands", numbers.alias("band")).select(
+        "set_id", "rep", "n", "band", F.xxhash64("band", F.substring("bands", F.col("band") * 8 + 1, F.lit(8))).alias("bucket")
     )
     firsts = (
         keyed.groupBy("bucket")
@@ -368,10 +393,12 @@ def decided(
     )
     buckets = saved(keyed.join(firsts, "bucket").select("bucket", "band", "set_id", "n", "a"), f"{folder}/buckets")
     nodes = classes.select("set_id", "rep")
+    met = buckets.select("set_id").distinct().join(classes.select("set_id", "rep", "rep_text"), "set_id")
+    texts = saved(class_texts(docs, met, doc_id, text), f"{folder}/texts")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         left = saved(prune(pairs, classes, scheme), f"{folder}/{name}")
-        return saved(verify(left, docs, classes, scheme, doc_id, text), f"{folder}/{name}-links")
+        return saved(verify(left, texts, scheme), f"{folder}/{name}-links")
 
     early = max(1, scheme.bands // 6)
     stars = buckets.where(F.col("a") != F.col("set_id")).select("band", "a", F.col("set_id").alias("b"))
@@ -392,7 +419,7 @@ def decided(
         links = links.union(late)
         labels = components(nodes, links, f"{folder}/second")
     members = buckets.select("bucket", "band", "set_id", "n")
-    more = saved(open_links(members, labels, classes, docs, scheme, block, doc_id, text), f"{folder}/open")
+    more = saved(open_links(members, labels, classes, texts, scheme, block, folder), f"{folder}/open")
     if not more.isEmpty():
         labels = components(nodes, links.union(more), f"{folder}/third")
     roots = classes.select("set_id", "rep", "rep_row").join(labels, "set_id", "left")
@@ -401,6 +428,8 @@ def decided(
         F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("label.rep")).alias("root"),
         F.when(F.coalesce("label.set_id", "set_id") == F.col("set_id"), F.col("rep_row")).otherwise(-1).alias("kept_row"),
     )
+    # a plain table, so that Spark can split the join where one set has very many rows
+    roots = saved(roots, f"{folder}/roots")
     done = signs.select("doc_id", "text_id", "n_shingles", "set_id", "row").join(roots, "set_id", "left")
     component = F.when(F.col("kept_row").isNull(), F.col("doc_id")).otherwise(F.col("root"))
     kept = F.coalesce(F.col("row") == F.col("kept_row"), F.lit(True))
