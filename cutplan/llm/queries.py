@@ -33,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_near_dedup": near_dedup.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,
         "op8_chat": chat.ORACLE,
+        "op10_substring_dedup": substring_dedup.ORACLE,
     }

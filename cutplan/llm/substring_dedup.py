@@ -7,7 +7,9 @@ bytes from the first start to the end of the last string.
 1. One pass over the texts gives a digest row for each context.  Contexts whose digest occurs more
    than once are repeated from end to end; no text moves for them.
 2. What is left to decide is contexts that occur once but share their anchor with a different one.
-   One text of each distinct context of such an anchor goes to a shard by anchor, of bounded bytes.
+   One text of each distinct context of such an anchor goes to a shard by anchor.  Anchors' bytes are
+   measured: one that makes up a good part of a shard is a shard of its own, the others are dealt by
+   hash, so shards are near `shard_bytes` each.
 3. A shard sorts its suffixes to a sufficient depth and runs the breadth-first expansion: intervals
    of strings of length 0, 1, 2, ... are extended backwards by one byte on the transform; the right
    end of a new interval is a place where neighbouring suffixes have exactly that many bytes in
@@ -215,8 +217,8 @@ def _spans(mask: np.ndarray, start: int, length: int) -> Iterator[tuple[int, int
         yield start + a, start + b - 1 + length
 
 
-def shard_spans(pieces: DataFrame, length: int, shards: int) -> DataFrame:
-    """Byte spans repeated elsewhere in contexts that occur once, shard by shard."""
+def shard_spans(pieces: DataFrame, length: int, shards: int, tasks: int) -> DataFrame:
+    """Byte spans repeated elsewhere in contexts that occur once, shard by shard, dealt to `tasks` tasks."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         masks = repeated_starts(group["body"].tolist(), length)
@@ -228,8 +230,9 @@ def shard_spans(pieces: DataFrame, length: int, shards: int) -> DataFrame:
         ]
         return pd.DataFrame(found, columns=["d", "tag", "first", "past"])
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    return dealt.select("shard", "d", "tag", "n", "start", "body").groupBy("shard").applyInPandas(run, SPAN_DDL)
+    shard = F.when(F.col("wide"), F.xxhash64(F.lit("wide"), "anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    dealt = pieces.select(shard.alias("shard"), "d", "tag", "n", "start", "body").repartition(tasks, "shard")
+    return dealt.groupBy("shard").applyInPandas(run, SPAN_DDL)
 
 
 def counted_spans(pieces: DataFrame, length: int) -> DataFrame:
@@ -261,7 +264,7 @@ def counted_spans(pieces: DataFrame, length: int) -> DataFrame:
 
 def bodies(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Adds the bytes of each wanted context (d, tag, start, m, ...), cut from its text."""
-    lists = wanted.groupBy("d", "tag").agg(F.collect_list(F.struct("start", "m", "n", "anchor", "hot")).alias("cuts"))
+    lists = wanted.groupBy("d", "tag").agg(F.collect_list(F.struct("start", "m", "n", "anchor", "hot", "wide")).alias("cuts"))
     joined = rows.join(lists, ["d", "tag"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,12 +281,12 @@ def bodies(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     cuts,
                     schema=pa.schema(
                         [("d", pa.int64()), ("tag", pa.int32()), ("start", pa.int64()), ("m", pa.int32()), ("n", pa.int64()),
-                         ("anchor", pa.int64()), ("hot", pa.bool_()), ("body", pa.binary())]
+                         ("anchor", pa.int64()), ("hot", pa.bool_()), ("wide", pa.bool_()), ("body", pa.binary())]
                     ),
                 )
 
     return joined.select("d", "tag", "text", "cuts").mapInArrow(
-        run, "d long, tag int, start long, m int, n long, anchor long, hot boolean, body binary"
+        run, "d long, tag int, start long, m int, n long, anchor long, hot boolean, wide boolean, body binary"
     )
 
 
@@ -311,14 +314,16 @@ def remove_repeats(
     )
     shared = (
         distinct.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"))
+        .agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.sum(F.col("at.m") + length).alias("size"))
         .where("k > 1 AND least = 1")
-        .select("anchor", (F.col("k") > max_contexts).alias("hot"))
+        .select("anchor", (F.col("k") > max_contexts).alias("hot"), (F.col("size") > shard_bytes // 8).alias("wide"))
     )
-    wanted = distinct.join(shared, "anchor").select("at.d", "at.tag", "at.start", "at.m", "n", "anchor", "hot")
+    wanted = distinct.join(shared, "anchor").select("at.d", "at.tag", "at.start", "at.m", "n", "anchor", "hot", "wide")
     cut = saved(bodies(rows.select("d", "tag", "text"), wanted, length), f"{folder}/bodies")
-    total, hot = cut.agg(F.sum(F.octet_length("body")), F.max("hot")).first()
-    spans = shard_spans(cut.where("NOT hot"), length, max(1, -(-(total or 0) // shard_bytes)))
+    size = F.octet_length("body")
+    total, narrow, hot = cut.agg(F.sum(size), F.sum(F.when(~F.col("wide"), size)), F.max("hot")).first()
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // (8 * shard_bytes)))
+    spans = shard_spans(cut.where("NOT hot"), length, max(1, -(-(narrow or 0) // shard_bytes)), tasks)
     if hot:
         spans = spans.union(counted_spans(cut.where("hot"), length))
     many = distinct.where("n > 1").select("h1", "h2")
@@ -352,3 +357,36 @@ def digest(docs: DataFrame) -> DataFrame:
     """The rows of the query: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     done = remove_repeats(docs)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Texts are cut into hex digits of chunks that overlap, so that each string is taken from a short one.
+ORACLE = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents
+),
+chunk AS (
+  SELECT r, c, substr(x, 800 * c + 1, 1598) AS y FROM (SELECT r, x, unnest(range(0, length(x) // 800 + 1)) AS c FROM doc)
+),
+string AS (
+  SELECT r, 400 * c + o AS i, md5_number(substr(y, 2 * o + 1, 800)) AS h
+  FROM (SELECT r, c, y, unnest(range(0, least(400, length(y) // 2 - 399))) AS o FROM chunk WHERE length(y) >= 800)
+),
+again AS (SELECT h FROM string GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i FROM string SEMI JOIN again USING (h)),
+edge AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM hit),
+span AS (
+  SELECT r, min(i) AS first, max(i) + 400 AS past
+  FROM (SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM edge) GROUP BY r, g
+),
+gap AS (
+  SELECT r, past AS first, lead(first) OVER (PARTITION BY r ORDER BY first) AS past FROM span
+  UNION ALL SELECT r, 0, min(first) FROM span GROUP BY r
+),
+kept AS (
+  SELECT r, string_agg(substr(x, 2 * first + 1, 2 * (coalesce(past, length(x) // 2) - first)), '' ORDER BY first) AS k FROM gap JOIN doc USING (r) GROUP BY r
+),
+removed AS (SELECT r, sum(past - first) AS n_removed, count(*) AS n_spans FROM span GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM doc LEFT JOIN removed ON removed.r = doc.r LEFT JOIN kept ON kept.r = doc.r
+"""
