@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutplan.functions.frames import mean_abs_diff
+from cutplan.sources.work import work_dir
 
 # Template categories, and the value of a category without a score.
 CTYPES = ("pause", "speed_1x", "speed_2x", "speed_0_2x")
@@ -85,83 +87,309 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
 
 
 SCORES = "video_id long, frame_idx long, ctype string, template_id int, score double, x int, y int"
-#: Pixels of patches that the kernel holds at once.
-PATCH_PIXELS = 2_000_000
-
-
-def _score_block(images: np.ndarray, t: Row) -> tuple[np.ndarray, np.ndarray] | None:
-    """(best correlation or nan, its place in row order) of one template on images[n, h, w]."""
-    n, height, width = images.shape
-    region = images[:, t.roi_y : min(height, t.roi_y + t.roi_h), t.roi_x : min(width, t.roi_x + t.roi_w)]
-    if region.shape[1] < t.th or region.shape[2] < t.tw:
-        return None
-    on = np.array(t.m, bool).reshape(t.th, t.tw)
-    z = np.where(on, np.array(t.t, float).reshape(t.th, t.tw), 0.0)
-    count = int(on.sum())
-    if count == 0:
-        return np.full(n, np.nan), np.zeros(n, int)
-    z = np.where(on, z - z.sum() / count, 0.0)
-    score, place = np.empty(n), np.empty(n, int)
-    patches = np.lib.stride_tricks.sliding_window_view(region, (t.th, t.tw), axis=(1, 2))
-    size = max(1, PATCH_PIXELS // (patches.shape[1] * patches.shape[2] * t.th * t.tw))
-    for lo in range(0, n, size):
-        p = np.where(on, patches[lo : lo + size], 0.0)
-        total, squares = p.sum((3, 4)), (p * p).sum((3, 4))
-        spread = squares - total * total / count
-        flat = (spread <= 1e-12 * squares) | ((z * z).sum() <= 0)
-        r = np.where(flat, -np.inf, (p * z).sum((3, 4)) / np.sqrt(np.where(flat, 1.0, spread * (z * z).sum()))).reshape(len(p), -1)
-        place[lo : lo + size] = r.argmax(1)
-        score[lo : lo + size] = r.max(1)
-    return np.where(np.isfinite(score), score, np.nan), place
+#: Pixels of frames that the kernel holds at once, and the largest matrix that it makes of a template.
+KERNEL_PIXELS = 1 << 15
+MATRIX_CELLS = 1 << 20
+Rect = tuple[int, int, int, int]
+
+
+def cropped(rect: Rect, binary: bool) -> Column:
+    """The pixels of a frame (w, h, gray) inside x0, y0, x1, y1, clamped to the frame, row by row."""
+    x0, y0, x1, y1 = (F.lit(v) for v in rect)
+    cols, rows = F.least("w", x1) - x0, F.least("h", y1) - y0
+    if binary:
+        row = lambda r: F.substring("gray", (F.lit(r) * F.col("w") + x0 + 1).cast("int"), cols)
+        lines = [F.when(F.col("h") > r, row(r)).otherwise(F.lit(b"")) for r in range(rect[1], rect[3])]
+        return F.when((cols > 0) & (rows > 0), F.concat(*lines)).otherwise(F.lit(b""))
+    line = lambda r: F.slice("gray", (r * F.col("w") + x0 + 1).cast("int"), cols)
+    part = F.flatten(F.transform(F.sequence(y0, y0 + rows - 1), line))
+    whole = F.slice("gray", (y0 * F.col("w") + 1).cast("int"), F.col("w") * rows)
+    return F.when((cols <= 0) | (rows <= 0), F.slice("gray", 1, 0)).when((cols == F.col("w")), whole).otherwise(part)
+
+
+def _fast(n: int) -> int:
+    """The least length of at least n without prime factors above 5."""
+    while True:
+        m = n
+        for f in (2, 3, 5):
+            while m % f == 0:
+                m //= f
+        if m == 1:
+            return n
+        n += 1
+
+
+def shifted(t: np.ndarray, width: int) -> np.ndarray:
+    """[th * width, nx]: the template's rows at every horizontal place, so that th rows of a picture in one
+    line times this are its sums at all horizontal places."""
+    th, tw = t.shape
+    out = np.zeros((th, width, width - tw + 1))
+    for x in range(width - tw + 1):
+        out[:, x : x + tw, x] = t
+    return out.reshape(th * width, -1)
+
+
+class Template:
+    """A template's pixels, centred, with its mask and what is made of them for a width of pictures."""
+
+    def __init__(self, t: np.ndarray, on: np.ndarray):
+        self.height, self.width, self.count, self.full = *t.shape, int(on.sum()), bool(on.all())
+        self.z = np.where(on, t - (t[on].sum() / self.count if self.count else 0.0), 0.0)
+        self.on, self.norm = on.astype(np.float64), float((self.z * self.z).sum())
+        self.made: dict[tuple, np.ndarray] = {}
+
+    def __reduce__(self) -> tuple:
+        return Template, (self.z, self.on > 0)
+
+    def matrix(self, name: str, width: int, kind: type) -> np.ndarray:
+        key = (name, width, kind)
+        if key not in self.made:
+            self.made[key] = shifted(self.z if name == "z" else self.on, width).astype(kind)
+        return self.made[key]
+
+
+class Pictures:
+    """A region of some frames, [n, h, w], with what the scores of several templates share.
+
+    Sums over placements come from matrix products, in single precision where pixels are whole bytes, or
+    from a Fourier transform where the template's matrix would be large; sums of boxes from integral images.
+    """
+
+    def __init__(self, region: np.ndarray):
+        self.exact, self.kind = region.dtype.kind in "iu", np.float32 if region.dtype == np.uint8 else np.float64
+        # sums of squared bytes of a small region fit into 32 bits
+        narrow = region.dtype == np.uint8 and region.shape[1] * region.shape[2] < 1 << 15
+        self.raw = region.astype(np.int32 if narrow else np.float64)
+        self.size = (_fast(region.shape[1]), _fast(region.shape[2]))
+        self.kept: dict[str, np.ndarray] = {}
+
+    def _made(self, name: str, make: Callable[[], np.ndarray]) -> np.ndarray:
+        if name not in self.kept:
+            self.kept[name] = make()
+        return self.kept[name]
+
+    def _values(self, name: str) -> np.ndarray:
+        """`even`: pixels less their mean, `raw`: pixels, `square`: their squares."""
+        if name == "even":
+            return self._made(name, lambda: self.raw.astype(self.kind) - self.raw.mean((1, 2), keepdims=True, dtype=self.kind))
+        return self.raw if name == "raw" else self._made("square", lambda: self.raw * self.raw)
+
+    def _lines(self, name: str, th: int) -> np.ndarray:
+        """[n * ny, th * w]: th rows in one line, from each row on."""
+
+        def make() -> np.ndarray:
+            v = np.ascontiguousarray(self._values(name))
+            n, h, w = v.shape
+            view = np.lib.stride_tricks.as_strided(v, (n, h - th + 1, th * w), (v.strides[0], v.strides[1], v.strides[2]))
+            return view.reshape(n * (h - th + 1), th * w)
+
+        return self._made(f"{name} {th}", make)
+
+    def _placed(self, name: str, t: Template, part: str) -> np.ndarray:
+        """[n, ny, nx] sums of the values times the template's pixels (part z) or its mask (part on)."""
+        n, h, w = self.raw.shape
+        ny, nx = h - t.height + 1, w - t.width + 1
+        if t.height * w * nx <= MATRIX_CELLS:
+            kind = self.kind if name == "even" else np.float64
+            return (self._lines(name, t.height) @ t.matrix(part, w, kind)).reshape(n, ny, nx)
+        spectrum = self._made(f"{name} spectrum", lambda: np.fft.rfft2(self._values(name), self.size))
+        return np.fft.irfft2(spectrum * np.conj(np.fft.rfft2(t.z if part == "z" else t.on, self.size)), self.size)[:, :ny, :nx]
+
+    def _boxes(self, name: str, th: int, tw: int) -> np.ndarray:
+        """Sums of all th x tw boxes."""
+
+        def integral() -> np.ndarray:
+            v = self._values(name)
+            out = np.zeros((len(v), v.shape[1] + 1, v.shape[2] + 1), v.dtype)
+            np.cumsum(v, axis=1, out=out[:, 1:, 1:])
+            return np.cumsum(out, axis=2, out=out)
+
+        c = self._made(f"{name} integral", integral)
+        down = c[:, th:] - c[:, :-th]
+        return down[:, :, tw:] - down[:, :, :-tw]
+
+    def _spread(self, t: Template) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of squared deviations at all placements, and where they are none."""
+        if t.full:
+            total, squares = self._boxes("raw", t.height, t.width), self._boxes("square", t.height, t.width)
+        else:
+            total, squares = self._placed("raw", t, "on"), self._placed("square", t, "on")
+            if self.exact:  # sums of whole numbers
+                total, squares = np.rint(total), np.rint(squares)
+        total = total.astype(np.float64)
+        spread = squares - total * total / t.count
+        least = 1e-12 * squares + (0.0 if self.exact else 1e-14 * self._values("square").sum((1, 2))[:, None, None])
+        return spread, spread <= least
+
+    def scores(self, t: Template) -> np.ndarray | None:
+        """[n, ny, nx] correlations of a template at all placements, -inf where one side doesn't vary."""
+        n, ny, nx = len(self.raw), self.raw.shape[1] - t.height + 1, self.raw.shape[2] - t.width + 1
+        if ny < 1 or nx < 1:
+            return None
+        if t.norm <= 0:
+            return np.full((n, ny, nx), -np.inf)
+        spread, flat = self._spread(t)
+        spread[flat] = 1.0
+        r = self._placed("even", t, "z") / np.sqrt(spread * t.norm)
+        r[flat] = -np.inf
+        return np.minimum(r, 1.0)
+
+
+class Templates:
+    """Collected templates with their pixels as arrays, and the rectangle that each category's regions cover."""
+
+    def __init__(self, rows: list[Row]):
+        self.rows = sorted(rows, key=lambda t: (CTYPES.index(t.ctype) if t.ctype in CTYPES else len(CTYPES), t.ctype, t.template_id))
+        self.pixels = [Template(np.array(t.t, float).reshape(t.th, t.tw), np.array(t.m, bool).reshape(t.th, t.tw)) for t in self.rows]
+        self.rects: dict[str, Rect] = {}
+        for t in self.rows:
+            x0, y0, x1, y1 = self.rects.get(t.ctype, (t.roi_x, t.roi_y, 0, 0))
+            self.rects[t.ctype] = (min(x0, t.roi_x), min(y0, t.roi_y), max(x1, t.roi_x + t.roi_w), max(y1, t.roi_y + t.roi_h))
+        self.ctypes = list(self.rects)
+
+    def columns(self, frames: DataFrame) -> DataFrame:
+        """(video_id, frame_idx, w, h, a column of pixels a category); frames whose payload isn't w x h go."""
+        binary = isinstance(frames.schema["gray"].dataType, T.BinaryType)
+        held = F.octet_length("gray") if binary else F.size("gray")
+        sound = frames.where(held == F.col("w") * F.col("h"))
+        ids = [F.col("video_id").cast("long").alias("video_id"), F.col("frame_idx").cast("long").alias("frame_idx")]
+        # a rectangle's rows are written out for bytes; one that goes far beyond any frame is cut to the tallest
+        tallest = 1 << 12
+        rects = [(x0, y0, x1, min(y1, y0 + tallest)) for x0, y0, x1, y1 in self.rects.values()]
+        if binary and any(r[3] - r[1] > 256 for r in rects):
+            pixels = [F.col("gray").alias(f"g{k}") for k in range(len(rects))]
+            self.rects = {c: (0, 0, 1 << 30, 1 << 30) for c in self.rects}
+        else:
+            pixels = [cropped(r if binary else rect, binary).alias(f"g{k}") for k, (r, rect) in enumerate(zip(rects, self.rects.values(), strict=True))]
+        return sound.select(*ids, F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), *pixels)
+
+    def shapes(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Frames of one size in a batch: (w, h, their places)."""
+        w, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+        for size in sorted(set(zip(w.tolist(), h.tolist(), strict=True))):
+            yield *size, np.flatnonzero((w == size[0]) & (h == size[1]))
+
+    def region(self, batch: pa.RecordBatch, ctype: str, w: int, h: int, at: np.ndarray) -> np.ndarray:
+        """[len(at), rows, columns] of the pixels of a category's rectangle."""
+        x0, y0, x1, y1 = self.rects[ctype]
+        cols, rows = max(0, min(w, x1) - x0), max(0, min(h, y1) - y0)
+        column = batch.column(4 + self.ctypes.index(ctype))
+        if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+            picked = b"".join(column.take(pa.array(at)).to_pylist())
+            return np.frombuffer(picked, np.uint8).reshape(len(at), rows, cols)
+        picked = column if len(at) == len(column) else column.take(pa.array(at))
+        return picked.flatten().to_numpy(zero_copy_only=False).reshape(len(at), rows, cols)
+
+    def best(
+        self, batch: pa.RecordBatch, ctype: str, w: int, h: int, at: np.ndarray, places: bool = True
+    ) -> Iterator[tuple[Row, np.ndarray, np.ndarray, np.ndarray]]:
+        """(template, best correlation or nan, x, y) for each template of a category whose region can hold it;
+        without `places` x and y are those of the region."""
+        x0, y0, _, _ = self.rects[ctype]
+        whole = self.region(batch, ctype, w, h, at)
+        size = max(1, KERNEL_PIXELS // max(1, whole.shape[1] * whole.shape[2]))
+        mine = [k for k, t in enumerate(self.rows) if t.ctype == ctype]
+        found: dict[int, list] = {k: [] for k in mine}
+        for lo in range(0, len(at), size):
+            pictures: dict[Rect, Pictures] = {}
+            for k in mine:
+                t = self.rows[k]
+                roi = (t.roi_x - x0, t.roi_y - y0, min(t.roi_x + t.roi_w, w) - x0, min(t.roi_y + t.roi_h, h) - y0)
+                if roi[2] - roi[0] < t.tw or roi[3] - roi[1] < t.th:
+                    continue
+                if roi not in pictures:
+                    pictures[roi] = Pictures(whole[lo : lo + size, roi[1] : roi[3], roi[0] : roi[2]])
+                r = pictures[roi].scores(self.pixels[k])
+                flat = r.reshape(len(r), -1)
+                # rounded, so that the first of equal placements is taken whatever the last bits are
+                place = np.round(flat, 9 if flat.dtype == np.float64 else 5).argmax(1) if places else np.zeros(len(flat), np.int64)
+                score = flat.max(1).astype(np.float64)
+                found[k].append((np.where(np.isfinite(score), score, np.nan), t.roi_x + place % r.shape[2], t.roi_y + place // r.shape[2]))
+        for k in mine:
+            if found[k]:
+                yield self.rows[k], *(np.concatenate(c) for c in zip(*found[k], strict=True))
+
+
+TEMPLATE_COLUMNS = ["ctype", "template_id", "roi_x", "roi_y", "roi_w", "roi_h", "tw", "th", "t", "m"]
 
 
 def template_scores(frames: DataFrame, templates: DataFrame) -> DataFrame:
     """B2: (video_id, frame_idx, ctype, template_id, score, x, y), the best placement of every template.
 
-    templates have roi_x, roi_y, roi_w, roi_h, tw, th, t, m; the region is clamped to the frame, and one
-    that is smaller than the template gives no row; neither does a frame whose payload isn't w x h.  The
-    score is null where no placement varies.  Templates are the stated query set: they are counted, and
-    taken in blocks of at most `MAX_TEMPLATES`.  Frames of one size in a batch are scored together.
+    frames have w, h and gray, an array of numbers or one byte a pixel.  templates have roi_x, roi_y, roi_w,
+    roi_h, tw, th, t, m; the region is clamped to the frame, and one that is smaller than the template gives
+    no row; neither does a frame whose payload isn't w x h.  The score is null where no placement varies.
+    Only the regions' pixels leave the JVM.  Templates are the stated query set: they are counted, and
+    beyond `MAX_TEMPLATES` taken in blocks, each of which is written before the next is read.
     """
     count = max(1, -(-templates.count() // MAX_TEMPLATES))
-    columns = ["ctype", "template_id", "roi_x", "roi_y", "roi_w", "roi_h", "tw", "th", "t", "m"]
-    pixels = frames.select("video_id", "frame_idx", "w", "h", F.col("gray").cast("array<double>").alias("gray"))
-    pixels = pixels.where(F.size("gray") == F.col("w") * F.col("h"))
     out = None
     for k in range(count):
-        rows = templates.select(*columns) if count == 1 else templates.select(*columns).where(F.pmod(F.xxhash64("ctype", "template_id"), F.lit(count)) == k)
-        block = rows.collect()
+        rows = templates.select(*TEMPLATE_COLUMNS)
+        block = Templates((rows if count == 1 else rows.where(F.pmod(F.xxhash64("ctype", "template_id"), F.lit(count)) == k)).collect())
 
-        def run(batches: Iterator[pa.RecordBatch], block: list[Row] = block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: Templates = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v, i, w, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-                ends = np.cumsum(w * h)
-                values = batch.column(4).flatten().to_numpy(zero_copy_only=False)
-                for shape in sorted(set(zip(w.tolist(), h.tolist(), strict=True))):
-                    at = np.flatnonzero((w == shape[0]) & (h == shape[1]))
-                    images = np.stack([values[ends[j] - shape[0] * shape[1] : ends[j]] for j in at]).reshape(len(at), shape[1], shape[0])
-                    for t in block:
-                        if (got := _score_block(images, t)) is None:
-                            continue
-                        nx = min(shape[0] - t.roi_x, t.roi_w) - t.tw + 1
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(v[at], pa.int64()),
-                                pa.array(i[at], pa.int64()),
-                                pa.array([t.ctype] * len(at), pa.string()),
-                                pa.array([t.template_id] * len(at), pa.int32()),
-                                pa.array(got[0], pa.float64(), from_pandas=True),
-                                pa.array(t.roi_x + got[1] % nx, pa.int32()),
-                                pa.array(t.roi_y + got[1] // nx, pa.int32()),
-                            ],
-                            names=[c.split(" ")[0] for c in SCORES.split(", ")],
-                        )
-
-        part = pixels.mapInArrow(run, SCORES)
+                v, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                for w, h, at in block.shapes(batch):
+                    for ctype in block.ctypes:
+                        for t, score, x, y in block.best(batch, ctype, w, h, at):
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    pa.array(v[at], pa.int64()),
+                                    pa.array(i[at], pa.int64()),
+                                    pa.array([t.ctype] * len(at), pa.string()),
+                                    pa.array([t.template_id] * len(at), pa.int32()),
+                                    pa.array(score, pa.float64(), from_pandas=True),
+                                    pa.array(x, pa.int32()),
+                                    pa.array(y, pa.int32()),
+                                ],
+                                names=[c.split(" ")[0] for c in SCORES.split(", ")],
+                            )
+
+        part = block.columns(frames).mapInArrow(run, SCORES)
+        if count > 1:
+            folder = f"{work_dir(frames.sparkSession, 'scores')}/part"
+            part.write.parquet(folder)
+            part = frames.sparkSession.read.schema(SCORES).parquet(folder)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def classify_templates(frames: DataFrame, templates: DataFrame, thr: tuple[float, float, float, float]) -> DataFrame:
+    """B2-B4 in one pass without an exchange: (video_id, frame_idx, state) of frames whose payload is sound.
+
+    The pause category goes first, and only frames that it doesn't claim are scored against the others.
+    At most `MAX_TEMPLATES` templates; with more, compose B2-B4.
+    """
+    rows = templates.select(*TEMPLATE_COLUMNS).limit(MAX_TEMPLATES + 1).collect()
+    if len(rows) > MAX_TEMPLATES:
+        return classify_frames(frames, best_scores(template_scores(frames, templates)), thr)
+    block = Templates([t for t in rows if t.ctype in CTYPES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            state = np.zeros(batch.num_rows, np.int32)
+            for w, h, at in block.shapes(batch):
+                best = {c: np.full(batch.num_rows, NO_SCORE) for c in CTYPES}
+
+                def score(ctype: str, at: np.ndarray) -> None:
+                    if ctype in block.rects and len(at):
+                        for _, r, _, _ in block.best(batch, ctype, w, h, at, places=False):
+                            best[ctype][at] = np.fmax(best[ctype][at], r)
+
+                score("pause", at)
+                state[at[best["pause"][at] >= thr[0]]] = 1
+                rest = at[best["pause"][at] < thr[0]]
+                for ctype in CTYPES[1:]:
+                    score(ctype, rest)
+                s1, s2, s02 = (best[c][rest] for c in CTYPES[1:])
+                state[rest] = np.select([(s1 >= thr[1]) & (s1 > s2), (s2 >= thr[2]) & (s2 > s1), s02 >= thr[3]], [2, 3, 4], 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(state)], names=["video_id", "frame_idx", "state"])
+
+    return block.columns(frames).mapInArrow(run, "video_id long, frame_idx long, state int")
+
+
 def best_scores(scores: DataFrame) -> DataFrame:
     """(video_id, frame_idx, and the best finite score of each category, -1 if it has none)."""
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))

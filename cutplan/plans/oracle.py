@@ -264,6 +264,11 @@ def oracle_sql() -> dict[str, str]:
               WHEN speed_2x >= 0.4 AND speed_2x > speed_1x THEN 3 WHEN speed_0_2x >= 0.4 THEN 4 ELSE 0 END AS state FROM best""",
             upto="best",
         ),
+        "classify_short": _sql(
+            """SELECT video_id, frame_idx, CASE WHEN pause >= 0.4 THEN 1 WHEN speed_1x >= 0.4 AND speed_1x > speed_2x THEN 2
+              WHEN speed_2x >= 0.4 AND speed_2x > speed_1x THEN 3 WHEN speed_0_2x >= 0.4 THEN 4 ELSE 0 END AS state FROM best""",
+            upto="best",
+        ),
         "locate_templates": _sql(
             """SELECT c.ctype, 0 AS template_id, CAST(arg_max(x, round(r, 12) * 1000 - x * 1e-9) AS INT) AS x, 0 AS y, round(max(r), 4) AS score
             FROM cor c JOIN tpl t ON t.ctype = c.ctype AND c.video_id * 100 + c.frame_idx = t.vec_id GROUP BY c.ctype""",

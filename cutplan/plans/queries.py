@@ -266,6 +266,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "template_scores_2d": _embedding(_as_8x8),
         "best_scores": _embedding(lambda f, t: _best(f, t).select("video_id", "frame_idx", *[F.round(c, 4).alias(c) for c in B.CTYPES])),
         "classify": _embedding(lambda f, t: B.classify_frames(f, _best(f, t), THRESHOLDS)),
+        "classify_short": _embedding(lambda f, t: B.classify_templates(f, t, THRESHOLDS)),
         "locate_templates": _embedding(lambda f, t: B.locate_templates(_sources(f, t), t).withColumn("score", F.round("score", 4))),
         "template_mask": _embedding(lambda f, t: f.select("vec_id", F.aggregate(B.template_mask(F.transform("gray", lambda x: x * 100)), F.lit(0), lambda n, x: n + x.cast("int")).alias("n_on"))),
         "mode_batch": _events(lambda p: E.apply_mode_batch(p.boundaries, "auto", 300.0)),

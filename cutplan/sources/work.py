@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below `spark.checkpoint.dir`, which all executors share; a temporary one where that is unset."""
+    """A new folder below `spark.checkpoint.dir`, which all executors share; on one machine where that is
+    unset (tests) a temporary one.  A cluster must have the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
