@@ -10,6 +10,11 @@ NORMAL, PAUSE, SPEED_1X, SPEED_2X, SPEED_02X = range(5)
 AUTO_KEEP, AUTO_DELETE, MANUAL_DELETE, MANUAL_KEEP = range(4)
 
 
+def value(x: object, kind: str) -> Column:
+    """A parameter as a column: one for all, or a column where it differs by video."""
+    return (x if isinstance(x, Column) else F.lit(x)).cast(kind)
+
+
 def mean_abs_diff(a: Column, b: Column) -> Column:
     """Mean absolute difference of two pixel arrays; null where either is missing, empty or of another size."""
     total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)

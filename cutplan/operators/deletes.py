@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cutplan.functions.frames import SPEED_02X, SPEED_1X
+from cutplan.functions.frames import SPEED_02X, SPEED_1X, value
+from cutplan.operators.lookup import assigned
 
 
 def pause_deletes(frames: DataFrame, pauses: DataFrame, mask: DataFrame) -> DataFrame:
@@ -23,10 +24,9 @@ def pause_deletes(frames: DataFrame, pauses: DataFrame, mask: DataFrame) -> Data
 
 def clip_deletes(frames: DataFrame, clips: DataFrame) -> DataFrame:
     """Frames of a clip outside [keep_in, keep_out]; all of it where keep_in is past keep_out."""
-    f, c = frames.select("video_id", "frame_idx"), clips.select(F.col("video_id").alias("_v"), "start_frame", "end_frame", "keep_in", "keep_out")
-    trimmed = c.where("keep_in > start_frame OR keep_out < end_frame OR keep_in > keep_out")
-    inside = (F.col("video_id") == F.col("_v")) & F.col("frame_idx").between(F.col("start_frame"), F.col("end_frame"))
-    cut = f.join(trimmed, inside).where("keep_in > keep_out OR frame_idx < keep_in OR frame_idx > keep_out")
+    trimmed = clips.where("keep_in > start_frame OR keep_out < end_frame OR keep_in > keep_out")
+    met = assigned(frames, trimmed, F.struct("keep_in", "keep_out"))
+    cut = met.where("info.keep_in > info.keep_out OR frame_idx < info.keep_in OR frame_idx > info.keep_out")
     return cut.select("video_id", "frame_idx")
 
 
@@ -47,10 +47,10 @@ def base_deletes(frames: DataFrame, pauses: DataFrame, mask: DataFrame, clips: D
     return joined.withColumn("deleted", F.coalesce("_cut", F.lit(False))).drop("_cut")
 
 
-def delete_mask(base: DataFrame, speedup_1x: bool = True, speedup_02: bool = True, factor_02: int = 10) -> DataFrame:
+def delete_mask(base: DataFrame, speedup_1x: bool | Column = True, speedup_02: bool | Column = True, factor_02: int | Column = 10) -> DataFrame:
     """`deleted` by E1 or E2, then decimation of 1x frames by 2 and of 0.2x frames by `factor_02`."""
-    fast = speedup_deletes(base, SPEED_1X, F.lit(2), F.lit(speedup_1x))
-    return speedup_deletes(fast, SPEED_02X, F.lit(factor_02), F.lit(speedup_02))
+    fast = speedup_deletes(base, SPEED_1X, F.lit(2), value(speedup_1x, "boolean"))
+    return speedup_deletes(fast, SPEED_02X, value(factor_02, "int"), value(speedup_02, "boolean"))
 
 
 def deletes_from_list(frames: DataFrame, listed: DataFrame) -> DataFrame:

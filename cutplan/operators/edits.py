@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def apply_mode_batch(pauses: DataFrame, mode: str, boundary_thresh: float) -> DataFrame:
     """One mode for all pauses.  `auto` checks the boundary again, an unknown one counting as 0;
-    masks are then the computed ones, so edits of masks are lost: take `pause_mask` anew."""
+    masks are then the computed ones, so edits of masks are lost: see `apply_edits`."""
     if mode != "auto":
         return pauses.withColumn("mode", F.lit(mode))
     near = F.coalesce("boundary_diff", F.lit(0.0)) < F.lit(float(boundary_thresh))
@@ -16,7 +17,8 @@ def apply_mode_batch(pauses: DataFrame, mode: str, boundary_thresh: float) -> Da
 
 
 def apply_mode_edits(pauses: DataFrame, edits: DataFrame) -> DataFrame:
-    """The latest edit of a pause sets its mode; the boundary isn't checked again."""
+    """The latest edit of a pause sets its mode; the boundary isn't checked again.  What edits of modes
+    do to masks is in `apply_edits`."""
     last = edits.groupBy("video_id", "pause_id").agg(F.max_by("mode", "seq").alias("_edited"))
     return pauses.join(last, ["video_id", "pause_id"], "left").withColumn("mode", F.coalesce("_edited", "mode")).drop("_edited")
 
@@ -75,3 +77,32 @@ def apply_trim_edits(clips: DataFrame, edits: DataFrame) -> DataFrame:
     )
     joined = clips.join(lists, ["video_id", "clip_id"], "left").withColumn("_kept", folded)
     return joined.select("video_id", "clip_id", "start_frame", "end_frame", F.col("_kept.ki").alias("keep_in"), F.col("_kept.ko").alias("keep_out"))
+
+
+def batch_mode_edits(pauses: DataFrame, mode: str, seq: int) -> DataFrame:
+    """D1 as edits of every pause, so that it stands in one order with edits of single pauses and of masks."""
+    return pauses.select("video_id", "pause_id", F.lit(seq).alias("seq"), F.lit(mode).alias("mode"))
+
+
+def effective_toggles(pauses: DataFrame, mode_edits: DataFrame, mask_edits: DataFrame) -> DataFrame:
+    """Of the toggles (video_id, pause_id, frame_idx, seq) those that count in the end.
+
+    A toggle is taken only while its pause's mode is `auto`, and setting a pause to `auto` computes its mask
+    anew, so toggles before the last such edit are lost.  An edit of a mode comes before a toggle of equal seq.
+    """
+    key = ["video_id", "pause_id"]
+    first = pauses.select(*key, F.lit(None).cast("long").alias("seq"), F.lit(0).alias("kind"), "mode", F.lit(None).cast("long").alias("frame_idx"))
+    modes = mode_edits.select(*key, F.col("seq").cast("long").alias("seq"), F.lit(1).alias("kind"), "mode", F.lit(None).cast("long").alias("frame_idx"))
+    asked = mask_edits.select(*key, F.col("seq").cast("long").alias("seq"), F.lit(2).alias("kind"), F.lit(None).cast("string").alias("mode"), F.col("frame_idx").cast("long").alias("frame_idx"))
+    along = W.partitionBy(*key).orderBy(F.col("seq").asc_nulls_first(), "kind")
+    rows = first.unionByName(modes).unionByName(asked).withColumn("now", F.last("mode", ignorenulls=True).over(along))
+    anew = F.max(F.when((F.col("kind") == 1) & (F.col("mode") == "auto"), F.struct("seq", "kind"))).over(W.partitionBy(*key))
+    rows = rows.withColumn("anew", anew).where("kind = 2 AND now = 'auto'").where(F.col("anew").isNull() | (F.struct("seq", "kind") > F.col("anew")))
+    return rows.select(*key, "frame_idx", "seq")
+
+
+def apply_edits(mask: DataFrame, pauses: DataFrame, mode_edits: DataFrame, mask_edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """D1-D3 in one order of `seq`: (pauses with their last mode, masks).  mask holds the computed values."""
+    toggles = effective_toggles(pauses, mode_edits, mask_edits)
+    masks = apply_mask_edits(mask, pauses.withColumn("mode", F.lit("auto")), toggles)
+    return apply_mode_edits(pauses, mode_edits), masks

@@ -3,21 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cutplan.functions.frames import SPEED_02X, SPEED_1X, speed_label
 
 
+def assigned(points: DataFrame, segs: DataFrame, info: Column) -> DataFrame:
+    """(video_id, frame_idx, info) of each point, `info` of the segment that it is in, or null.
+
+    segs have start_frame and end_frame and don't overlap.  One sort of points and segments by video finds
+    the last segment that starts at or before each point, so the work is linear in both.
+    """
+    held = segs.select("video_id", F.col("start_frame").alias("frame_idx"), F.struct("end_frame", info.alias("info")).alias("_seg"), F.lit(0).alias("_kind"))
+    asked = points.select("video_id", "frame_idx").withColumns({"_seg": F.lit(None).cast(held.schema["_seg"].dataType), "_kind": F.lit(1)})
+    along = W.partitionBy("video_id").orderBy("frame_idx", "_kind")
+    met = held.unionByName(asked).withColumn("_seg", F.last("_seg", ignorenulls=True).over(along)).where("_kind = 1")
+    return met.select("video_id", "frame_idx", F.when(F.col("_seg.end_frame") >= F.col("frame_idx"), F.col("_seg.info")).alias("info"))
+
+
 def frame_info(points: DataFrame, pauses: DataFrame, speeds: DataFrame) -> DataFrame:
     """G1: (video_id, frame_idx, kind, pause_id, mode, boundary_diff, type) of each point: its pause, else
-    its speed section, else `normal`.  video_id is an equality of the join, the range its residue."""
-    q = points.select("video_id", "frame_idx").distinct()
-    p = pauses.select(F.col("video_id").alias("_pv"), F.col("start_frame").alias("ps"), F.col("end_frame").alias("pe"), "pause_id", "mode", "boundary_diff")
-    s = speeds.select(F.col("video_id").alias("_sv"), F.col("start_frame").alias("ss"), F.col("end_frame").alias("se"), "type")
-    in_pause = (F.col("video_id") == F.col("_pv")) & F.col("frame_idx").between(F.col("ps"), F.col("pe"))
-    one = q.join(p, in_pause, "left").select("video_id", "frame_idx", "pause_id", "mode", "boundary_diff")
-    in_speed = (F.col("video_id") == F.col("_sv")) & F.col("frame_idx").between(F.col("ss"), F.col("se"))
-    both = one.join(s, in_speed, "left").select("video_id", "frame_idx", "pause_id", "mode", "boundary_diff", "type")
+    its speed section, else `normal`."""
+    facts = ["pause_id", "mode", "boundary_diff", "type"]
+    segs = pauses.select("video_id", "start_frame", "end_frame", *facts[:3]).unionByName(
+        speeds.select("video_id", "start_frame", "end_frame", "type"), allowMissingColumns=True
+    )
+    met = assigned(points.select("video_id", "frame_idx").distinct(), segs, F.struct(*facts))
+    both = met.select("video_id", "frame_idx", "info.*")
     kind = F.when(F.col("pause_id").isNotNull(), "pause").when(F.col("type").isNotNull(), speed_label(F.col("type"))).otherwise("normal")
     return both.withColumn("kind", kind).withColumn("boundary_diff", F.when(F.col("kind") == "pause", F.coalesce("boundary_diff", F.lit(0.0))))
 

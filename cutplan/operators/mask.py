@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cutplan.functions.frames import AUTO_DELETE, AUTO_KEEP, PAUSE
+from cutplan.functions.frames import AUTO_DELETE, AUTO_KEEP, PAUSE, value
 from cutplan.operators.segments import islands
 
 
-def pause_activity(frames: DataFrame, motion_thresh: float) -> DataFrame:
+def pause_activity(frames: DataFrame, motion_thresh: float | Column) -> DataFrame:
     """Frames of pauses with start_frame, end_frame, k, n and `active`.
 
     A frame is active if its own difference or the next frame's is above the threshold, as floats;
     the difference on entering the pause doesn't count.
     """
-    paused = islands(frames.where(F.col("state") == PAUSE).select("video_id", "frame_idx", "state", "diff"), ["video_id"], "frame_idx", ["state"])
-    limit = F.lit(float(motion_thresh)).cast("float")
+    rows = frames.where(F.col("state") == PAUSE).select("video_id", "frame_idx", "state", "diff", value(motion_thresh, "float").alias("_limit"))
+    paused, limit = islands(rows, ["video_id"], "frame_idx", ["state"]), F.col("_limit")
     moved = F.col("diff").cast("float") > limit
     inside = W.partitionBy("video_id", "run_start").orderBy("frame_idx")
     own = (F.col("frame_idx") > F.col("run_start")) & moved

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cutplan.functions.frames import PAUSE, speed_label
+from cutplan.functions.frames import PAUSE, speed_label, value
 
 # State names in reports.
 STATE_NAMES = {0: "normal", 1: "pause", 2: "1x", 3: "2x", 4: "0_2x"}
@@ -35,6 +35,11 @@ def skip_ranges(pauses: DataFrame, mask: DataFrame, clips: DataFrame) -> DataFra
     auto = pauses.where("mode = 'auto'").select("video_id", F.col("start_frame").alias("p"))
     gone = mask.where(F.col("m").isin(1, 2)).select("video_id", F.col("start_frame").alias("p"), "frame_idx").join(auto, ["video_id", "p"])
     parts = _ranges(gone, ["video_id", "p"]).select("video_id", "start_frame", "end_excl")
+    return whole.unionByName(parts).unionByName(trimmed_edges(clips))
+
+
+def trimmed_edges(clips: DataFrame) -> DataFrame:
+    """What trims cut off clips, half-open; all of a clip whose edges have crossed."""
     cut = F.col("keep_in") > F.col("keep_out")
     edges = clips.select(
         "video_id",
@@ -47,8 +52,7 @@ def skip_ranges(pauses: DataFrame, mask: DataFrame, clips: DataFrame) -> DataFra
             )
         ).alias("r"),
     )
-    trimmed = edges.where("r.s < r.e").select("video_id", F.col("r.s").alias("start_frame"), F.col("r.e").alias("end_excl"))
-    return whole.unionByName(parts).unionByName(trimmed)
+    return edges.where("r.s < r.e").select("video_id", F.col("r.s").alias("start_frame"), F.col("r.e").alias("end_excl"))
 
 
 def next_kept(frames: DataFrame) -> DataFrame:
@@ -59,27 +63,33 @@ def next_kept(frames: DataFrame) -> DataFrame:
     return frames.select("video_id", "frame_idx", F.coalesce(found, total).alias("next_frame"))
 
 
-def segments(frames: DataFrame, split_by_speed: bool = False, merge_pause: bool = True) -> DataFrame:
+def segments(frames: DataFrame, split_by_speed: bool | Column = False, merge_pause: bool | Column = True) -> DataFrame:
     """Labelled segments of kept frames, (video_id, seg_no, label, name, ranges: array<struct<a, b>>).
 
     A fragment ends at a deletion, at a pause's edge and, if split, at a speed change.  Fragments of a
     pause are one segment if merged; neighbouring fragments with one label that isn't a pause's are one
     segment, also across deleted frames.
     """
-    other = speed_label(F.col("state")) if split_by_speed else F.lit("normal")
-    label = F.when(F.col("state") == PAUSE, "pause_merged" if merge_pause else "pause").otherwise(other)
-    by_frame = W.partitionBy("video_id").orderBy("frame_idx")
+    other = F.when(value(split_by_speed, "boolean"), speed_label(F.col("state"))).otherwise("normal")
+    label = F.when(F.col("state") == PAUSE, F.when(value(merge_pause, "boolean"), "pause_merged").otherwise("pause")).otherwise(other)
     paused = W.partitionBy("video_id", "_is_pause").orderBy("frame_idx")
     runs = (
         frames.withColumn("_is_pause", F.col("state") == PAUSE)
         .withColumn("_g", F.col("frame_idx") - F.row_number().over(paused))
         .withColumn("_ps", F.min("frame_idx").over(W.partitionBy("video_id", "_is_pause", "_g")))
     )
-    kept = runs.where(~F.col("deleted")).select("video_id", "frame_idx", label.alias("label"), F.when(F.col("_is_pause"), F.col("_ps")).alias("ps"))
-    goes_on = (F.lag("frame_idx").over(by_frame) == F.col("frame_idx") - 1) & (F.lag("label").over(by_frame) == F.col("label"))
-    numbered = kept.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("frag", F.sum("_new").over(by_frame))
+    kept = runs.where(~F.col("deleted"))
+    i = F.col("frame_idx")
+    return joined_fragments(kept.select("video_id", label.alias("label"), F.when(F.col("_is_pause"), F.col("_ps")).alias("ps"), i.alias("a"), i.alias("b")))
+
+
+def joined_fragments(parts: DataFrame) -> DataFrame:
+    """F4-F8 from parts (video_id, label, ps, a, b) of kept frames, a to b; ps is the start of a pause's part."""
+    by_frame = W.partitionBy("video_id").orderBy("a")
+    goes_on = (F.lag("b").over(by_frame) == F.col("a") - 1) & (F.lag("label").over(by_frame) == F.col("label"))
+    numbered = parts.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("frag", F.sum("_new").over(by_frame))
     frags = numbered.groupBy("video_id", "frag").agg(
-        F.first("label").alias("label"), F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"), F.min("ps").alias("ps")
+        F.first("label").alias("label"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("ps").alias("ps")
     )
     by_frag = W.partitionBy("video_id").orderBy("frag")
     same = F.lag("label").over(by_frag) == F.col("label")

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutplan.functions.frames import mean_abs_diff
+from cutplan.functions.frames import mean_abs_diff, value
+from cutplan.operators.segments import BLOCK, blocked
 from cutplan.sources.work import work_dir
 
 # Template categories, and the value of a category without a score.
@@ -19,10 +20,14 @@ CTYPES = ("pause", "speed_1x", "speed_2x", "speed_0_2x")
 NO_SCORE = -1.0
 
 
-def frame_diff(frames: DataFrame) -> DataFrame:
-    """B1: adds `diff`, the mean absolute difference to the frame before as float, 0 for the first."""
-    before = F.lag("gray").over(W.partitionBy("video_id").orderBy("frame_idx"))
-    return frames.withColumn("diff", F.coalesce(mean_abs_diff(F.col("gray"), before), F.lit(0.0)).cast("float"))
+def frame_diff(frames: DataFrame, block: int = BLOCK) -> DataFrame:
+    """B1: adds `diff`, the mean absolute difference to the frame before as float, 0 for the first.
+
+    Pixels are dealt in blocks of frames, so no task has more than a block of a video.
+    """
+    before = F.lag("gray").over(W.partitionBy("video_id", "_block").orderBy("frame_idx"))
+    made = blocked(frames, block).withColumn("diff", F.coalesce(mean_abs_diff(F.col("gray"), before), F.lit(0.0)).cast("float"))
+    return made.where("_own").drop("_block", "_own")
 
 
 def template_mask(t: Column) -> Column:
@@ -247,8 +252,8 @@ class Templates:
             self.rects[t.ctype] = (min(x0, t.roi_x), min(y0, t.roi_y), max(x1, t.roi_x + t.roi_w), max(y1, t.roi_y + t.roi_h))
         self.ctypes = list(self.rects)
 
-    def columns(self, frames: DataFrame) -> DataFrame:
-        """(video_id, frame_idx, w, h, a column of pixels a category); frames whose payload isn't w x h go."""
+    def columns(self, frames: DataFrame, *more: Column) -> DataFrame:
+        """(video_id, frame_idx, w, h, a column of pixels a category, `more`); frames whose payload isn't w x h go."""
         binary = isinstance(frames.schema["gray"].dataType, T.BinaryType)
         held = F.octet_length("gray") if binary else F.size("gray")
         sound = frames.where(held == F.col("w") * F.col("h"))
@@ -261,7 +266,7 @@ class Templates:
             self.rects = {c: (0, 0, 1 << 30, 1 << 30) for c in self.rects}
         else:
             pixels = [cropped(r if binary else rect, binary).alias(f"g{k}") for k, (r, rect) in enumerate(zip(rects, self.rects.values(), strict=True))]
-        return sound.select(*ids, F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), *pixels)
+        return sound.select(*ids, F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), *pixels, *more)
 
     def shapes(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
         """Frames of one size in a batch: (w, h, their places)."""
@@ -356,20 +361,23 @@ def template_scores(frames: DataFrame, templates: DataFrame) -> DataFrame:
     return out
 
 
-def classify_templates(frames: DataFrame, templates: DataFrame, thr: tuple[float, float, float, float]) -> DataFrame:
+def classify_templates(frames: DataFrame, templates: DataFrame, thr: tuple[float | Column, float | Column, float | Column, float | Column]) -> DataFrame:
     """B2-B4 in one pass without an exchange: (video_id, frame_idx, state) of frames whose payload is sound.
 
     The pause category goes first, and only frames that it doesn't claim are scored against the others.
-    At most `MAX_TEMPLATES` templates; with more, compose B2-B4.
+    With more than `MAX_TEMPLATES` templates B2-B4 are composed.  Thresholds are numbers, or columns of the
+    frames where they differ by video.
     """
     rows = templates.select(*TEMPLATE_COLUMNS).limit(MAX_TEMPLATES + 1).collect()
     if len(rows) > MAX_TEMPLATES:
         return classify_frames(frames, best_scores(template_scores(frames, templates)), thr)
     block = Templates([t for t in rows if t.ctype in CTYPES])
+    limits = [value(x, "double").alias(f"_t{k}") for k, x in enumerate(thr)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             state = np.zeros(batch.num_rows, np.int32)
+            thr = [batch.column(batch.num_columns - 4 + k).to_numpy(zero_copy_only=False) for k in range(4)]
             for w, h, at in block.shapes(batch):
                 best = {c: np.full(batch.num_rows, NO_SCORE) for c in CTYPES}
 
@@ -379,15 +387,17 @@ def classify_templates(frames: DataFrame, templates: DataFrame, thr: tuple[float
                             best[ctype][at] = np.fmax(best[ctype][at], r)
 
                 score("pause", at)
-                state[at[best["pause"][at] >= thr[0]]] = 1
-                rest = at[best["pause"][at] < thr[0]]
+                claimed = best["pause"][at] >= thr[0][at]
+                state[at[claimed]] = 1
+                rest = at[~claimed]
                 for ctype in CTYPES[1:]:
                     score(ctype, rest)
                 s1, s2, s02 = (best[c][rest] for c in CTYPES[1:])
-                state[rest] = np.select([(s1 >= thr[1]) & (s1 > s2), (s2 >= thr[2]) & (s2 > s1), s02 >= thr[3]], [2, 3, 4], 0)
+                t1, t2, t02 = (thr[k][rest] for k in (1, 2, 3))
+                state[rest] = np.select([(s1 >= t1) & (s1 > s2), (s2 >= t2) & (s2 > s1), s02 >= t02], [2, 3, 4], 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(state)], names=["video_id", "frame_idx", "state"])
 
-    return block.columns(frames).mapInArrow(run, "video_id long, frame_idx long, state int")
+    return block.columns(frames, *limits).mapInArrow(run, "video_id long, frame_idx long, state int")
 
 
 def best_scores(scores: DataFrame) -> DataFrame:
@@ -397,9 +407,12 @@ def best_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("video_id", "frame_idx").agg(*[F.coalesce(best(c), F.lit(NO_SCORE)).alias(c) for c in CTYPES])
 
 
-def classify(pause: Column, s1: Column, s2: Column, s02: Column, thr: tuple[float, float, float, float]) -> Column:
-    """State by priority; a tie of 1x and 2x refuses both."""
-    p, t1, t2, t02 = (F.lit(float(x)) for x in thr)
+Thresholds = tuple[float | Column, float | Column, float | Column, float | Column]
+
+
+def classify(pause: Column, s1: Column, s2: Column, s02: Column, thr: Thresholds) -> Column:
+    """State by priority; a tie of 1x and 2x refuses both.  Thresholds are numbers or columns."""
+    p, t1, t2, t02 = (value(x, "double") for x in thr)
     return (
         F.when(pause >= p, 1)
         .when((s1 >= t1) & (s1 > s2), 2)
@@ -409,11 +422,13 @@ def classify(pause: Column, s1: Column, s2: Column, s02: Column, thr: tuple[floa
     )
 
 
-def classify_frames(frames: DataFrame, best: DataFrame, thr: tuple[float, float, float, float]) -> DataFrame:
-    """B4 on frames: (video_id, frame_idx, state); a frame without any score is normal."""
-    joined = frames.select("video_id", "frame_idx").join(best, ["video_id", "frame_idx"], "left")
+def classify_frames(frames: DataFrame, best: DataFrame, thr: Thresholds) -> DataFrame:
+    """B4 on frames: (video_id, frame_idx, state); a frame without any score is normal.  Thresholds that
+    differ by video are columns of the frames."""
+    limits = [value(x, "double").alias(f"_t{k}") for k, x in enumerate(thr)]
+    joined = frames.select("video_id", "frame_idx", *limits).join(best, ["video_id", "frame_idx"], "left")
     score = [F.coalesce(F.col(c), F.lit(NO_SCORE)) for c in CTYPES]
-    return joined.select("video_id", "frame_idx", classify(*score, thr).alias("state"))
+    return joined.select("video_id", "frame_idx", classify(*score, tuple(F.col(f"_t{k}") for k in range(4))).alias("state"))
 
 
 def locate_templates(sources: DataFrame, templates: DataFrame) -> DataFrame:

@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cutplan.functions.frames import PAUSE, mean_abs_diff
+from cutplan.functions.frames import PAUSE, mean_abs_diff, value
+
+
+#: Frames of one video that a task has at most, where work is done in blocks.
+BLOCK = 100_000
+
+
+def blocked(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows with `_block`, `block` frames each, and `_own`; the frames at a block's edges are in the next
+    block too, not as its own, so that windows over (video_id, _block) see each frame's neighbours."""
+    number, place = F.floor(F.col("frame_idx") / block), F.col("frame_idx") % block
+    at = lambda b, own: F.struct(b.alias("b"), F.lit(own).alias("own"))
+    places = (
+        F.when((place == 0) & (place == block - 1), F.array(at(number - 1, False), at(number, True), at(number + 1, False)))
+        .when(place == 0, F.array(at(number - 1, False), at(number, True)))
+        .when(place == block - 1, F.array(at(number, True), at(number + 1, False)))
+        .otherwise(F.array(at(number, True)))
+    )
+    dealt = rows.withColumn("_at", F.explode(places))
+    return dealt.withColumns({"_block": F.col("_at.b"), "_own": F.col("_at.own")}).drop("_at")
 
 
 def islands(
@@ -126,6 +145,6 @@ def boundary_diff(pauses: DataFrame, frames: DataFrame, lengths: DataFrame) -> D
     )
 
 
-def pause_modes(pauses: DataFrame, boundary_thresh: float) -> DataFrame:
+def pause_modes(pauses: DataFrame, boundary_thresh: float | Column) -> DataFrame:
     """Adds `mode`: `all` where the boundary difference is known and below the threshold, else `auto`."""
-    return pauses.withColumn("mode", F.when(F.col("boundary_diff") < F.lit(float(boundary_thresh)), "all").otherwise("auto"))
+    return pauses.withColumn("mode", F.when(F.col("boundary_diff") < value(boundary_thresh, "double"), "all").otherwise("auto"))

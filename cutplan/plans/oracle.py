@@ -100,6 +100,30 @@ def _segments(split: bool, merge: bool) -> str:
     seg AS (SELECT video_id, seg_no, label, lpad(CAST(seg_no AS VARCHAR), CAST(length(CAST(count(*) OVER (PARTITION BY video_id) AS VARCHAR)) AS INT), '0') || '_' || label AS name, ranges FROM s0)"""
 
 
+#: The delete mask with parameters that differ by video, ending in `pdel`.
+PARAMS = """
+    par AS (SELECT video_id, CASE WHEN video_id % 5 <> 0 THEN CAST(video_id % 4 * 90 AS DOUBLE) ELSE 2.0::DOUBLE END AS mt,
+      CASE WHEN video_id % 6 <> 0 THEN CAST(video_id % 50 AS DOUBLE) ELSE 5.0::DOUBLE END AS bt, CASE WHEN video_id % 7 <> 0 THEN 2 + video_id % 9 ELSE 10 END AS f2,
+      CASE WHEN video_id % 8 <> 0 THEN video_id % 2 = 0 ELSE true END AS s1, CASE WHEN video_id % 9 <> 0 THEN video_id % 4 < 2 ELSE true END AS s2,
+      greatest(2, CAST(trunc(CASE WHEN video_id % 4 <> 0 THEN CAST(10 + video_id % 50 AS DOUBLE) ELSE 30.0::DOUBLE END
+        * CASE WHEN video_id % 3 <> 0 THEN CAST(video_id % 20 AS DOUBLE) / 100.0::DOUBLE ELSE 0.1::DOUBLE END) AS INT)) AS sf FROM tot),
+    pact AS (SELECT a0.*, sf, (k > 0 AND diff > CAST(mt AS FLOAT))
+      OR coalesce(lead(diff) OVER (PARTITION BY a0.video_id, start_frame ORDER BY k) > CAST(mt AS FLOAT), false) AS active FROM a0 JOIN par ON par.video_id = a0.video_id),
+    pb0 AS (SELECT *, k - row_number() OVER (PARTITION BY video_id, start_frame, active ORDER BY k) AS g, bool_or(active) OVER (PARTITION BY video_id, start_frame) AS any_active FROM pact),
+    pb AS (SELECT *, min(k) OVER w AS ra, max(k) OVER w AS rb FROM pb0 WINDOW w AS (PARTITION BY video_id, start_frame, active, g)),
+    pe1 AS (SELECT pb.video_id, pb.frame_idx FROM pb JOIN bounds o ON o.video_id = pb.video_id AND o.start_frame = pb.start_frame JOIN par ON par.video_id = pb.video_id
+      WHERE o.boundary_diff < bt OR CASE WHEN NOT any_active THEN n > 2 * pb.sf AND k >= pb.sf AND n - 1 - k >= pb.sf WHEN active OR rb - ra + 1 <= pb.sf THEN false
+        WHEN ra = 0 THEN rb - k >= pb.sf WHEN rb = n - 1 THEN k - ra >= pb.sf ELSE k - ra >= pb.sf // 2 AND rb - k >= pb.sf - pb.sf // 2 END),
+    pe2 AS (SELECT fr.video_id, fr.frame_idx FROM fr JOIN trimmed c ON c.video_id = fr.video_id AND fr.frame_idx BETWEEN c.start_frame AND c.end_frame
+      WHERE c.keep_in > c.keep_out OR fr.frame_idx < c.keep_in OR fr.frame_idx > c.keep_out),
+    pbase AS (SELECT fr.video_id, fr.frame_idx, fr.state, e.frame_idx IS NOT NULL AS deleted FROM fr
+      LEFT JOIN (SELECT * FROM pe1 UNION SELECT * FROM pe2) e ON e.video_id = fr.video_id AND e.frame_idx = fr.frame_idx),
+    pt AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY video_id, state, deleted ORDER BY frame_idx) AS g FROM pbase),
+    pc AS (SELECT *, row_number() OVER (PARTITION BY video_id, state, deleted, g ORDER BY frame_idx) AS c FROM pt),
+    pdel AS (SELECT pc.video_id, frame_idx, state, deleted OR (state = 2 AND s1 AND c % 2 <> 1) OR (state = 4 AND s2 AND c % f2 <> 1) AS deleted
+      FROM pc JOIN par ON par.video_id = pc.video_id)"""
+
+
 SCRIPT = """
 SELECT c.video_id, string_agg('[0:v]trim=start_frame=' || start_frame || ':end_frame=' || end_excl || ',setpts=PTS-STARTPTS[v' || cut_no || ']'
   || CASE WHEN {audio} THEN ';' || chr(10) || '[0:a]atrim=start=' || printf('%.9f', start_frame / 25.0::DOUBLE) || ':end=' || printf('%.9f', end_excl / 25.0::DOUBLE)
@@ -133,12 +157,15 @@ def oracle_sql() -> dict[str, str]:
             upto="r0",
         ),
         "delete_mask": _sql("SELECT * FROM del", upto="del"),
+        "delete_mask_fused": _sql("SELECT * FROM del", upto="del"),
         "delete_mask_joined": _sql("SELECT * FROM del", upto="del"),
+        "delete_mask_params": _sql("SELECT * FROM pdel", upto="trimmed", extra=PARAMS),
         "deletes_from_list": _sql(
             """SELECT video_id, frame_idx, EXISTS (SELECT 1 FROM events e WHERE e.user_id = fr.video_id AND e.event_id % 120 = fr.frame_idx) AS deleted FROM fr""",
             upto="fr",
         ),
         "kept_ranges": _sql("SELECT * FROM kept", upto="kept"),
+        "kept_ranges_frames": _sql("SELECT * FROM kept", upto="kept"),
         "skip_ranges": _sql(
             """SELECT video_id, start_frame, end_frame + 1 AS end_excl FROM modes WHERE mode = 'all'
             UNION ALL SELECT video_id, min(frame_idx), max(frame_idx) + 1 FROM (
@@ -150,11 +177,27 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT video_id, keep_out + 1, end_frame + 1 FROM trimmed WHERE keep_in <= keep_out AND keep_out < end_frame""",
             upto="trimmed",
         ),
+        "skip_ranges_frames": _sql(
+            """SELECT video_id, start_frame, end_frame + 1 AS end_excl FROM modes WHERE mode = 'all'
+            UNION ALL SELECT video_id, min(frame_idx), max(frame_idx) + 1 FROM (
+              SELECT m.*, m.frame_idx - row_number() OVER (PARTITION BY m.video_id, m.start_frame ORDER BY m.frame_idx) AS g
+              FROM mask m JOIN modes p ON p.video_id = m.video_id AND p.start_frame = m.start_frame WHERE p.mode = 'auto' AND m.m = 1
+            ) GROUP BY video_id, start_frame, g
+            UNION ALL SELECT video_id, start_frame, end_frame + 1 FROM trimmed WHERE keep_in > keep_out
+            UNION ALL SELECT video_id, start_frame, keep_in FROM trimmed WHERE keep_in <= keep_out AND keep_in > start_frame
+            UNION ALL SELECT video_id, keep_out + 1, end_frame + 1 FROM trimmed WHERE keep_in <= keep_out AND keep_out < end_frame""",
+            upto="trimmed",
+        ),
         "next_kept": _sql(
             """SELECT b.video_id, b.frame_idx, coalesce((SELECT min(k.frame_idx) FROM base k WHERE k.video_id = b.video_id AND k.frame_idx >= b.frame_idx AND NOT k.deleted), t.total) AS next_frame
             FROM base b JOIN tot t ON t.video_id = b.video_id""",
             upto="base",
         ),
+        "next_kept_frames": _sql(
+            """SELECT b.video_id, b.frame_idx, coalesce((SELECT min(k.frame_idx) FROM base k WHERE k.video_id = b.video_id AND k.frame_idx >= b.frame_idx AND NOT k.deleted), t.total) AS next_frame
+            FROM base b JOIN tot t ON t.video_id = b.video_id""",
+            upto="base",
+        ),
         "cut_list": _sql(
             "SELECT video_id, cut_no, start_frame, end_excl, start_frame / 30.0::DOUBLE AS start_s, end_excl / 30.0::DOUBLE AS end_s, CAST(frames_kept AS BIGINT) AS frames_kept FROM cuts",
             upto="cuts",
@@ -162,6 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "cut_script": _sql(SCRIPT.format(audio="false"), upto="cuts"),
         "cut_script_audio": _sql(SCRIPT.format(audio="has_audio"), upto="cuts"),
         "segments": _sql("SELECT * FROM seg", upto="base", extra=_segments(False, True)),
+        "segments_frames": _sql("SELECT * FROM seg", upto="base", extra=_segments(False, True)),
         "segments_split": _sql("SELECT * FROM seg", upto="base", extra=_segments(True, True)),
         "segments_unmerged": _sql("SELECT * FROM seg", upto="base", extra=_segments(False, False)),
         "edit_summary": _sql(
@@ -173,6 +217,15 @@ def oracle_sql() -> dict[str, str]:
             FROM del d GROUP BY d.video_id""",
             upto="del",
         ),
+        "edit_summary_frames": _sql(
+            """SELECT d.video_id, count(*) AS total, count(*) FILTER (WHERE NOT deleted) AS kept, count(*) FILTER (WHERE deleted) AS gone,
+              count(*) FILTER (WHERE NOT deleted AND state = 0) AS kept_normal, count(*) FILTER (WHERE NOT deleted AND state = 1) AS kept_pause,
+              count(*) FILTER (WHERE NOT deleted AND state = 2) AS kept_1x, count(*) FILTER (WHERE NOT deleted AND state = 3) AS kept_2x,
+              count(*) FILTER (WHERE NOT deleted AND state = 4) AS kept_0_2x,
+              (SELECT count(*) FROM pauses p WHERE p.video_id = d.video_id) AS n_pauses, (SELECT count(*) FROM speeds s WHERE s.video_id = d.video_id) AS n_speeds
+            FROM del d GROUP BY d.video_id""",
+            upto="del",
+        ),
         "export_report": _sql(
             """SELECT video_id, count(*) AS total, count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE NOT ok) AS failed,
               coalesce(string_agg(line, chr(10) ORDER BY seg_no) FILTER (WHERE NOT ok AND rn <= 3), '') AS details FROM (
@@ -209,10 +262,15 @@ def oracle_sql() -> dict[str, str]:
             upto="del",
         ),
         "audit_frames": _sql(
-            """SELECT video_id, declared, decoded, n_bad, CASE WHEN decoded = 0 THEN 'empty' WHEN n_bad > 0 THEN 'bad_payload'
-              WHEN decoded < declared THEN 'short' WHEN decoded > declared THEN 'understated' ELSE 'ok' END AS status
-            FROM (SELECT man.video_id, declared, count(fr.frame_idx) AS decoded, count(*) FILTER (WHERE fr.video_id % 7 = 0 AND fr.frame_idx = 3) AS n_bad
-              FROM man LEFT JOIN fr ON fr.video_id = man.video_id AND fr.video_id % 13 <> 0 GROUP BY man.video_id, declared)""",
+            """SELECT coalesce(m.video_id, g.video_id) AS video_id, coalesce(declared, 0) AS declared, coalesce(decoded, 0) AS decoded, coalesce(n_bad, 0) AS n_bad, coalesce(holes, 0) AS holes,
+              coalesce(repeats, 0) AS repeats, CASE WHEN m.video_id IS NULL THEN 'unlisted' WHEN decoded IS NULL THEN 'empty' WHEN n_bad > 0 THEN 'bad_payload'
+              WHEN holes > 0 OR repeats > 0 THEN 'not_dense' WHEN decoded < declared THEN 'short' WHEN decoded > declared THEN 'understated' ELSE 'ok' END AS status
+            FROM (SELECT CASE WHEN video_id % 13 = 0 THEN -video_id - 1 ELSE video_id END AS video_id, declared FROM man) m FULL JOIN (
+              SELECT video_id, count(*) AS decoded, count(*) FILTER (WHERE video_id % 7 = 0 AND frame_idx = 3) AS n_bad,
+                max(frame_idx) + 1 - count(DISTINCT frame_idx) AS holes, count(*) - count(DISTINCT frame_idx) AS repeats
+              FROM (SELECT video_id, frame_idx FROM fr WHERE NOT (video_id % 13 = 0 AND frame_idx = 5)
+                UNION ALL SELECT video_id, frame_idx FROM fr WHERE video_id % 13 = 0 AND frame_idx = 7) GROUP BY video_id
+            ) g ON g.video_id = m.video_id""",
             upto="man",
         ),
         "resolve_params": _sql(
@@ -290,6 +348,16 @@ def oracle_sql() -> dict[str, str]:
                 FROM mask m JOIN modes p ON p.video_id = m.video_id AND p.start_frame = m.start_frame))""",
             upto="mask",
         ),
+        "mode_mask_edits": _sql(
+            """SELECT video_id, pause_id, CASE WHEN (video_id + pause_id) % 3 = 0 THEN CASE video_id % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'all' ELSE 'auto' END ELSE mode END AS mode,
+              CAST(k AS INT) AS k, CAST(CASE WHEN (mode = 'auto' OR ((video_id + pause_id) % 3 = 0 AND video_id % 3 = 2)) AND blk = max(CASE WHEN k = aim THEN blk END) OVER (PARTITION BY video_id, pause_id)
+                THEN CASE WHEN m = 0 THEN 2 ELSE 3 END ELSE m END AS INT) AS m FROM (
+              SELECT *, sum(chg) OVER (PARTITION BY video_id, pause_id ORDER BY k) AS blk FROM (
+                SELECT m.video_id, p.pause_id, p.mode, m.k, m.m, (m.video_id * 5 + p.pause_id) % (p.end_frame - p.start_frame + 1) AS aim,
+                  CASE WHEN lag(m.m) OVER (PARTITION BY m.video_id, p.pause_id ORDER BY m.k) = m.m THEN 0 ELSE 1 END AS chg
+                FROM mask m JOIN modes p ON p.video_id = m.video_id AND p.start_frame = m.start_frame))""",
+            upto="mask",
+        ),
         "trim_edits": _sql("SELECT * FROM trimmed", upto="trimmed"),
         "validate_context": _sql(
             f"SELECT video_id, {usable} AS usable FROM (SELECT video_id, video_id % 11 AS q, n FROM same)", upto="bounds", extra=f"same AS ({same})"

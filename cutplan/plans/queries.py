@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from cutplan.operators import outputs as O
 from cutplan.operators import scoring as B
 from cutplan.operators import segments as S
 from cutplan.plans import fused
+from cutplan.plans import runs as R
 from cutplan.sources import frames as A
 from cutplan.sources.params import resolve_params
 
@@ -25,23 +27,85 @@ THRESHOLDS = (0.4, 0.4, 0.4, 0.4)
 
 
 class Plan:
-    """Frames of one table with everything that follows from them."""
+    """Frames of one table with everything that follows from them, each part built when it is asked for.
+
+    `plain` and `fast` are runs with what goes, without and with decimation; frames come from them last.
+    """
 
     def __init__(self, frames: DataFrame):
         self.frames = frames
-        self.runs = S.state_runs(frames)
-        self.plain_pauses = S.pause_segments(self.runs)
-        self.speeds = S.speed_segments(self.runs)
-        self.lengths = S.totals(frames)
-        self.clips = S.clip_segments(self.plain_pauses, self.lengths)
-        self.boundaries = S.boundary_diff(self.plain_pauses, frames, self.lengths)
-        self.pauses = S.pause_modes(self.boundaries, BOUNDARY)
-        self.mask = M.pause_mask(M.pause_activity(frames, MOTION), F.lit(STILL))
-        self.trims = trim_edits(self.clips)
-        self.trimmed = E.apply_trim_edits(self.clips, self.trims)
-        self.base, self.deleted = fused.delete_mask(frames, self.trimmed, STILL, MOTION, BOUNDARY, FACTOR)
-        self.ranges = O.kept_ranges(self.deleted)
-        self.cuts = O.cut_list(self.ranges, F.lit(FPS))
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        return S.state_runs(self.frames)
+
+    @cached_property
+    def plain_pauses(self) -> DataFrame:
+        return S.pause_segments(self.runs)
+
+    @cached_property
+    def speeds(self) -> DataFrame:
+        return S.speed_segments(self.runs)
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        return S.totals(self.frames)
+
+    @cached_property
+    def clips(self) -> DataFrame:
+        return S.clip_segments(self.plain_pauses, self.lengths)
+
+    @cached_property
+    def boundaries(self) -> DataFrame:
+        return S.boundary_diff(self.plain_pauses, self.frames, self.lengths)
+
+    @cached_property
+    def pauses(self) -> DataFrame:
+        return S.pause_modes(self.boundaries, BOUNDARY)
+
+    @cached_property
+    def mask(self) -> DataFrame:
+        return M.pause_mask(M.pause_activity(self.frames, MOTION), F.lit(STILL))
+
+    @cached_property
+    def trimmed(self) -> DataFrame:
+        return E.apply_trim_edits(self.clips, trim_edits(self.clips))
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return R.placed_runs(R.frame_runs(self.frames, MOTION))
+
+    @cached_property
+    def run_clips(self) -> DataFrame:
+        return R.clips(self.placed)
+
+    @cached_property
+    def cuts_of_clips(self) -> DataFrame:
+        return E.apply_trim_edits(self.run_clips, trim_edits(self.run_clips))
+
+    @cached_property
+    def plain(self) -> DataFrame:
+        return R.decided(self.placed, self.cuts_of_clips, STILL, BOUNDARY)
+
+    @cached_property
+    def fast(self) -> DataFrame:
+        return R.decided(self.placed, self.cuts_of_clips, STILL, BOUNDARY, FACTOR, True, True)
+
+    @cached_property
+    def base(self) -> DataFrame:
+        return R.delete_mask(self.plain)
+
+    @cached_property
+    def deleted(self) -> DataFrame:
+        return R.delete_mask(self.fast)
+
+    @cached_property
+    def ranges(self) -> DataFrame:
+        return R.kept_ranges(self.fast)
+
+    @cached_property
+    def cuts(self) -> DataFrame:
+        return O.cut_list(self.ranges, F.lit(FPS))
 
 
 def trim_edits(clips: DataFrame) -> DataFrame:
@@ -60,11 +124,35 @@ def mode_edits(pauses: DataFrame) -> DataFrame:
     return first.unionByName(some.select("video_id", "pause_id", F.lit(1).alias("seq"), pick(F.col("video_id")).alias("mode")))
 
 
-def mask_edits(pauses: DataFrame) -> DataFrame:
+def mask_edits(pauses: DataFrame, *more: str) -> DataFrame:
     """One toggle a pause."""
     size = F.col("end_frame") - F.col("start_frame") + 1
     f = F.col("start_frame") + F.pmod(F.col("video_id") * 5 + F.col("pause_id"), size)
-    return pauses.select("video_id", f.alias("frame_idx"), F.lit(0).alias("seq"))
+    return pauses.select("video_id", f.alias("frame_idx"), F.lit(0).alias("seq"), *more)
+
+
+def video_params(frames: DataFrame) -> DataFrame:
+    """Parameters that differ by video, some of them left to their defaults."""
+    v = F.col("video_id")
+    given = S.totals(frames).select(
+        "video_id",
+        F.when(v % 4 != 0, (10 + v % 50).cast("double")).alias("fps"),
+        F.when(v % 3 != 0, (v % 20).cast("double") / F.lit(100.0)).alias("still_time"),
+        F.when(v % 5 != 0, (v % 4 * 90).cast("double")).alias("motion_thresh"),
+        F.when(v % 6 != 0, (v % 50).cast("double")).alias("boundary_thresh"),
+        F.when(v % 7 != 0, (2 + v % 9).cast("int")).alias("factor_02"),
+        F.when(v % 8 != 0, v % 2 == 0).alias("speedup_1x"),
+        F.when(v % 9 != 0, v % 4 < 2).alias("speedup_02"),
+    )
+    return resolve_params(given)
+
+
+def _delete_mask_params(p: Plan) -> DataFrame:
+    params = video_params(p.frames)
+    placed = R.placed_runs(R.frame_runs(p.frames.join(params.select("video_id", "motion_thresh"), "video_id"), F.col("motion_thresh")))
+    clips = R.clips(placed)
+    own = [F.col(c) for c in ("still_frames", "boundary_thresh", "factor_02", "speedup_1x", "speedup_02")]
+    return R.delete_mask(R.decided(placed.join(params, "video_id"), E.apply_trim_edits(clips, trim_edits(clips)), *own))
 
 
 def raw_params(frames: DataFrame) -> DataFrame:
@@ -101,7 +189,7 @@ def _ranges_text(segs: DataFrame) -> DataFrame:
 
 
 def _outcomes(p: Plan) -> DataFrame:
-    segs, v, n = O.segments(p.base, True, True), F.col("video_id"), F.col("seg_no")
+    segs, v, n = R.segments(p.plain, True, True), F.col("video_id"), F.col("seg_no")
     return segs.select(
         "video_id",
         "seg_no",
@@ -198,8 +286,12 @@ def _proc_height(p: Plan) -> DataFrame:
 
 def _audit(p: Plan) -> DataFrame:
     short = F.when((F.col("video_id") % 7 == 0) & (F.col("frame_idx") == 3), F.array().cast("array<double>")).otherwise(F.col("gray"))
-    frames = p.frames.where("video_id % 13 != 0").select("video_id", "frame_idx", F.lit(1).alias("w"), F.lit(1).alias("h"), short.alias("gray"))
-    return A.audit_frames(frames, manifest(p.lengths))
+    # every thirteenth video isn't listed, lists one that has no frames, lacks its frame 5 and has its frame 7 twice
+    odd = F.col("video_id") % 13 == 0
+    frames = p.frames.where(~(odd & (F.col("frame_idx") == 5))).select("video_id", "frame_idx", F.lit(1).alias("w"), F.lit(1).alias("h"), short.alias("gray"))
+    frames = frames.unionByName(frames.where(odd & (F.col("frame_idx") == 7)))
+    listed = manifest(p.lengths).withColumn("video_id", F.when(odd, -F.col("video_id") - 1).otherwise(F.col("video_id")))
+    return A.audit_frames(frames, listed)
 
 
 def _usable(frames: DataFrame, templates: DataFrame) -> DataFrame:
@@ -239,18 +331,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clip_deletes": _events(lambda p: D.clip_deletes(p.frames, p.trimmed)),
         "speedup_deletes": _events(lambda p: D.speedup_deletes(p.frames.select("video_id", "frame_idx", "state", F.lit(False).alias("deleted")), 4, F.lit(FACTOR), F.lit(True))),
         "delete_mask": _events(lambda p: p.deleted),
+        "delete_mask_fused": _events(lambda p: fused.delete_mask(p.frames, p.trimmed, STILL, MOTION, BOUNDARY, FACTOR)[1]),
+        "delete_mask_params": _events(_delete_mask_params),
         "delete_mask_joined": _events(lambda p: D.delete_mask(D.base_deletes(p.frames, p.pauses, p.mask, p.trimmed), factor_02=FACTOR)),
         "deletes_from_list": _listed,
         "kept_ranges": _events(lambda p: p.ranges),
-        "skip_ranges": _events(lambda p: O.skip_ranges(p.pauses, p.mask, p.trimmed)),
-        "next_kept": _events(lambda p: O.next_kept(p.base)),
+        "kept_ranges_frames": _events(lambda p: O.kept_ranges(p.deleted)),
+        "skip_ranges": _events(lambda p: R.skip_ranges(p.plain, p.cuts_of_clips)),
+        "skip_ranges_frames": _events(lambda p: O.skip_ranges(p.pauses, p.mask, p.trimmed)),
+        "next_kept": _events(lambda p: R.next_kept(p.plain)),
+        "next_kept_frames": _events(lambda p: O.next_kept(p.base)),
         "cut_list": _events(lambda p: p.cuts),
         "cut_script": _events(lambda p: O.cut_script(p.cuts, manifest(p.lengths).withColumn("has_audio", F.lit(False)))),
         "cut_script_audio": _events(lambda p: O.cut_script(O.cut_list(p.ranges, F.lit(25.0)), manifest(p.lengths))),
-        "segments": _events(lambda p: _ranges_text(O.segments(p.base))),
-        "segments_split": _events(lambda p: _ranges_text(O.segments(p.base, True, True))),
-        "segments_unmerged": _events(lambda p: _ranges_text(O.segments(p.base, False, False))),
-        "edit_summary": _events(lambda p: O.edit_summary(p.deleted, p.plain_pauses, p.speeds)),
+        "segments": _events(lambda p: _ranges_text(R.segments(p.plain))),
+        "segments_split": _events(lambda p: _ranges_text(R.segments(p.plain, True, True))),
+        "segments_unmerged": _events(lambda p: _ranges_text(R.segments(p.plain, False, False))),
+        "segments_frames": _events(lambda p: _ranges_text(O.segments(p.base))),
+        "edit_summary": _events(lambda p: R.edit_summary(p.fast)),
+        "edit_summary_frames": _events(lambda p: O.edit_summary(p.deleted, p.plain_pauses, p.speeds)),
         "export_report": _events(lambda p: O.export_report(_outcomes(p))),
         "frame_info": _events(lambda p: L.frame_info(p.frames, p.pauses, p.speeds)),
         "effective_speed": _events(_speed),
@@ -272,6 +371,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mode_batch": _events(lambda p: E.apply_mode_batch(p.boundaries, "auto", 300.0)),
         "mode_edits": _events(lambda p: E.apply_mode_edits(p.pauses, mode_edits(p.pauses))),
         "mask_edits": _events(lambda p: _mask_edits(p)),
+        "mode_mask_edits": _events(_mode_mask_edits),
         "trim_edits": _events(lambda p: p.trimmed),
         "validate_context": _events(lambda p: C.validate_context(_perturbed(p), p.plain_pauses, p.lengths)),
         "build_context": _events(_context_rows),
@@ -280,7 +380,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def _mask_edits(p: Plan) -> DataFrame:
+def _mask_of_pauses(p: Plan) -> DataFrame:
     mask = p.mask.join(p.plain_pauses.select("video_id", "pause_id", "start_frame"), ["video_id", "start_frame"])
-    done = E.apply_mask_edits(mask.select("video_id", "pause_id", F.col("k").cast("int").alias("k"), "m"), p.pauses, mask_edits(p.plain_pauses))
+    return mask.select("video_id", "pause_id", F.col("k").cast("int").alias("k"), "m")
+
+
+def _mode_mask_edits(p: Plan) -> DataFrame:
+    """Toggles before, between and after edits of modes, at one place of each pause."""
+    place = mask_edits(p.plain_pauses, "pause_id")
+    some = (F.col("video_id") + F.col("pause_id")) % 3 == 0
+    toggles = place.where(some).drop("seq").withColumn("seq", F.explode(F.array(F.lit(-1), F.lit(1), F.lit(3))))
+    toggles = toggles.unionByName(place.where(~some).drop("seq").withColumn("seq", F.lit(3)))
+    modes = mode_edits(p.plain_pauses).withColumn("seq", F.col("seq") * 2)
+    done, masks = E.apply_edits(_mask_of_pauses(p), p.pauses, modes, toggles)
+    both = masks.join(done.select("video_id", "pause_id", "mode"), ["video_id", "pause_id"])
+    return both.select("video_id", "pause_id", "mode", "k", F.col("m").cast("int").alias("m"))
+
+
+def _mask_edits(p: Plan) -> DataFrame:
+    done = E.apply_mask_edits(_mask_of_pauses(p), p.pauses, mask_edits(p.plain_pauses))
     return done.select("video_id", "pause_id", "k", F.col("m").cast("int").alias("m"))

@@ -32,22 +32,32 @@ def number_frames(rows: DataFrame, video: str, order: list[str]) -> DataFrame:
 
 
 def audit_frames(frames: DataFrame, manifest: DataFrame) -> DataFrame:
-    """A2: declared and decoded counts per manifest row, frames with a bad payload, and a status.
+    """A2: declared and decoded counts, frames with a bad payload, holes and repeats of frame_idx, a status.
 
-    `empty`, `bad_payload`, `short` (fewer than declared, accepted), `understated` (more), else `ok`.
+    One row for each video of the manifest or the frames.  Holes are numbers from 0 to the last frame that no
+    row has, repeats are rows beyond one of a number.  `unlisted` (no manifest row), `empty`, `bad_payload`,
+    `not_dense` (holes or repeats), `short` (fewer than declared, accepted), `understated` (more), else `ok`.
     """
     bad = F.coalesce(F.size("gray") != F.col("w") * F.col("h"), F.lit(True))
-    got = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("decoded"), F.count_if(bad).alias("n_bad"))
-    both = manifest.select("video_id", F.col("declared_frames").alias("declared")).join(got, "video_id", "left")
-    decoded, n_bad = F.coalesce("decoded", F.lit(0)), F.coalesce("n_bad", F.lit(0))
+    # counted by frame number first, so that rows of a long video meet partly aggregated
+    numbers = frames.groupBy("video_id", "frame_idx").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"))
+    got = numbers.groupBy("video_id").agg(
+        F.sum("n").alias("decoded"), F.sum("bad").alias("n_bad"), (F.max("frame_idx") + 1 - F.count_if(F.col("frame_idx") >= 0)).alias("holes"), F.sum(F.col("n") - 1).alias("repeats")
+    )
+    both = manifest.select("video_id", F.col("declared_frames").alias("declared"), F.lit(True).alias("listed")).join(got, "video_id", "full")
+    decoded, n_bad, holes, repeats = (F.coalesce(c, F.lit(0)) for c in ("decoded", "n_bad", "holes", "repeats"))
     status = (
-        F.when(decoded == 0, "empty")
+        F.when(F.col("listed").isNull(), "unlisted")
+        .when(decoded == 0, "empty")
         .when(n_bad > 0, "bad_payload")
+        .when((holes > 0) | (repeats > 0), "not_dense")
         .when(decoded < F.col("declared"), "short")
         .when(decoded > F.col("declared"), "understated")
         .otherwise("ok")
     )
-    return both.select("video_id", "declared", decoded.alias("decoded"), n_bad.alias("n_bad"), status.alias("status"))
+    return both.select(
+        "video_id", F.coalesce("declared", F.lit(0)).alias("declared"), decoded.alias("decoded"), n_bad.alias("n_bad"), holes.alias("holes"), repeats.alias("repeats"), status.alias("status")
+    )
 
 
 def template_geometry(templates: DataFrame, proc_w: Column, proc_h: Column, extend: float = 2.0) -> DataFrame:

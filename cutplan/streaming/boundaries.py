@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,54 +16,69 @@ STATE = "next_idx long, prev array<double>, open_start long, before array<double
 HELD = "frame_idx long, state int, gray array<double>, is_last boolean"
 
 
-def _mean_abs(a: list[float], b: list[float]) -> float | None:
-    return sum(abs(x - y) for x, y in zip(a, b, strict=True)) / len(a) if a and b and len(a) == len(b) else None
+def _mean_abs(a: np.ndarray | None, b: np.ndarray) -> float | None:
+    return float(np.abs(np.subtract(a, b, dtype=np.float64)).mean()) if a is not None and len(a) and len(a) == len(b) else None
 
 
 class BoundaryTracker(StatefulProcessor):
     """State of a video: the next frame it waits for, the frame before, and an open pause with the frame
-    before that.  Frames that come early are held; a frame below the next one is a repeat and dropped."""
+    before that.  Frames that come early are held; a frame below the next one is a repeat and dropped.
+    Once more than `max_held` wait, the frames before the first of them count as lost and it goes on there."""
+
+    def __init__(self, max_held: int):
+        self.max_held = max_held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.place = handle.getValueState("place", STATE)
         self.held = handle.getListState("held", HELD)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        video = int(key[0])
+        names = [f.split(" ")[0] for f in OUT.split(", ")]
         next_idx, prev, start, before = self.place.get() if self.place.exists() else (0, None, None, None)
-        waiting = {r[0]: r for r in self.held.get()} if self.held.exists() else {}
-        for part in rows:
-            for i, s, g, last in zip(part["frame_idx"], part["state"], part["gray"], part["is_last"], strict=True):
-                waiting.setdefault(int(i), (int(i), int(s), [float(x) for x in g], bool(last)))
-        out = []
-        while (row := waiting.pop(next_idx, None)) is not None:
-            idx, state, gray, last = row
-            if state == PAUSE and start is None:
-                start, before = idx, gray if idx == 0 else prev
-            elif state != PAUSE and start is not None:
-                out.append((video, start, idx - 1, max(0, start - 1), idx, _mean_abs(before, gray)))
+        columns = [f.split(" ")[0] for f in HELD.split(", ")]
+        early = pd.DataFrame(list(self.held.get()), columns=columns) if self.held.exists() else None
+        waiting = pd.concat([x for x in (early, *(part[columns] for part in rows)) if x is not None and len(x)] or [pd.DataFrame(columns=columns)])
+        waiting = waiting.drop_duplicates("frame_idx").sort_values("frame_idx", ignore_index=True)
+        waiting, out = waiting[waiting["frame_idx"] >= next_idx].reset_index(drop=True), []
+        while len(waiting):
+            idx = waiting["frame_idx"].to_numpy(np.int64)
+            ready = int((idx == next_idx + np.arange(len(idx))).sum())
+            if not ready:
+                if len(idx) <= self.max_held:
+                    break
+                next_idx = int(idx[0])
+                continue
+            gray, paused = waiting["gray"], waiting["state"].to_numpy(np.int64)[:ready] == PAUSE
+            # pixels are looked at only where a pause opens or closes
+            for k in np.flatnonzero(paused != np.concatenate([[start is not None], paused[:-1]])).tolist():
+                if paused[k]:
+                    start = int(idx[k])
+                    before = gray[k - 1] if k else (gray[k] if prev is None else prev)
+                else:
+                    out.append((int(key[0]), start, int(idx[k]) - 1, max(0, start - 1), int(idx[k]), _mean_abs(before, gray[k])))
+                    start = before = None
+            if bool(waiting["is_last"].iloc[ready - 1]) and start is not None:
+                end = int(idx[ready - 1])
+                out.append((int(key[0]), start, end, max(0, start - 1), end, _mean_abs(before, gray[ready - 1])))
                 start = before = None
-            if last and start is not None:
-                out.append((video, start, idx, max(0, start - 1), idx, _mean_abs(before, gray)))
-                start = before = None
-            prev, next_idx = gray, next_idx + 1
-        self.place.update((next_idx, prev, start, before))
-        early = [waiting[i] for i in sorted(waiting) if i > next_idx]
-        if early:
-            self.held.put(early)
+            prev, next_idx = gray[ready - 1], int(idx[ready - 1]) + 1
+            waiting = waiting.iloc[ready:].reset_index(drop=True)
+        pixels = lambda g: None if g is None else np.asarray(g, np.float64).tolist()
+        self.place.update((next_idx, pixels(prev), start, pixels(before)))
+        if len(waiting):
+            self.held.put([(int(i), int(s), pixels(g), bool(last)) for i, s, g, last in waiting[columns].itertuples(index=False)])
         elif self.held.exists():
             self.held.clear()
-        names = [f.split(" ")[0] for f in OUT.split(", ")]
         yield pd.DataFrame([r for r in out if r[5] is not None], columns=names)
 
     def close(self) -> None:
         pass
 
 
-def track_boundaries(stream: DataFrame) -> DataFrame:
+def track_boundaries(stream: DataFrame, max_held: int = 1000) -> DataFrame:
     """One record per pause run, when it closes.  stream (video_id, frame_idx, state, gray, is_last).
 
-    Needs the RocksDB state store; state is two frames a video and what came early.
+    Needs the RocksDB state store; state is two frames a video and at most `max_held` that came early.
     """
     rows = stream.selectExpr("video_id", "frame_idx", "state", "CAST(gray AS ARRAY<DOUBLE>) AS gray", "is_last")
-    return rows.groupBy("video_id").transformWithStateInPandas(BoundaryTracker(), outputStructType=OUT, outputMode="Append", timeMode="None")
+    return rows.groupBy("video_id").transformWithStateInPandas(BoundaryTracker(max_held), outputStructType=OUT, outputMode="Append", timeMode="None")
