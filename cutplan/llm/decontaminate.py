@@ -9,8 +9,8 @@ neighbour pair no item has can't be inside a stretch of two or more, so runs of
 over with one vectorised test and the automaton starts again at its root behind them.
 
 The items are the test set, not the corpus: their size is counted first, and automata of at most
-`max_words` words are built, one for each block of items; every document meets every block, so a
-large set costs more passes but no more memory in a task.
+`max_words` words are built, one for each block of items; every document meets every block, one job
+after the other, so a large set costs more passes but no more memory in a task or on the driver.
 
 Defined results: null text has no words; an item without words is no window; equal items all count;
 a null item_id is left out of item lists but its words are windows; an empty benchmark hits nothing;
@@ -21,15 +21,16 @@ the same name.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutplan.llm import kernels as K
-from cutplan.llm.shared import with_column
+from cutplan.llm.shared import saved, with_column, work_dir
 
 
 class Automaton:
@@ -208,9 +209,8 @@ def _match(items: Items, texts: list[bytes]) -> list[dict]:
     return out
 
 
-def match_items(docs: DataFrame, items: Items, text: str, out: str) -> DataFrame:
-    """All columns of `docs` plus `out`."""
-    broadcast = docs.sparkSession.sparkContext.broadcast(items)
+def match_items(docs: DataFrame, broadcast: Broadcast, text: str, out: str) -> DataFrame:
+    """All columns of `docs` plus `out`; `broadcast` holds `Items`."""
     names = [c for c in docs.columns if c != out]
     at = names.index(text)
     schema = with_column(docs.select(*names), out, RESULT)
@@ -227,11 +227,12 @@ def match_items(docs: DataFrame, items: Items, text: str, out: str) -> DataFrame
     return docs.select(*names).mapInArrow(run, schema)
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, window: int, max_words: int) -> Iterator[Items]:
-    """One `Items` a block of at most about `max_words` words, read block by block, in order of item and text."""
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, window: int, max_words: int) -> Iterator[int | Items]:
+    """The number of blocks, then an `Items` for each, of at most about `max_words` words, made when it is asked for."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // (5 * max_words)))
+    yield parts
     for p in range(parts):
         part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p)
         yield Items([(r.item, r.text) for r in part.toLocalIterator()], window)
@@ -249,17 +250,31 @@ def contamination(
 ) -> DataFrame:
     """All columns of `docs` plus `out`: struct<n_words, n_hit, items, spans, stretches>; spans are byte
     ranges of `text`, stretches have their range of words besides and may overlap."""
+    spark = docs.sparkSession
+    blocks = item_blocks(benchmark, item_id, item_text, window, max_words)
+    parts = next(blocks)
+    if parts == 1:
+        return match_items(docs, spark.sparkContext.broadcast(next(blocks)), text, out)
+    # one job a block: its automaton goes before the next is made, and only rows that it hits are written
     names = [c for c in docs.columns if c != out]
-    passes, done = [], docs.select(*names)
-    for k, items in enumerate(item_blocks(benchmark, item_id, item_text, window, max_words)):
-        done = match_items(done, items, text, f"_hit_{k}")
-        passes.append(f"_hit_{k}")
-    if len(passes) == 1:
-        return done.withColumnRenamed(passes[0], out)
+    held, folder = [f"c{i}" for i in range(len(names))], work_dir(spark, "contamination")
+    rows = saved(docs.select(*names).toDF(*held).withColumn("row", F.monotonically_increasing_id()), f"{folder}/rows")
+    texts = rows.select("row", F.col(held[names.index(text)]).alias("text"))
+    for k, items in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(items)
+        found = match_items(texts, shared, "text", "hit").select("row", "hit")
+        saved(found if k == 0 else found.where("hit.n_hit > 0"), f"{folder}/hits/block={k}")
+        shared.destroy()
+    every = spark.read.schema(T.StructType([T.StructField("row", T.LongType()), T.StructField("hit", T.StructType.fromDDL(f"x {RESULT}")["x"].dataType)])).parquet(f"{folder}/hits")
+    met = every.groupBy("row").agg(
+        F.max("hit.n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_list("hit.spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit.items")))).alias("items"),
+        F.array_sort(F.flatten(F.collect_list("hit.stretches"))).alias("stretches"),
+    )
     # spans of several blocks of items may overlap: hit words are counted anew, from the merged spans
-    spans = F.array_sort(F.flatten(F.array(*[F.col(p)["spans"] for p in passes])))
     merged = F.aggregate(
-        spans,
+        "spans",
         F.array().cast("array<array<int>>"),
         lambda a, s: F.when(
             (F.size(a) > 0) & (F.get(F.get(a, F.size(a) - 1), F.lit(1)) >= F.get(s, F.lit(0))),
@@ -269,17 +284,13 @@ def contamination(
             ),
         ).otherwise(F.concat(a, F.array(s))),
     )
-    every = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(p)["items"] for p in passes]))))
-    joined = done.withColumn("_spans", merged)
-    body = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
-    pieces = F.transform("_spans", lambda s: F.decode(F.substring(body, F.get(s, F.lit(0)) + 1, F.get(s, F.lit(1)) - F.get(s, F.lit(0))), "utf-8"))
+    joined = rows.join(met.withColumn("spans", merged), "row").select(*held, "n_words", "spans", "items", "stretches")
+    body = F.encode(F.coalesce(F.col(held[names.index(text)]), F.lit("")), "utf-8")
+    pieces = F.transform("spans", lambda s: F.decode(F.substring(body, F.get(s, F.lit(0)) + 1, F.get(s, F.lit(1)) - F.get(s, F.lit(0))), "utf-8"))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     n_hit = F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + F.regexp_count(p, F.lit(word)))
-    stretches = F.array_sort(F.flatten(F.array(*[F.col(p)["stretches"] for p in passes])))
-    result = F.struct(
-        F.col(passes[0])["n_words"].alias("n_words"), n_hit.alias("n_hit"), every.alias("items"), F.col("_spans").alias("spans"), stretches.alias("stretches")
-    )
-    return reduce(lambda d, p: d.drop(p), [*passes, "_spans"], joined.withColumn("_out", result)).withColumnRenamed("_out", out)
+    result = F.struct("n_words", n_hit.alias("n_hit"), "items", "spans", "stretches")
+    return joined.select(*[F.col(h).alias(n) for n, h in zip(names, held, strict=True)], result.alias(out))
 
 
 def remove_spans(

@@ -91,3 +91,15 @@ def test_removal_leaves_short_items(spark):
     for more in ({}, {"max_words": 5}):
         got = {r.doc_id: r.text for r in D.remove_spans(D.contamination(d, b, **more)).collect()}
         assert got == want
+
+
+def test_blocks_of_items_clashing_names_and_repeated_rows(spark):
+    words = [f"w{i}" for i in range(400)]
+    items = [(f"i{k}", " ".join(words[20 * k : 20 * k + 15])) for k in range(12)]
+    text = "x " + " ".join(words[0:15]) + " y " + " ".join(words[40:58]) + " z"
+    docs = spark.createDataFrame([(1, text, 7, 8), (1, text, 7, 8), (2, None, 0, 0), (3, "clean text", 0, 0)], "doc_id long, text string, _hit_0 int, row int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole, cut = D.contamination(docs, bench), D.contamination(docs, bench, max_words=20)
+    key = lambda r: (r.doc_id, r._hit_0, r.row, r.contamination.n_words, r.contamination.n_hit, r["contamination"]["items"], str(r.contamination.spans))
+    assert sorted(map(key, whole.collect())) == sorted(map(key, cut.collect()))
+    assert whole.columns == cut.columns and cut.where("doc_id = 1").first().contamination.n_hit == 30
