@@ -17,6 +17,7 @@ bytes from the first start to the end of the last string.
    start repeated strings.
 4. Anchors with more than `max_contexts` distinct contexts don't go to a shard; digests of their
    strings are counted instead, pre-aggregated before the shuffle, which is exact at any size.
+5. Digests are looked up by a join in which very frequent ones are dealt over several keys.
 
 Strings never cross documents.  Defined results: null text is empty; a row is a place of its own,
 also if its doc_id or text repeats; an empty table gives an empty table; extra columns aren't used.
@@ -42,6 +43,8 @@ POSITION = K.U(0xFFFFFF)
 SEPARATOR = 255
 #: Bytes hashed at a time: positions must fit into 24 bits.
 PIECE = 4 << 20
+#: No join key of a digest holds more than this part of the rows (one in PARTS).
+PARTS = 1000
 
 
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +238,22 @@ def shard_spans(pieces: DataFrame, length: int, shards: int, tasks: int) -> Data
     return dealt.groupBy("shard").applyInPandas(run, SPAN_DDL)
 
 
-def counted_spans(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for contexts of very frequent anchors: digests of all their strings are counted."""
+def repeated(rows: DataFrame, counts: DataFrame, total: int, place: list[str]) -> DataFrame:
+    """Rows (h1, h2, ...) whose digest `counts` (h1, h2, n) holds with n > 1; `total` is the sum of all n.
+
+    A digest of more than one in PARTS rows is dealt over several keys by the columns of its `place`, as many as
+    it has such parts.  There are fewer than PARTS such digests, which bounds what is broadcast and repeated.
+    """
+    parts = F.ceil(F.col("n") * PARTS / F.lit(max(1, total)))
+    often = counts.where(F.col("n") * PARTS > total).select("h1", "h2", parts.alias("parts"))
+    dealt = rows.join(F.broadcast(often), ["h1", "h2"], "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64(*place), F.col("parts")), F.lit(0)))
+    keys = counts.where("n > 1").select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    return dealt.join(keys, ["h1", "h2", "part"], "left_semi")
+
+
+def counted_spans(pieces: DataFrame, length: int, total: int, folder: str) -> DataFrame:
+    """The same for contexts of very frequent anchors: digests of all their strings, `total` of them, are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,8 +275,9 @@ def counted_spans(pieces: DataFrame, length: int) -> DataFrame:
                 )
 
     strings = pieces.select("d", "tag", "n", "start", "body").mapInArrow(run, "d long, tag int, n long, at long, h1 long, h2 long")
-    many = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2")
-    return strings.where("n = 1").join(many, ["h1", "h2"]).select("d", "tag", F.col("at").alias("first"), (F.col("at") + length).alias("past"))
+    counts = saved(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), folder)
+    found = repeated(strings.where("n = 1").drop("n"), counts, total, ["d", "tag", "at"])
+    return found.select("d", "tag", F.col("at").alias("first"), (F.col("at") + length).alias("past"))
 
 
 def bodies(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -321,13 +339,13 @@ def remove_repeats(
     wanted = distinct.join(shared, "anchor").select("at.d", "at.tag", "at.start", "at.m", "n", "anchor", "hot", "wide")
     cut = saved(bodies(rows.select("d", "tag", "text"), wanted, length), f"{folder}/bodies")
     size = F.octet_length("body")
-    total, narrow, hot = cut.agg(F.sum(size), F.sum(F.when(~F.col("wide"), size)), F.max("hot")).first()
+    total, narrow, hot = cut.agg(F.sum(size), F.sum(F.when(~F.col("wide"), size)), F.sum(F.when(F.col("hot"), F.col("m")))).first()
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // (8 * shard_bytes)))
     spans = shard_spans(cut.where("NOT hot"), length, max(1, -(-(narrow or 0) // shard_bytes)), tasks)
     if hot:
-        spans = spans.union(counted_spans(cut.where("hot"), length))
-    many = distinct.where("n > 1").select("h1", "h2")
-    whole = every.join(many, ["h1", "h2"]).select("d", "tag", F.col("start").alias("first"), (F.col("start") + F.col("m") - 1 + length).alias("past"))
+        spans = spans.union(counted_spans(cut.where("hot"), length, hot, f"{folder}/strings"))
+    places = distinct.agg(F.sum("n")).first()[0] or 0
+    whole = repeated(every.drop("anchor"), distinct.select("h1", "h2", "n"), places, ["d", "tag", "start"]).select("d", "tag", F.col("start").alias("first"), (F.col("start") + F.col("m") - 1 + length).alias("past"))
     lists = whole.union(spans).groupBy("d", "tag").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
     joined = rows.join(lists, ["d", "tag"], "left").select("doc_id", "text", "spans")
 

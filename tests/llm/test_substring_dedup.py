@@ -69,3 +69,21 @@ def test_long_text_in_pieces(spark, monkeypatch):
 def test_empty_table_and_extra_columns(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, d int, tag string")
     assert S.digest(docs).count() == 0
+
+
+def test_very_frequent_contexts_are_dealt_over_keys(spark):
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    common = text(150)
+    texts = [common] * 90 + [text(12) + common + text(12) for _ in range(60)] + [text(40) for _ in range(20)]
+    check(spark, texts, length=20, gram=8)
+    check(spark, texts, length=20, gram=8, max_contexts=2)
+
+
+def test_null_and_repeated_ids_with_equal_texts(spark):
+    rng = random.Random(14)
+    one, two = ("".join(rng.choice("abcdefghij ") for _ in range(60)) for _ in range(2))
+    rows = [(None, one), (None, one), (None, two), (1, two + one), (1, None), (1, "short")]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=20, gram=8).collect()
+    want = [(-1 if i is None else i, *w) for (i, _), w in zip(rows, brute([t for _, t in rows], 20), strict=True)]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(want)
