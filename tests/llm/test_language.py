@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -61,3 +62,48 @@ def test_more_than_64_languages(spark):
     got = {r.doc_id: r.lang_pred for r in L.predict(docs, model).collect()}
     held = [(i, name) for i, _, name in rows if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum(got[i] == name for i, name in held) >= 0.98 * len(held)
+
+
+def plain_grams(text):
+    low = "".join(c.lower() if c.isascii() or ("À" <= c <= "Þ" and c != "×") else c for c in text or "")
+    data = b" " + bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in low.encode()) + b" "
+    return [data[i : i + 4] for i in range(len(data) - 3) if b"  " not in data[i : i + 4]]
+
+
+def plain(rows):
+    """{doc_id: (language, score)} by counters and sets, no filter."""
+    counts = {}
+    for i, text, name in rows:
+        if name is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(name, Counter()).update(plain_grams(text))
+    names = sorted(counts)
+    share = {n: {g: c / counts[n].total() for g, c in counts[n].items()} for n in names}
+    rest = lambda n, g: sum(share[m].get(g, 0.0) for m in names if m != n) / max(1, len(names) - 1)
+    telling = {n: {g for g in share[n] if share[n][g] > rest(n, g)} for n in names}
+    own = {n: sum(share[n][g] for g in telling[n]) for n in names}
+    out = {}
+    for i, text, _ in rows:
+        found = plain_grams(text)
+        weighed = [sum(g in telling[n] for g in found) / max(1, len(found)) / own[n] for n in names]
+        if any(c.isalpha() for c in text or "") and sum(weighed):
+            out[i] = names[weighed.index(max(weighed))], max(weighed) / sum(weighed)
+    return out
+
+
+def test_equals_plain_counts_without_a_filter(spark):
+    rows = corpus() + [(500, "KOMO Éloque ÄINÇON keitz", None), (501, "komo 7 schtrum, schtrum", None), (502, "Komo tiras " * 120_000, None)]
+    got = {r.doc_id: r for r in L.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    want = plain(rows)
+    assert len(want) == len(rows)
+    for i, (name, score) in want.items():
+        assert got[i].lang_pred == name and abs(got[i].score - score) < 1e-3
+
+
+def test_ties_repeated_rows_and_null_ids(spark):
+    learned = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:90]
+    rows = [(i, " ".join(WORDS["aa" if k % 3 < 2 else "cc"]), ["ab", "aa", "cc"][k % 3]) for k, i in enumerate(learned)]
+    rows += [(900, "komo tiras", None)] * 2 + [(None, "belun okano", None)]
+    got = L.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    tied = [r for r in got if r.doc_id in (900, None)]
+    assert len(got) == len(rows) and len(tied) == 3
+    assert all(r.lang_pred == "aa" and abs(r.score - 0.5) < 1e-6 for r in tied)
