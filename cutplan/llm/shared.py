@@ -39,6 +39,15 @@ def saved(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of jobs that are done, once their result is a table.
+
+    Spark's cleaner deletes them when the driver's heap is collected; a driver with little to do puts that
+    off for up to half an hour, and all that time the executors' disks hold every earlier shuffle.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def once(value: Column) -> Column:
     """The value made once a row: a generator is a barrier that projections aren't merged across, so a
     lambda that uses the column doesn't make it anew for every element."""

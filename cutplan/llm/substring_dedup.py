@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutplan.llm import kernels as K
-from cutplan.llm.shared import saved, work_dir
+from cutplan.llm.shared import release, saved, work_dir
 
 WIDE = K.U(2**64 - 1)
 POSITION = K.U(0xFFFFFF)
@@ -330,6 +330,7 @@ def remove_repeats(
         every.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "tag", "start", "m")).alias("at")),
         f"{folder}/distinct",
     )
+    release(docs.sparkSession)
     shared = (
         distinct.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.sum(F.col("at.m") + length).alias("size"))
@@ -338,6 +339,7 @@ def remove_repeats(
     )
     wanted = distinct.join(shared, "anchor").select("at.d", "at.tag", "at.start", "at.m", "n", "anchor", "hot", "wide")
     cut = saved(bodies(rows.select("d", "tag", "text"), wanted, length), f"{folder}/bodies")
+    release(docs.sparkSession)
     size = F.octet_length("body")
     total, narrow, hot = cut.agg(F.sum(size), F.sum(F.when(~F.col("wide"), size)), F.sum(F.when(F.col("hot"), F.col("m")))).first()
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // (8 * shard_bytes)))
@@ -346,7 +348,8 @@ def remove_repeats(
         spans = spans.union(counted_spans(cut.where("hot"), length, hot, f"{folder}/strings"))
     places = distinct.agg(F.sum("n")).first()[0] or 0
     whole = repeated(every.drop("anchor"), distinct.select("h1", "h2", "n"), places, ["d", "tag", "start"]).select("d", "tag", F.col("start").alias("first"), (F.col("start") + F.col("m") - 1 + length).alias("past"))
-    lists = whole.union(spans).groupBy("d", "tag").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+    lists = saved(whole.union(spans).groupBy("d", "tag").agg(F.collect_list(F.struct("first", "past")).alias("spans")), f"{folder}/spans")
+    release(docs.sparkSession)
     joined = rows.join(lists, ["d", "tag"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
