@@ -62,3 +62,10 @@ def test_missing_pages_are_counted():
     at = [i for i in range(len(data)) if data[i : i + 4] == b"OggS"]
     streams, bad = ogg.read(data[: at[3]] + data[at[4] :])
     assert bad == 1 and len(ogg.payload_of(streams)) < len(payload)
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "a"), (3, "a"), (3, None)], "doc_id long, text string")
+    rows = ogg.digest(docs).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == [-1, -1, 3, 3]
+    assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in rows if r.n_bytes}) == 1
