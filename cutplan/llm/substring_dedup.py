@@ -15,8 +15,11 @@ bytes from the first start to the end of the last string.
    end of a new interval is a place where neighbouring suffixes have exactly that many bytes in
    common.  The search ends at `length`: ends not met have longer common prefixes, so their suffixes
    start repeated strings.
-4. Anchors with more than `max_contexts` distinct contexts don't go to a shard; digests of their
-   strings are counted instead, pre-aggregated before the shuffle, which is exact at any size.
+4. An anchor with more than `max_contexts` distinct contexts is split before it goes to a shard, by the
+   bytes beside it: strings that have at least half of their other bytes before the anchor go by that half,
+   the others by the half behind it.  Equal strings stay together, since the anchor is at one place in them.
+   Parts are counted and marked like contexts and split again while there are too many; the bytes that a
+   part shares grow to whole strings, so eight rounds at most end it.
 5. Digests are looked up by a join in which very frequent ones are dealt over several keys.
 
 Strings never cross documents.  Defined results: null text is empty; a row is a place of its own,
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutplan.llm import kernels as K
@@ -252,32 +255,74 @@ def repeated(rows: DataFrame, counts: DataFrame, total: int, place: list[str]) -
     return dealt.join(keys, ["h1", "h2", "part"], "left_semi")
 
 
-def counted_spans(pieces: DataFrame, length: int, total: int, folder: str) -> DataFrame:
-    """The same for contexts of very frequent anchors: digests of all their strings, `total` of them, are counted."""
+def halves(m: int, core: int, width: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first start, number of starts, place of the new core after that start, its width) of a context's parts.
+
+    Each of the context's m strings holds the `width` bytes from `core` on.  Of the bytes that a string has
+    beside them, half lie before or behind the core; the new core has that half too.
+    """
+    step = -(-(length - width) // 2)
+    before = min(m, max(0, core - step + 1))
+    if before:
+        yield 0, before, core - step, width + step
+    if before < m:
+        yield before, m - before, core - before, width + step
+
+
+PART_DDL = "d long, tag int, n long, start long, m int, anchor long, h1 long, h2 long, core int, width int, body binary"
+
+
+def parts(pieces: DataFrame, length: int, gram: int) -> DataFrame:
+    """Contexts of very frequent anchors in two parts each, under new anchors: the old one, the side and the new core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for r in batch.to_pylist():
-                body = r["body"]
-                digests = [K.digest16(body[i : i + length]) for i in range(len(body) - length + 1)]
-                h1, h2 = _halves(digests)
-                k = len(digests)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r["d"]] * k, pa.int64()),
-                        pa.array([r["tag"]] * k, pa.int32()),
-                        pa.array([r["n"]] * k, pa.int64()),
-                        pa.array(np.arange(k) + r["start"], pa.int64()),
-                        pa.array(h1),
-                        pa.array(h2),
-                    ],
-                    names=["d", "tag", "n", "at", "h1", "h2"],
-                )
+                body, old = r["body"], r["anchor"].to_bytes(8, "little", signed=True)
+                core, width = r["core"], r["width"]
+                if core is None:
+                    core, width = int(anchors(np.frombuffer(body, np.uint8), length, gram)[0][0]), gram
+                for first, m, at, w in halves(len(body) - length + 1, core, width, length):
+                    part = body[first : first + m - 1 + length]
+                    key = K.digest16(old + (b"<" if first + at < core else b">") + part[at : at + w])
+                    anchor, h = int.from_bytes(key[:8], "little", signed=True), K.digest16(part)
+                    h1, h2 = (int.from_bytes(x, "little", signed=True) for x in (h[:8], h[8:]))
+                    found.append((r["d"], r["tag"], r["n"], r["start"] + first, m, anchor, h1, h2, at, w, part))
+            if found:
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int32(), pa.binary())
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in PART_DDL.split(", ")])
+
+    return pieces.select("d", "tag", "n", "start", "anchor", "core", "width", "body").mapInArrow(run, PART_DDL)
+
+
+def undecided(distinct: DataFrame, size: Column, max_contexts: int, shard_bytes: int) -> DataFrame:
+    """(anchor, hot, wide) of anchors with several contexts of which some occur once."""
+    grouped = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.sum(size).alias("size"))
+    hot, wide = (F.col("k") > max_contexts).alias("hot"), (F.col("size") > shard_bytes // 8).alias("wide")
+    return grouped.where("k > 1 AND least = 1").select("anchor", hot, wide)
+
+
+def whole_spans(rows: DataFrame, counts: DataFrame, length: int) -> DataFrame:
+    """Byte spans of rows (d, tag, start, m, h1, h2) whose digest occurs more than once by `counts` (h1, h2, n)."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    met = repeated(rows.select("d", "tag", "start", "m", "h1", "h2"), counts.select("h1", "h2", "n"), total, ["d", "tag", "start"])
+    return met.select("d", "tag", F.col("start").alias("first"), (F.col("start") + F.col("m") - 1 + length).alias("past"))
 
-    strings = pieces.select("d", "tag", "n", "start", "body").mapInArrow(run, "d long, tag int, n long, at long, h1 long, h2 long")
-    counts = saved(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), folder)
-    found = repeated(strings.where("n = 1").drop("n"), counts, total, ["d", "tag", "at"])
-    return found.select("d", "tag", F.col("at").alias("first"), (F.col("at") + length).alias("past"))
+
+PIECE_COLUMNS = ["d", "tag", "n", "start", "m", "anchor", "hot", "wide", "core", "width", "body"]
+
+
+def split(hot: DataFrame, length: int, gram: int, max_contexts: int, shard_bytes: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """One round of splitting: spans of parts that occur more than once, and the pieces that are left to decide."""
+    made = saved(parts(hot, length, gram), f"{folder}-parts")
+    once = F.struct("d", "tag", "start")
+    same = [F.first(c).alias(c) for c in ("m", "core", "width", "body")]
+    alike = saved(made.groupBy("anchor", "h1", "h2").agg(F.sum("n").alias("n"), F.min(once).alias("at"), *same), f"{folder}-distinct")
+    left = alike.join(undecided(alike, F.octet_length("body"), max_contexts, shard_bytes), "anchor")
+    left = saved(left.select("at.*", *[c for c in PIECE_COLUMNS if c not in ("d", "tag", "start")]).select(*PIECE_COLUMNS), f"{folder}-left")
+    return whole_spans(made.where("n = 1"), alike, length), left
 
 
 def bodies(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -331,24 +376,22 @@ def remove_repeats(
         f"{folder}/distinct",
     )
     release(docs.sparkSession)
-    shared = (
-        distinct.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.sum(F.col("at.m") + length).alias("size"))
-        .where("k > 1 AND least = 1")
-        .select("anchor", (F.col("k") > max_contexts).alias("hot"), (F.col("size") > shard_bytes // 8).alias("wide"))
-    )
+    shared = undecided(distinct, F.col("at.m") + length, max_contexts, shard_bytes)
     wanted = distinct.join(shared, "anchor").select("at.d", "at.tag", "at.start", "at.m", "n", "anchor", "hot", "wide")
-    cut = saved(bodies(rows.select("d", "tag", "text"), wanted, length), f"{folder}/bodies")
+    cut = bodies(rows.select("d", "tag", "text"), wanted, length)
+    cut = cut.withColumns({c: F.lit(None).cast("int") for c in ("core", "width")}).select(*PIECE_COLUMNS)
+    cut = saved(cut, f"{folder}/bodies")
     release(docs.sparkSession)
-    size = F.octet_length("body")
-    total, narrow, hot = cut.agg(F.sum(size), F.sum(F.when(~F.col("wide"), size)), F.sum(F.when(F.col("hot"), F.col("m")))).first()
+    spans, ready, size = whole_spans(every, distinct, length), cut.where("NOT hot"), F.octet_length("body")
+    for k in range(length.bit_length()):
+        if cut.where("hot").isEmpty():
+            break
+        found, cut = split(cut.where("hot"), length, gram, max_contexts, shard_bytes, f"{folder}/split-{k}")
+        spans, ready = spans.union(found), ready.union(cut.where("NOT hot"))
+    total, narrow = ready.agg(F.sum(size), F.sum(F.when(~F.col("wide"), size))).first()
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // (8 * shard_bytes)))
-    spans = shard_spans(cut.where("NOT hot"), length, max(1, -(-(narrow or 0) // shard_bytes)), tasks)
-    if hot:
-        spans = spans.union(counted_spans(cut.where("hot"), length, hot, f"{folder}/strings"))
-    places = distinct.agg(F.sum("n")).first()[0] or 0
-    whole = repeated(every.drop("anchor"), distinct.select("h1", "h2", "n"), places, ["d", "tag", "start"]).select("d", "tag", F.col("start").alias("first"), (F.col("start") + F.col("m") - 1 + length).alias("past"))
-    lists = saved(whole.union(spans).groupBy("d", "tag").agg(F.collect_list(F.struct("first", "past")).alias("spans")), f"{folder}/spans")
+    spans = spans.union(shard_spans(ready, length, max(1, -(-(narrow or 0) // shard_bytes)), tasks))
+    lists = saved(spans.groupBy("d", "tag").agg(F.collect_list(F.struct("first", "past")).alias("spans")), f"{folder}/spans")
     release(docs.sparkSession)
     joined = rows.join(lists, ["d", "tag"], "left").select("doc_id", "text", "spans")
 

@@ -51,6 +51,39 @@ def test_frequent_anchors_equal_brute_force(spark):
     check(spark, corpus(9, "abcdef"), length=20, gram=6, max_contexts=2)
 
 
+def test_parts_hold_every_string_once_and_equal_strings_go_one_way():
+    rng = random.Random(5)
+    for _ in range(300):
+        length = rng.randrange(2, 40)
+        width = rng.randrange(1, length + 1)
+        m = rng.randrange(1, length - width + 2)
+        core = rng.randrange(m - 1, length - width + 1)
+        todo, seen = [(0, m, core, width)], Counter()
+        rounds = 0
+        while any(w < length for *_, w in todo):
+            rounds += 1
+            done = [p for p in todo if p[3] == length]
+            for first, k, c, w in (p for p in todo if p[3] < length):
+                for f, n, at, wide in S.halves(k, c, w, length):
+                    assert all(i <= at and at + wide <= i + length for i in range(n))
+                    done.append((first + f, n, at, wide))
+            todo = done
+        for first, k, c, w in todo:
+            assert (k, c, w) == (1, 0, length)
+            seen[first] += 1
+        assert seen == Counter(range(m)) and rounds <= length.bit_length()
+
+
+def test_one_anchor_in_many_different_contexts(spark):
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    common = text(14)
+    longer = [text(3) + common + text(3) for _ in range(4)]
+    texts = [text(20) + common + text(20) for _ in range(60)] + [text(15) + rng.choice(longer) + text(15) for _ in range(40)]
+    check(spark, texts + texts[:5], length=20, gram=8, max_contexts=1)
+    check(spark, texts + texts[:5], length=20, gram=8, max_contexts=10, shard_bytes=300)
+
+
 def test_repeated_ids(spark):
     texts = corpus(11, "abcdefghij ")
     check(spark, texts, ids=[i // 3 for i in range(len(texts))], length=20, gram=8)
