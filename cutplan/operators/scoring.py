@@ -95,6 +95,8 @@ SCORES = "video_id long, frame_idx long, ctype string, template_id int, score do
 #: Pixels of frames that the kernel holds at once, and the largest matrix that it makes of a template.
 KERNEL_PIXELS = 1 << 15
 MATRIX_CELLS = 1 << 20
+#: Single precision holds all whole numbers up to this one.
+WHOLE = 1 << 24
 Rect = tuple[int, int, int, int]
 
 
@@ -149,7 +151,8 @@ class Template:
     def matrix(self, name: str, width: int, kind: type) -> np.ndarray:
         key = (name, width, kind)
         if key not in self.made:
-            self.made[key] = shifted(self.z if name == "z" else self.on, width).astype(kind)
+            parts = [self.z if part == "z" else self.on for part in name.split()]
+            self.made[key] = np.concatenate([shifted(p, width) for p in parts], axis=1).astype(kind)
         return self.made[key]
 
 
@@ -158,6 +161,8 @@ class Pictures:
 
     Sums over placements come from matrix products, in single precision where pixels are whole bytes, or
     from a Fourier transform where the template's matrix would be large; sums of boxes from integral images.
+    Bytes are taken less a whole number near their mean, so their sums under a mask are whole numbers too,
+    which single precision holds exactly up to `WHOLE`; beyond that double precision is taken.
     """
 
     def __init__(self, region: np.ndarray):
@@ -174,31 +179,44 @@ class Pictures:
         return self.kept[name]
 
     def _values(self, name: str) -> np.ndarray:
-        """`even`: pixels less their mean, `raw`: pixels, `square`: their squares."""
-        if name == "even":
-            return self._made(name, lambda: self.raw.astype(self.kind) - self.raw.mean((1, 2), keepdims=True, dtype=self.kind))
-        return self.raw if name == "raw" else self._made("square", lambda: self.raw * self.raw)
+        """`even`: pixels less their mean, a whole number for bytes, `raw`: pixels; `even square`, `square`: their squares."""
 
-    def _lines(self, name: str, th: int) -> np.ndarray:
+        def even() -> np.ndarray:
+            mean = self.raw.mean((1, 2), keepdims=True)
+            return (self.raw - (np.rint(mean) if self.kind is np.float32 else mean)).astype(self.kind)
+
+        def squares(name: str) -> np.ndarray:
+            return np.square(self._values(name))
+
+        if name == "raw":
+            return self.raw
+        return self._made(name, even if name == "even" else lambda: squares("even" if name == "even square" else "raw"))
+
+    def _reach(self) -> float:
+        """The largest of the pixels less their mean, without its sign."""
+        return self._made("reach", lambda: float(np.abs(self._values("even")).max(initial=0)))
+
+    def _lines(self, name: str, th: int, kind: type) -> np.ndarray:
         """[n * ny, th * w]: th rows in one line, from each row on."""
 
         def make() -> np.ndarray:
-            v = np.ascontiguousarray(self._values(name))
+            v = np.ascontiguousarray(self._values(name), kind)
             n, h, w = v.shape
             view = np.lib.stride_tricks.as_strided(v, (n, h - th + 1, th * w), (v.strides[0], v.strides[1], v.strides[2]))
             return view.reshape(n * (h - th + 1), th * w)
 
-        return self._made(f"{name} {th}", make)
+        return self._made(f"{name} {th} {np.dtype(kind)}", make)
 
-    def _placed(self, name: str, t: Template, part: str) -> np.ndarray:
-        """[n, ny, nx] sums of the values times the template's pixels (part z) or its mask (part on)."""
+    def _placed(self, name: str, t: Template, parts: str, kind: type) -> list[np.ndarray]:
+        """[n, ny, nx] sums of the values times the template's pixels (part z) or its mask (part on), for each part."""
         n, h, w = self.raw.shape
         ny, nx = h - t.height + 1, w - t.width + 1
         if t.height * w * nx <= MATRIX_CELLS:
-            kind = self.kind if name == "even" else np.float64
-            return (self._lines(name, t.height) @ t.matrix(part, w, kind)).reshape(n, ny, nx)
-        spectrum = self._made(f"{name} spectrum", lambda: np.fft.rfft2(self._values(name), self.size))
-        return np.fft.irfft2(spectrum * np.conj(np.fft.rfft2(t.z if part == "z" else t.on, self.size)), self.size)[:, :ny, :nx]
+            sums = self._lines(name, t.height, kind) @ t.matrix(parts, w, kind)
+            return [sums[:, k * nx : (k + 1) * nx].reshape(n, ny, nx) for k in range(len(parts.split()))]
+        spectrum = self._made(f"{name} spectrum", lambda: np.fft.rfft2(self._values(name).astype(np.float64), self.size))
+        made = [np.fft.rfft2(t.z if part == "z" else t.on, self.size) for part in parts.split()]
+        return [np.fft.irfft2(spectrum * np.conj(m), self.size)[:, :ny, :nx] for m in made]
 
     def _boxes(self, name: str, th: int, tw: int) -> np.ndarray:
         """Sums of all th x tw boxes."""
@@ -213,18 +231,21 @@ class Pictures:
         down = c[:, th:] - c[:, :-th]
         return down[:, :, tw:] - down[:, :, :-tw]
 
-    def _spread(self, t: Template) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of squared deviations at all placements, and where they are none."""
+    def _sums(self, t: Template) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For all placements the products with the template, and sums of the masked pixels and of their squares."""
         if t.full:
-            total, squares = self._boxes("raw", t.height, t.width), self._boxes("square", t.height, t.width)
+            return *self._placed("even", t, "z", self.kind), self._boxes("raw", t.height, t.width), self._boxes("square", t.height, t.width)
+        if self.kind is np.float64:
+            total, squares = (self._placed(name, t, "on", self.kind)[0] for name in ("raw", "square"))
+            cross = self._placed("even", t, "z", self.kind)[0]
         else:
-            total, squares = self._placed("raw", t, "on"), self._placed("square", t, "on")
-            if self.exact:  # sums of whole numbers
-                total, squares = np.rint(total), np.rint(squares)
-        total = total.astype(np.float64)
-        spread = squares - total * total / t.count
-        least = 1e-12 * squares + (0.0 if self.exact else 1e-14 * self._values("square").sum((1, 2))[:, None, None])
-        return spread, spread <= least
+            top = self._reach()
+            if t.count * top <= WHOLE:
+                cross, total = self._placed("even", t, "z on", np.float32)
+            else:
+                cross, total = self._placed("even", t, "z", np.float32)[0], self._placed("even", t, "on", np.float64)[0]
+            squares = self._placed("even square", t, "on", np.float32 if t.count * top * top <= WHOLE else np.float64)[0]
+        return (cross, np.rint(total), np.rint(squares)) if self.exact else (cross, total, squares)
 
     def scores(self, t: Template) -> np.ndarray | None:
         """[n, ny, nx] correlations of a template at all placements, -inf where one side doesn't vary."""
@@ -233,9 +254,12 @@ class Pictures:
             return None
         if t.norm <= 0:
             return np.full((n, ny, nx), -np.inf)
-        spread, flat = self._spread(t)
+        cross, total, squares = self._sums(t)
+        total = total.astype(np.float64)
+        spread = squares - total * total / t.count
+        flat = spread <= 1e-12 * squares + (0.0 if self.exact else 1e-14 * self._values("square").sum((1, 2))[:, None, None])
         spread[flat] = 1.0
-        r = self._placed("even", t, "z") / np.sqrt(spread * t.norm)
+        r = cross / np.sqrt(spread * t.norm)
         r[flat] = -np.inf
         return np.minimum(r, 1.0)
 

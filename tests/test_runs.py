@@ -211,3 +211,30 @@ def test_lost_frames_end_in_the_stream(spark):
     assert feed((0, 0, 1, False), (1, 1, 2, False)) == []
     assert feed((3, 1, 4, False), (4, 0, 9, False)) == [] and len(tracker.held.x) == 2
     assert feed((5, 1, 9, False), (6, 1, 9, True)) == [(7, 1, 3, 0, 4, 8.0), (7, 5, 6, 4, 6, 0.0)]
+
+
+def test_kernel_sums_equal_plain_correlations():
+    """Masked and full templates on bytes of low and high contrast, numbers, and regions of several sizes."""
+    rng = np.random.default_rng(3)
+    for h, w, th, tw in [(9, 14, 4, 6), (30, 41, 25, 40), (60, 70, 33, 33), (200, 230, 40, 60)]:
+        kinds = [
+            rng.integers(0, 256, (2, h, w)).astype(np.uint8),
+            (255 * (np.arange(w) > w // 2) * np.ones((2, h, 1))).astype(np.uint8),
+            (10 + rng.integers(0, 2, (2, h, w))).astype(np.uint8),
+            np.full((2, h, w), 77, np.uint8),
+            rng.integers(0, 256, (2, h, w)).astype(np.float64) / 3,
+        ]
+        for region in kinds:
+            for on in (np.ones((th, tw), bool), rng.random((th, tw)) > 0.2):
+                t = rng.integers(0, 256, (th, tw)).astype(float)
+                got = scoring.Pictures(region).scores(scoring.Template(t, on))
+                z = (t - t[on].mean())[on]
+                for y in {0, (h - th) // 2, h - th}:
+                    for x in {0, (w - tw) // 2, w - tw}:
+                        for k in range(2):
+                            p = region[k, y : y + th, x : x + tw].astype(float)[on]
+                            if p.max() == p.min():
+                                assert got[k, y, x] == -np.inf
+                            else:
+                                want = (p - p.mean()) @ z / np.sqrt(((p - p.mean()) ** 2).sum() * (z @ z))
+                                assert abs(got[k, y, x] - want) < 2e-5
