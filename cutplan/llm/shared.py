@@ -69,3 +69,22 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def with_column(df: DataFrame, name: str, kind: str) -> T.StructType:
     """The schema of `df` and one more column, of a type in DDL."""
     return T.StructType([*df.schema.fields, T.StructField(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType)])
+
+
+#: A table of DuckDB SQL, the steps of CRC-32 for every byte, and the checksum of a text's UTF-8 by it.
+CRC_TABLE = """
+crc_step AS (
+  SELECT b, 0 AS k, CAST(b AS UBIGINT) AS c FROM range(256) t(b)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS UBIGINT)) ELSE c // 2 END FROM crc_step WHERE k < 8
+),
+crc_table AS (SELECT list(c ORDER BY b) AS steps FROM crc_step WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned crc32 of a text expression, in a query from `crc_table` too; needs `CRC_TABLE` among the recursive tables."""
+    digits = f"hex(encode({text}))"
+    byte = f"CAST('0x' || substr({digits}, CAST(2 * i + 1 AS BIGINT), 2) AS UBIGINT)"
+    codes = f"list_transform(range(0, length({digits}) // 2), lambda i: {byte})"
+    step = "xor(c // 256, steps[CAST(xor(c % 256, b) AS BIGINT) + 1])"
+    return f"xor(list_reduce({codes}, lambda c, b: {step}, CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT))"
