@@ -287,7 +287,7 @@ def digest(docs: DataFrame) -> DataFrame:
     return variants(docs.select("doc_id", "text"))
 
 
-#: Near words share a string that one deletion gives, or differ by one letter at the same place.
+#: Of near words one is the other less a letter, or both are equal without the letter at one place.
 ORACLE = f"""
 WITH RECURSIVE {CRC_TABLE},
 run AS (
@@ -301,16 +301,15 @@ struck AS (
 ),
 word AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM struck WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
 gap AS (
-  SELECT DISTINCT word, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, unnest(range(0, length(word))) AS i FROM word)
+  SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, unnest(range(0, length(word))) AS i FROM word)
 ),
-pair AS (
-  SELECT a.word AS a, b.word AS b FROM gap a JOIN gap b USING (s) WHERE a.word <> b.word
+near AS (
+  SELECT a.word AS a, b.word AS b FROM gap a JOIN gap b USING (i, s) WHERE a.word <> b.word
   UNION
   SELECT word, s FROM gap WHERE s IN (SELECT word FROM word)
   UNION
   SELECT s, word FROM gap WHERE s IN (SELECT word FROM word)
 ),
-near AS (SELECT a, b FROM pair WHERE levenshtein(a, b) = 1),
 best AS (
   SELECT a.word, any_value(a.n) AS n, count(*) AS n_near, max(b.n) AS top, min(struct_pack(k := -b.n, w := b.word)).w AS best
   FROM near JOIN word a ON a.word = near.a JOIN word b ON b.word = near.b GROUP BY a.word
