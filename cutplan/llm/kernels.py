@@ -67,6 +67,7 @@ def lower_table() -> np.ndarray:
 
 
 LOWERED = lower_table()
+UNCHANGED = np.arange(256, dtype=np.uint8)
 #: Word bytes of `[^\x20\x09-\x0D]+`, and of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
@@ -74,8 +75,8 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-def _hash_block(joined: bytes, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = LOWERED[np.frombuffer(joined, np.uint8)]
+def _hash_block(joined: bytes, word: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = fold[np.frombuffer(joined, np.uint8)]
     inside = word[data]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     start, end = edge[0::2], edge[1::2]
@@ -97,18 +98,18 @@ def _pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
     yield at, text[at:]
 
 
-def words(texts: list[bytes], word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: list[bytes], word: np.ndarray, fold: np.ndarray = LOWERED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of one block of texts: (hash, start, end, bounds); text i has words bounds[i]:bounds[i+1].
 
-    start and end are byte positions in the texts joined by one blank.
+    start and end are byte positions in the texts joined by one blank.  `fold` maps bytes before they're hashed.
     """
     if len(texts) == 1 and len(texts[0]) > BLOCK:
-        parts = [(at, *_hash_block(p, word)) for at, p in _pieces(texts[0])]
+        parts = [(at, *_hash_block(p, word, fold)) for at, p in _pieces(texts[0])]
         start = np.concatenate([s + at for at, s, _, _ in parts])
         end = np.concatenate([e + at for at, _, e, _ in parts])
         hashed = np.concatenate([h for *_, h in parts])
     else:
-        start, end, hashed = _hash_block(b" ".join(texts), word)
+        start, end, hashed = _hash_block(b" ".join(texts), word, fold)
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     bounds = np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))
     return hashed, start, end, bounds

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutplan.llm import chat, decontaminate, language, line_dedup, merkle, near_dedup, ogg, packing, pii, quality, spelling, substring_dedup
+from cutplan.llm import chat, decontaminate, language, line_dedup, merkle, near_dedup, ogg, packing, pii, quality, spelling, substring_dedup, suffix_trees
 from cutplan.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op10_substring_dedup": lambda spark, d: substring_dedup.digest(table(spark, d, "documents")),
         "op11_merkle": lambda spark, d: merkle.digest(table(spark, d, "documents")),
         "op12_spelling": lambda spark, d: spelling.digest(table(spark, d, "documents")),
+        "op13_suffix_trees": lambda spark, d: suffix_trees.digest(table(spark, d, "documents")),
     }
 
 
@@ -38,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_substring_dedup": substring_dedup.ORACLE,
         "op11_merkle": merkle.ORACLE,
         "op12_spelling": spelling.ORACLE,
+        "op13_suffix_trees": suffix_trees.ORACLE,
     }
