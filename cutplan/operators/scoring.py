@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from cutplan.functions.frames import mean_abs_diff, value
 from cutplan.operators.segments import BLOCK, blocked
+from cutplan.sources.bands import band_columns, band_rows
 from cutplan.sources.work import work_dir
 
 # Template categories, and the value of a category without a score.
@@ -93,7 +94,7 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
 
 SCORES = "video_id long, frame_idx long, ctype string, template_id int, score double, x int, y int"
 #: Pixels of frames that the kernel holds at once, and the largest matrix that it makes of a template.
-KERNEL_PIXELS = 1 << 15
+KERNEL_PIXELS = 1 << 16
 MATRIX_CELLS = 1 << 20
 #: Single precision holds all whole numbers up to this one.
 WHOLE = 1 << 24
@@ -114,6 +115,15 @@ def cropped(rect: Rect, binary: bool) -> Column:
     return F.when((cols <= 0) | (rows <= 0), F.slice("gray", 1, 0)).when((cols == F.col("w")), whole).otherwise(part)
 
 
+def cropped_bands(rect: Rect, rows: int, names: list[str]) -> Column:
+    """The same from columns of bands of `rows` rows each; only bands that the rectangle meets are read."""
+    x0, y0, x1, y1 = rect
+    cols = F.least("w", F.lit(x1)) - x0
+    row = lambda r: F.substring(names[r // rows], (F.lit(r % rows) * F.col("w") + x0 + 1).cast("int"), cols)
+    lines = [F.when(F.col("h") > r, row(r)).otherwise(F.lit(b"")) for r in range(y0, min(y1, rows * len(names)))]
+    return F.when((cols > 0) & (F.col("h") > y0), F.concat(*lines)).otherwise(F.lit(b"")) if lines else F.lit(b"")
+
+
 def _fast(n: int) -> int:
     """The least length of at least n without prime factors above 5."""
     while True:
@@ -136,6 +146,27 @@ def shifted(t: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(th * width, -1)
 
 
+def separable(parts: list[tuple[np.ndarray, np.ndarray]], h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """[w, k * nx] and [ny, h * k]: a sum of k products of a column and a row, as two matrices that give its
+    sums at all placements in a picture of h x w, along rows first and then along columns."""
+    th, tw, k = len(parts[0][0]), len(parts[0][1]), len(parts)
+    ny, nx = h - th + 1, w - tw + 1
+    along, down = np.zeros((w, k, nx), np.float32), np.zeros((ny, h, k), np.float32)
+    columns, rows = (np.array(side).T for side in zip(*parts, strict=True))
+    for x in range(nx):
+        along[x : x + tw, :, x] = rows
+    for y in range(ny):
+        down[y, y : y + th] = columns
+    return along.reshape(w, k * nx), down.reshape(ny, h * k)
+
+
+#: A coarse pass leaves at most this part of a template's norm out, or there is none; what single precision may
+#: add; the part of a patch's squares that its spread must have for a coarse score to count.
+COARSE_REST, COARSE_SLACK, COARSE_SPREAD = 0.3, 5e-3, 1e-3
+#: Most products of a column and a row in a coarse pass, and most candidates of it among all placements (one in ...).
+COARSE_PARTS, COARSE_SHARE = 6, 8
+
+
 class Template:
     """A template's pixels, centred, with its mask and what is made of them for a width of pictures."""
 
@@ -148,6 +179,22 @@ class Template:
     def __reduce__(self) -> tuple:
         return Template, (self.z, self.on > 0)
 
+    def _parts(self, pixels: np.ndarray, rest: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], float]:
+        """The leading products of a column and a row of some pixels, and the part of their norm that they leave out, at most `rest`."""
+        u, s, v = np.linalg.svd(pixels, full_matrices=False)
+        left = np.sqrt(np.maximum(0.0, np.cumsum((s * s)[::-1])[::-1])) / max(np.sqrt((s * s).sum()), 1e-300)
+        k = max(1, int((left > rest).sum()))
+        return [(u[:, i] * s[i], v[i]) for i in range(k)], float(left[k]) if k < len(left) else 0.0
+
+    def coarse(self, h: int, w: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], float] | None:
+        """The matrices of a coarse pass for the template and for its mask, and the part of the norm left out; None where it wouldn't pay."""
+        key = ("coarse", h, w)
+        if key not in self.made:
+            (z, rest), (on, lost) = self._parts(self.z, COARSE_REST), self._parts(self.on, 1e-9)
+            pays = len(z) + 2 * len(on) <= COARSE_PARTS + 2 and lost < 1e-9 and self.norm > 0
+            self.made[key] = (separable(z, h, w), separable(on, h, w), rest) if pays else None
+        return self.made[key]
+
     def matrix(self, name: str, width: int, kind: type) -> np.ndarray:
         key = (name, width, kind)
         if key not in self.made:
@@ -162,17 +209,25 @@ class Pictures:
     Sums over placements come from matrix products, in single precision where pixels are whole bytes, or
     from a Fourier transform where the template's matrix would be large; sums of boxes from integral images.
     Bytes are taken less a whole number near their mean, so their sums under a mask are whole numbers too,
-    which single precision holds exactly up to `WHOLE`; beyond that double precision is taken.
+    which single precision holds exactly up to `WHOLE`; beyond that double precision is taken.  `best` scores
+    bytes coarsely first and exactly where the coarse score leaves it open.
     """
 
     def __init__(self, region: np.ndarray):
         self.exact, self.kind = region.dtype.kind in "iu", np.float32 if region.dtype == np.uint8 else np.float64
-        # sums of squared bytes of a small region fit into 32 bits
-        narrow = region.dtype == np.uint8 and region.shape[1] * region.shape[2] < 1 << 15
-        self.raw = region.astype(np.int32 if narrow else np.float64)
-        self.size = (_fast(region.shape[1]), _fast(region.shape[2]))
+        self.region, self.shape = region, region.shape
         self.kept: dict[str, np.ndarray] = {}
 
+    @property
+    def raw(self) -> np.ndarray:
+        # sums of squared bytes of a small region fit into 32 bits
+        narrow = self.region.dtype == np.uint8 and self.shape[1] * self.shape[2] < 1 << 15
+        return self._made("raw", lambda: self.region.astype(np.int32 if narrow else np.float64))
+
+    @property
+    def size(self) -> tuple[int, int]:
+        return _fast(self.shape[1]), _fast(self.shape[2])
+
     def _made(self, name: str, make: Callable[[], np.ndarray]) -> np.ndarray:
         if name not in self.kept:
             self.kept[name] = make()
@@ -182,8 +237,10 @@ class Pictures:
         """`even`: pixels less their mean, a whole number for bytes, `raw`: pixels; `even square`, `square`: their squares."""
 
         def even() -> np.ndarray:
-            mean = self.raw.mean((1, 2), keepdims=True)
-            return (self.raw - (np.rint(mean) if self.kind is np.float32 else mean)).astype(self.kind)
+            if self.kind is np.float32:
+                mean = self.region.reshape(len(self.region), -1).mean(1, dtype=np.float32)
+                return np.subtract(self.region, np.rint(mean)[:, None, None], dtype=np.float32)
+            return self.raw - self.raw.mean((1, 2), keepdims=True)
 
         def squares(name: str) -> np.ndarray:
             return np.square(self._values(name))
@@ -247,6 +304,76 @@ class Pictures:
             squares = self._placed("even square", t, "on", np.float32 if t.count * top * top <= WHOLE else np.float64)[0]
         return (cross, np.rint(total), np.rint(squares)) if self.exact else (cross, total, squares)
 
+    def _separable(self, name: str, matrices: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        v, (along, down) = self._values(name), matrices
+        n, h, w = v.shape
+        lines = v.reshape(n * h, w) @ along
+        return np.matmul(down, lines.reshape(n, down.shape[1], -1))
+
+    def candidates(self, t: Template, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(picture, placement) of all placements that may hold a picture's best score, where that may reach `floor`.
+
+        The template's leading products of a column and a row are scored at all placements; the rest of it adds
+        at most its part of the norm, by the inequality of Cauchy and Schwarz.  What stays below the floor, or below
+        the best of the picture, with that added, is out.  None where the coarse pass wouldn't pay.
+        """
+        n, h, w = self.shape
+        if self.kind is not np.float32 or (made := t.coarse(h, w)) is None:
+            return None
+        z, on, rest = made
+        cross, total, squares = self._separable("even", z), self._separable("even", on), self._separable("even square", on)
+        total *= total
+        total *= np.float32(1 / t.count)
+        spread = np.subtract(squares, total, out=total)
+        squares *= np.float32(COARSE_SPREAD)
+        doubtful = spread <= squares
+        np.maximum(spread, np.float32(1e-3), out=spread)
+        spread *= np.float32(t.norm)
+        cross /= np.sqrt(spread, out=spread)
+        r, doubtful = cross.reshape(n, -1), doubtful.reshape(n, -1)
+        r[doubtful] = -1.0
+        slack = rest + COARSE_SLACK
+        low = np.fmax(floor, r.max(1) - slack) - slack
+        # most pictures have no placement that reaches the floor
+        live = np.flatnonzero((r.max(1) >= low) | doubtful.any(1))
+        k, place = np.nonzero((r[live] >= low[live, None]) | doubtful[live])
+        return live[k], place
+
+    def at(self, t: Template, k: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Correlations of a template at single placements, -inf where one side doesn't vary."""
+        nx = self.shape[2] - t.width + 1
+        windows = np.lib.stride_tricks.sliding_window_view(self.region, (t.height, t.width), axis=(1, 2))
+        patch = windows[k, place // nx, place % nx].reshape(len(k), -1).astype(np.float64)
+        on = t.on.ravel()
+        total, squares = patch @ on, np.square(patch) @ on
+        spread = squares - total * total / t.count
+        flat = spread <= 1e-12 * squares
+        spread[flat] = 1.0
+        r = ((patch - (total / t.count)[:, None]) @ t.z.ravel()) / np.sqrt(spread * t.norm)
+        r[flat] = -np.inf
+        return np.minimum(r, 1.0)
+
+    def best(self, t: Template, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The best correlation of a template in each picture and the first placement that has it, in row order; -inf where
+        none varies, and also where the best is below the picture's floor, if that is known without scoring all placements."""
+        n, h, w = self.shape
+        if h < t.height or w < t.width:
+            return None
+        found = self.candidates(t, floor)
+        if found is None or len(found[0]) * COARSE_SHARE > n * (h - t.height + 1) * (w - t.width + 1):
+            flat = self.scores(t).reshape(n, -1)
+            # rounded, so that the first of equal placements is taken whatever the last bits are
+            return flat.max(1).astype(np.float64), np.round(flat, 9 if flat.dtype == np.float64 else 5).argmax(1)
+        k, place = found
+        score, first = np.full(n, -np.inf), np.zeros(n, np.int64)
+        if len(k):
+            r = self.at(t, k, place)
+            np.maximum.at(score, k, r)
+            turn = np.lexsort((place, -np.round(r, 9), k))
+            lead = turn[np.flatnonzero(np.diff(k[turn], prepend=-1))]
+            first[k[lead]] = place[lead]
+        return score, first
+
     def scores(self, t: Template) -> np.ndarray | None:
         """[n, ny, nx] correlations of a template at all placements, -inf where one side doesn't vary."""
         n, ny, nx = len(self.raw), self.raw.shape[1] - t.height + 1, self.raw.shape[2] - t.width + 1
@@ -277,11 +404,24 @@ class Templates:
         self.ctypes = list(self.rects)
 
     def columns(self, frames: DataFrame, *more: Column) -> DataFrame:
-        """(video_id, frame_idx, w, h, a column of pixels a category, `more`); frames whose payload isn't w x h go."""
+        """(video_id, frame_idx, w, h, a column of pixels a category, `more`); frames whose payload isn't w x h go.
+
+        Of frames in bands only the bands that a region meets are read, and only those are checked.
+        """
+        ids = [F.col("video_id").cast("long").alias("video_id"), F.col("frame_idx").cast("long").alias("frame_idx")]
+        size = [F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h")]
+        if names := band_columns(frames):
+            rows = band_rows(names)
+            met = sorted({b for _, y0, _, y1 in self.rects.values() for b in range(y0 // rows, min(len(names), -(-y1 // rows)))})
+            sound = frames
+            for b in met:
+                held = F.greatest(F.lit(0), F.least(F.lit(rows), F.col("h") - b * rows)) * F.col("w")
+                sound = sound.where(F.octet_length(names[b]) == held)
+            pixels = [cropped_bands(r, rows, names).alias(f"g{k}") for k, r in enumerate(self.rects.values())]
+            return sound.select(*ids, *size, *pixels, *more)
         binary = isinstance(frames.schema["gray"].dataType, T.BinaryType)
         held = F.octet_length("gray") if binary else F.size("gray")
         sound = frames.where(held == F.col("w") * F.col("h"))
-        ids = [F.col("video_id").cast("long").alias("video_id"), F.col("frame_idx").cast("long").alias("frame_idx")]
         # a rectangle's rows are written out for bytes; one that goes far beyond any frame is cut to the tallest
         tallest = 1 << 12
         rects = [(x0, y0, x1, min(y1, y0 + tallest)) for x0, y0, x1, y1 in self.rects.values()]
@@ -290,7 +430,7 @@ class Templates:
             self.rects = {c: (0, 0, 1 << 30, 1 << 30) for c in self.rects}
         else:
             pixels = [cropped(r if binary else rect, binary).alias(f"g{k}") for k, (r, rect) in enumerate(zip(rects, self.rects.values(), strict=True))]
-        return sound.select(*ids, F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), *pixels, *more)
+        return sound.select(*ids, *size, *pixels, *more)
 
     def shapes(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
         """Frames of one size in a batch: (w, h, their places)."""
@@ -304,16 +444,21 @@ class Templates:
         cols, rows = max(0, min(w, x1) - x0), max(0, min(h, y1) - y0)
         column = batch.column(4 + self.ctypes.index(ctype))
         if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
-            picked = b"".join(column.take(pa.array(at)).to_pylist())
-            return np.frombuffer(picked, np.uint8).reshape(len(at), rows, cols)
+            # all payloads have one size, so they stand in one buffer without gaps
+            picked = (column if len(at) == len(column) else column.take(pa.array(at))).cast(pa.large_binary())
+            first = np.frombuffer(picked.buffers()[1], np.int64)[picked.offset]
+            return np.frombuffer(picked.buffers()[2] or b"", np.uint8, len(at) * rows * cols, int(first)).reshape(len(at), rows, cols)
         picked = column if len(at) == len(column) else column.take(pa.array(at))
         return picked.flatten().to_numpy(zero_copy_only=False).reshape(len(at), rows, cols)
 
     def best(
-        self, batch: pa.RecordBatch, ctype: str, w: int, h: int, at: np.ndarray, places: bool = True
+        self, batch: pa.RecordBatch, ctype: str, w: int, h: int, at: np.ndarray, floor: np.ndarray | None = None
     ) -> Iterator[tuple[Row, np.ndarray, np.ndarray, np.ndarray]]:
-        """(template, best correlation or nan, x, y) for each template of a category whose region can hold it;
-        without `places` x and y are those of the region."""
+        """(template, best correlation or nan, x, y) for each template of a category whose region can hold it.
+
+        With a floor for each frame, a best score below it, or below that of an earlier template, may be nan.
+        """
+        floor = np.full(len(at), -np.inf) if floor is None else np.array(floor, np.float64)
         x0, y0, _, _ = self.rects[ctype]
         whole = self.region(batch, ctype, w, h, at)
         size = max(1, KERNEL_PIXELS // max(1, whole.shape[1] * whole.shape[2]))
@@ -328,12 +473,11 @@ class Templates:
                     continue
                 if roi not in pictures:
                     pictures[roi] = Pictures(whole[lo : lo + size, roi[1] : roi[3], roi[0] : roi[2]])
-                r = pictures[roi].scores(self.pixels[k])
-                flat = r.reshape(len(r), -1)
-                # rounded, so that the first of equal placements is taken whatever the last bits are
-                place = np.round(flat, 9 if flat.dtype == np.float64 else 5).argmax(1) if places else np.zeros(len(flat), np.int64)
-                score = flat.max(1).astype(np.float64)
-                found[k].append((np.where(np.isfinite(score), score, np.nan), t.roi_x + place % r.shape[2], t.roi_y + place // r.shape[2]))
+                part = floor[lo : lo + size]
+                score, place = pictures[roi].best(self.pixels[k], part)
+                np.fmax(part, score, out=part, where=part > -np.inf)
+                nx = roi[2] - roi[0] - t.tw + 1
+                found[k].append((np.where(np.isfinite(score), score, np.nan), t.roi_x + place % nx, t.roi_y + place // nx))
         for k in mine:
             if found[k]:
                 yield self.rows[k], *(np.concatenate(c) for c in zip(*found[k], strict=True))
@@ -388,7 +532,8 @@ def template_scores(frames: DataFrame, templates: DataFrame) -> DataFrame:
 def classify_templates(frames: DataFrame, templates: DataFrame, thr: tuple[float | Column, float | Column, float | Column, float | Column]) -> DataFrame:
     """B2-B4 in one pass without an exchange: (video_id, frame_idx, state) of frames whose payload is sound.
 
-    The pause category goes first, and only frames that it doesn't claim are scored against the others.
+    The pause category goes first, only frames that it doesn't claim are scored against 1x and 2x, and only those left
+    against 0.2x.  A threshold is a floor: placements whose bound is below it, or below the best so far, are not scored.
     With more than `MAX_TEMPLATES` templates B2-B4 are composed.  Thresholds are numbers, or columns of the
     frames where they differ by video.
     """
@@ -405,20 +550,21 @@ def classify_templates(frames: DataFrame, templates: DataFrame, thr: tuple[float
             for w, h, at in block.shapes(batch):
                 best = {c: np.full(batch.num_rows, NO_SCORE) for c in CTYPES}
 
-                def score(ctype: str, at: np.ndarray) -> None:
+                def score(ctype: str, at: np.ndarray, floor: np.ndarray) -> np.ndarray:
                     if ctype in block.rects and len(at):
-                        for _, r, _, _ in block.best(batch, ctype, w, h, at, places=False):
+                        for _, r, _, _ in block.best(batch, ctype, w, h, at, floor):
                             best[ctype][at] = np.fmax(best[ctype][at], r)
+                    return best[ctype][at]
 
-                score("pause", at)
-                claimed = best["pause"][at] >= thr[0][at]
+                claimed = score("pause", at, thr[0][at]) >= thr[0][at]
                 state[at[claimed]] = 1
                 rest = at[~claimed]
-                for ctype in CTYPES[1:]:
-                    score(ctype, rest)
-                s1, s2, s02 = (best[c][rest] for c in CTYPES[1:])
-                t1, t2, t02 = (thr[k][rest] for k in (1, 2, 3))
-                state[rest] = np.select([(s1 >= t1) & (s1 > s2), (s2 >= t2) & (s2 > s1), s02 >= t02], [2, 3, 4], 0)
+                # a score below both thresholds decides nothing, whatever it is
+                t1, t2 = thr[1][rest], thr[2][rest]
+                s1, s2 = (score(c, rest, np.fmin(t1, t2)) for c in CTYPES[1:3])
+                state[rest] = np.select([(s1 >= t1) & (s1 > s2), (s2 >= t2) & (s2 > s1)], [2, 3], 0)
+                rest = rest[state[rest] == 0]
+                state[rest[score(CTYPES[3], rest, thr[3][rest]) >= thr[3][rest]]] = 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(state)], names=["video_id", "frame_idx", "state"])
 
     return block.columns(frames, *limits).mapInArrow(run, "video_id long, frame_idx long, state int")

@@ -238,3 +238,62 @@ def test_kernel_sums_equal_plain_correlations():
                             else:
                                 want = (p - p.mean()) @ z / np.sqrt(((p - p.mean()) ** 2).sum() * (z @ z))
                                 assert abs(got[k, y, x] - want) < 2e-5
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pruned_scores_equal_scores_of_all_placements(seed):
+    rng = np.random.default_rng(seed)
+    th, tw = [(8, 12), (25, 40), (5, 5), (9, 4), (1, 9), (12, 1)][seed]
+    smooth = lambda h, w: np.add.outer(np.cumsum(rng.normal(0, 9, h)), np.cumsum(rng.normal(0, 9, w))) + 128
+    t = np.clip(smooth(th, tw), 0, 255).round()
+    on = np.ones((th, tw), bool)
+    if seed % 2:
+        on[: th // 3, : tw // 2] = False
+    template = scoring.Template(t, on)
+    pictures = np.stack([np.clip(smooth(th + 20, tw + 30) if k % 2 else rng.integers(0, 256, (th + 20, tw + 30)), 0, 255) for k in range(12)]).astype(np.uint8)
+    pictures[3, 4 : 4 + th, 5 : 5 + tw] = t
+    if 2 * th + 4 <= th + 20:
+        pictures[3, 4 + th : 4 + 2 * th, 5 : 5 + tw] = t
+    pictures[5] = 0
+    pictures[6, :, : tw // 2 + 10] = 255
+    pictures[7] = 200
+    pictures[7, 3, 3] = 201
+    made = scoring.Pictures(pictures)
+    every = made.scores(template).reshape(len(pictures), -1)
+    top, first = every.max(1), np.round(every, 5).argmax(1)
+    for floor in (-np.inf, -0.5, 0.3, 0.7, 0.95):
+        score, place = scoring.Pictures(pictures).best(template, np.full(len(pictures), floor))
+        above = top >= floor
+        assert np.isinf(score[~above]).all() or (score[~above] < floor + 1e-5).all()
+        sure = np.isfinite(top) & (top > floor + 1e-5)
+        assert np.abs(score[sure] - top[sure]).max(initial=0) < 1e-5
+        assert (np.abs(every[sure, place[sure]] - top[sure]) < 2e-5).all()
+        assert (place[sure] <= first[sure]).all() or np.abs(every[sure, place[sure]] - every[sure, first[sure]]).max() < 2e-5
+    assert np.isinf(top[5])
+    if seed < 3:
+        found = made.candidates(template, np.full(len(pictures), 0.9))
+        assert found is not None and 0 < len(found[0]) < every.size / 2
+
+
+def test_banded_frames_read_only_the_bands_of_a_region(spark, tmp_path):
+    from cutplan.sources import bands
+
+    rng = np.random.default_rng(3)
+    rows = [(0, i, w, h, bytes(rng.integers(0, 256, w * h).tolist())) for i, (w, h) in enumerate([(30, 20)] * 5 + [(17, 9), (30, 31), (3, 2)])]
+    rows.append((1, 0, 30, 20, None))
+    frames = spark.createDataFrame(rows, "video_id long, frame_idx long, w int, h int, gray binary")
+    bands.banded(frames, 8, 32).write.parquet(f"{tmp_path}/bands")
+    stored = spark.read.parquet(f"{tmp_path}/bands")
+    assert sorted(map(tuple, bands.whole(stored).collect()), key=str) == sorted(((v, i, w, h, g and bytearray(g)) for v, i, w, h, g in rows), key=str)
+    picture = np.frombuffer(rows[2][4], np.uint8).reshape(20, 30)
+    t = picture[10:15, 4:11].ravel().tolist()
+    ddl = "ctype string, template_id int, roi_x int, roi_y int, roi_w int, roi_h int, tw int, th int, t array<int>, m array<boolean>"
+    templates = spark.createDataFrame([("pause", 0, 2, 9, 20, 7, 7, 5, t, [True] * 35), ("speed_1x", 1, 0, 9, 30, 7, 7, 5, t[::-1], [True] * 35)], ddl)
+    thr = (0.9, 0.2, 0.9, 0.9)
+    got = scoring.classify_templates(stored, templates, thr)
+    assert sorted(map(tuple, got.where("frame_idx <> 7").collect())) == sorted(map(tuple, scoring.classify_templates(frames, templates, thr).where("frame_idx <> 7").collect()))
+    assert {(r.video_id, r.frame_idx) for r in got.where("state = 1").collect()} == {(0, 2)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "gray_8_16" in plan and "gray_24_32" not in plan and "gray_0_8" not in plan
+    with pytest.raises(Exception, match="more than 16 rows"):
+        bands.banded(frames, 8, 16).collect()
