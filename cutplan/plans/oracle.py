@@ -140,6 +140,12 @@ def oracle_sql() -> dict[str, str]:
       SELECT t.video_id, count(p.pause_id) AS n,
         bool_or(t.video_id % 11 IN (3, 5) AND p.pause_id IS NOT NULL) AS changed FROM tot t LEFT JOIN pauses p ON p.video_id = t.video_id GROUP BY t.video_id"""
     usable = "q NOT IN (1, 7, 8, 9) AND NOT (q IN (3, 5, 10) AND n > 0)"
+    context = _sql(
+        f"""SELECT t.video_id, 1 AS version, true AS complete, total AS frame_count, total AS decoded_frame_count,
+          coalesce(string_agg({rec}, ',' ORDER BY start_frame), '') AS records, round(coalesce(sum(boundary_diff), 0), 4) AS diff_sum
+        FROM tot t LEFT JOIN bounds b ON b.video_id = t.video_id GROUP BY t.video_id, total""",
+        upto="bounds",
+    )
     return {
         "state_runs": _sql("SELECT * FROM runs", upto="runs"),
         "state_runs_blocked": _sql("SELECT * FROM runs", upto="runs"),
@@ -362,12 +368,8 @@ def oracle_sql() -> dict[str, str]:
         "validate_context": _sql(
             f"SELECT video_id, {usable} AS usable FROM (SELECT video_id, video_id % 11 AS q, n FROM same)", upto="bounds", extra=f"same AS ({same})"
         ),
-        "build_context": _sql(
-            f"""SELECT t.video_id, 1 AS version, true AS complete, total AS frame_count, total AS decoded_frame_count,
-              coalesce(string_agg({rec}, ',' ORDER BY start_frame), '') AS records, round(coalesce(sum(boundary_diff), 0), 4) AS diff_sum
-            FROM tot t LEFT JOIN bounds b ON b.video_id = t.video_id GROUP BY t.video_id, total""",
-            upto="bounds",
-        ),
+        "build_context": context,
         "reuse_boundaries": _sql("SELECT * FROM bounds", upto="bounds"),
         "stream_boundaries": _sql("SELECT video_id, start_frame, end_frame, before_index, after_index, boundary_diff AS diff FROM bounds", upto="bounds"),
+        "stream_context": context,
     }

@@ -220,11 +220,14 @@ def _perturbed(p: Plan) -> DataFrame:
 
 
 def _context_rows(p: Plan) -> DataFrame:
+    return _flat_context(C.build_context(p.boundaries, p.lengths))
+
+
+def _flat_context(ctx: DataFrame) -> DataFrame:
     rec = F.array_join(
         F.transform("pause_boundary_diffs", lambda r: F.concat_ws(":", r["start"], r["end"], r["before_index"], r["after_index"])), ","
     )
     total = F.aggregate("pause_boundary_diffs", F.lit(0.0), lambda s, r: s + r["diff"])
-    ctx = C.build_context(p.boundaries, p.lengths)
     return ctx.select("video_id", "version", "complete", "frame_count", "decoded_frame_count", rec.alias("records"), F.round(total, 4).alias("diff_sum"))
 
 
@@ -316,6 +319,13 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries_of_table(A.events_frames(spark, sf_dir))
 
 
+def _stream_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutplan.streaming.boundaries import context_of_records
+    from cutplan.streaming.files import records_of_table
+
+    return _flat_context(context_of_records(records_of_table(A.events_frames(spark, sf_dir))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "state_runs": _events(lambda p: p.runs),
@@ -377,6 +387,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "build_context": _events(_context_rows),
         "reuse_boundaries": _events(lambda p: C.reuse_boundaries(_perturbed(p), p.plain_pauses, p.frames, p.lengths)),
         "stream_boundaries": _stream,
+        "stream_context": _stream_context,
     }
 
 

@@ -3,82 +3,199 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cutplan.functions.frames import PAUSE
+from cutplan.operators.context import RECORDS, VERSION
 
-OUT = "video_id long, start_frame long, end_frame long, before_index long, after_index long, diff double"
-STATE = "next_idx long, prev array<double>, open_start long, before array<double>"
+OUT = "kind string, video_id long, start_frame long, end_frame long, before_index long, after_index long, diff double"
+COLUMNS = [f.split(" ")[0] for f in OUT.split(", ")]
+STATE = "next_idx long, prev array<double>, open_start long, before array<double>, ended boolean"
 HELD = "frame_idx long, state int, gray array<double>, is_last boolean"
+HELD_COLUMNS = [f.split(" ")[0] for f in HELD.split(", ")]
 
 
 def _mean_abs(a: np.ndarray | None, b: np.ndarray) -> float | None:
     return float(np.abs(np.subtract(a, b, dtype=np.float64)).mean()) if a is not None and len(a) and len(a) == len(b) else None
 
 
-class BoundaryTracker(StatefulProcessor):
-    """State of a video: the next frame it waits for, the frame before, and an open pause with the frame
-    before that.  Frames that come early are held; a frame below the next one is a repeat and dropped.
-    Once more than `max_held` wait, the frames before the first of them count as lost and it goes on there."""
-
-    def __init__(self, max_held: int):
-        self.max_held = max_held
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", STATE)
-        self.held = handle.getListState("held", HELD)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        names = [f.split(" ")[0] for f in OUT.split(", ")]
-        next_idx, prev, start, before = self.place.get() if self.place.exists() else (0, None, None, None)
-        columns = [f.split(" ")[0] for f in HELD.split(", ")]
-        early = pd.DataFrame(list(self.held.get()), columns=columns) if self.held.exists() else None
-        waiting = pd.concat([x for x in (early, *(part[columns] for part in rows)) if x is not None and len(x)] or [pd.DataFrame(columns=columns)])
+def _plain(gray: np.ndarray | None) -> list[float] | None:
+    return None if gray is None else np.asarray(gray, np.float64).tolist()
+
+
+@dataclass
+class Video:
+    """Where the tracking of a video stands: the next frame it waits for, the frame before, and an open pause with the frame before that."""
+
+    video_id: int
+    next_idx: int = 0
+    prev: np.ndarray | None = None
+    start: int | None = None
+    before: np.ndarray | None = None
+    ended: bool = False
+    out: list[tuple] = field(default_factory=list)
+
+    def _emit(self, kind: str, start: int, end: int, before: int | None = None, after: int | None = None, diff: float | None = None) -> None:
+        self.out.append((kind, self.video_id, start, end, before, after, diff))
+
+    def _close(self, end: int, after: int, gray: np.ndarray | None) -> None:
+        """The open pause ends at `end`; where its difference can't be told, its frames have no record."""
+        diff = None if gray is None else _mean_abs(self.before, gray)
+        self._emit("skipped" if diff is None else "pause", self.start, end, max(0, self.start - 1), after, diff)
+        self.start = self.before = None
+
+    def lose(self, until: int) -> None:
+        """Frames before `until` that haven't come are lost."""
+        if until > self.next_idx:
+            self._emit("lost", self.next_idx, until - 1)
+            self.next_idx = until
+
+    def take(self, rows: pd.DataFrame) -> None:
+        """The next frames in order; pixels are looked at only where a pause opens or closes."""
+        idx, gray = rows["frame_idx"].to_numpy(np.int64), rows["gray"]
+        paused = rows["state"].to_numpy(np.int64) == PAUSE
+        for k in np.flatnonzero(paused != np.concatenate([[self.start is not None], paused[:-1]])).tolist():
+            if paused[k]:
+                self.start = int(idx[k])
+                self.before = gray.iloc[k - 1] if k else (gray.iloc[k] if self.prev is None else self.prev)
+            else:
+                self._close(int(idx[k]) - 1, int(idx[k]), gray.iloc[k])
+        self.prev, self.next_idx = gray.iloc[-1], int(idx[-1]) + 1
+
+    def finish(self) -> None:
+        """No frame follows: an open pause ends with the last one."""
+        if self.start is not None:
+            self._close(self.next_idx - 1, self.next_idx - 1, self.prev)
+        self._emit("end", 0, self.next_idx - 1)
+        self.ended = True
+
+    def advance(self, waiting: pd.DataFrame, max_held: int) -> pd.DataFrame:
+        """Takes what is in order; frames that are missing before more than `max_held` others are lost.  Gives what still waits."""
         waiting = waiting.drop_duplicates("frame_idx").sort_values("frame_idx", ignore_index=True)
-        waiting, out = waiting[waiting["frame_idx"] >= next_idx].reset_index(drop=True), []
-        while len(waiting):
+        waiting = waiting[waiting["frame_idx"] >= self.next_idx].reset_index(drop=True)
+        while len(waiting) and not self.ended:
             idx = waiting["frame_idx"].to_numpy(np.int64)
-            ready = int((idx == next_idx + np.arange(len(idx))).sum())
+            ready = int((idx == self.next_idx + np.arange(len(idx))).sum())
             if not ready:
-                if len(idx) <= self.max_held:
-                    break
-                next_idx = int(idx[0])
+                if len(idx) <= max_held:
+                    return waiting
+                self.lose(int(idx[0]))
                 continue
-            gray, paused = waiting["gray"], waiting["state"].to_numpy(np.int64)[:ready] == PAUSE
-            # pixels are looked at only where a pause opens or closes
-            for k in np.flatnonzero(paused != np.concatenate([[start is not None], paused[:-1]])).tolist():
-                if paused[k]:
-                    start = int(idx[k])
-                    before = gray[k - 1] if k else (gray[k] if prev is None else prev)
-                else:
-                    out.append((int(key[0]), start, int(idx[k]) - 1, max(0, start - 1), int(idx[k]), _mean_abs(before, gray[k])))
-                    start = before = None
-            if bool(waiting["is_last"].iloc[ready - 1]) and start is not None:
-                end = int(idx[ready - 1])
-                out.append((int(key[0]), start, end, max(0, start - 1), end, _mean_abs(before, gray[ready - 1])))
-                start = before = None
-            prev, next_idx = gray[ready - 1], int(idx[ready - 1]) + 1
+            marked = np.flatnonzero(waiting["is_last"].to_numpy(bool)[:ready])
+            ready = int(marked[0]) + 1 if len(marked) else ready
+            self.take(waiting.iloc[:ready])
+            if len(marked):
+                self.finish()
             waiting = waiting.iloc[ready:].reset_index(drop=True)
-        pixels = lambda g: None if g is None else np.asarray(g, np.float64).tolist()
-        self.place.update((next_idx, pixels(prev), start, pixels(before)))
+        for i in waiting["frame_idx"].to_numpy(np.int64).tolist():
+            self._emit("late", i, i)
+        return waiting.iloc[:0]
+
+
+class BoundaryTracker(StatefulProcessor):
+    """State of a video: a `Video`, and frames that came early, which are held.  A frame below the next one is a repeat and
+    dropped.  Once more than `max_held` wait, the frames before the first of them count as lost and it goes on there.
+
+    With `idle_ms` a timer runs for each video, set anew by every frame: when it expires, the video has ended as if its
+    last frame had been marked, frames still missing before held ones are lost, and later frames are late.  An ended
+    video is remembered for `keep_ms`, so that repeats of its frames open nothing; then its state expires."""
+
+    def __init__(self, max_held: int, idle_ms: int | None = None, keep_ms: int | None = None):
+        self.max_held, self.idle_ms, self.keep_ms = max_held, idle_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", STATE, self.keep_ms)
+        self.held = handle.getListState("held", HELD, self.keep_ms)
+
+    def _read(self, key: tuple) -> tuple[Video, pd.DataFrame]:
+        video = Video(int(key[0]), *self.place.get()) if self.place.exists() else Video(int(key[0]))
+        return video, pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=HELD_COLUMNS)
+
+    def _write(self, video: Video, waiting: pd.DataFrame) -> pd.DataFrame:
+        self.place.update((video.next_idx, _plain(video.prev), video.start, _plain(video.before), video.ended))
         if len(waiting):
-            self.held.put([(int(i), int(s), pixels(g), bool(last)) for i, s, g, last in waiting[columns].itertuples(index=False)])
+            self.held.put([(int(i), int(s), _plain(g), bool(last)) for i, s, g, last in waiting[HELD_COLUMNS].itertuples(index=False)])
         elif self.held.exists():
             self.held.clear()
-        yield pd.DataFrame([r for r in out if r[5] is not None], columns=names)
+        return pd.DataFrame(video.out, columns=COLUMNS).astype({"before_index": "Int64", "after_index": "Int64", "diff": "float64"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+        video, early = self._read(key)
+        parts = [x for x in (early, *(part[HELD_COLUMNS] for part in rows)) if len(x)]
+        waiting = video.advance(pd.concat(parts), self.max_held) if parts else early
+        if self.idle_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if not video.ended:
+                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._write(video, waiting)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        video, waiting = self._read(key)
+        if not video.ended:
+            if len(waiting):
+                video.advance(waiting, 0)
+            if not video.ended:
+                video.finish()
+        yield self._write(video, waiting.iloc[:0])
 
     def close(self) -> None:
         pass
 
 
-def track_boundaries(stream: DataFrame, max_held: int = 1000) -> DataFrame:
-    """One record per pause run, when it closes.  stream (video_id, frame_idx, state, gray, is_last).
+def track(stream: DataFrame, max_held: int = 1000, idle_ms: int | None = None, keep_ms: int | None = None) -> DataFrame:
+    """What happens in each video, as (kind, video_id, start_frame, end_frame, before_index, after_index, diff).
+
+    stream (video_id, frame_idx, state, gray, is_last).  `pause`: a pause run, when it closes, with its boundary record;
+    `skipped`: one whose difference can't be told; `lost`: frames that never came; `late`: frames after the end; `end`:
+    all frames of a video.  A video ends with a frame marked is_last, or after `idle_ms` without a frame.
+
+    With timers a query goes on without new frames, so its trigger is a processing time, not all that is available now.
+    Needs the RocksDB state store; state is two frames a video and at most `max_held` that came early.  `keep_ms` (by
+    default ten times `idle_ms`) after its last change a video's state is dropped.
+    """
+    if idle_ms is not None:
+        keep_ms = 10 * idle_ms if keep_ms is None else keep_ms
+        if keep_ms <= idle_ms:
+            raise ValueError("keep_ms must be longer than idle_ms, or videos are forgotten before they end")
+    elif keep_ms is not None:
+        raise ValueError("keep_ms needs idle_ms")
+    rows = stream.selectExpr("video_id", "frame_idx", "state", "CAST(gray AS ARRAY<DOUBLE>) AS gray", "coalesce(is_last, false) AS is_last")
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    return rows.groupBy("video_id").transformWithStateInPandas(BoundaryTracker(max_held, idle_ms, keep_ms), outputStructType=OUT, outputMode="Append", timeMode=mode)
+
+
+def track_boundaries(stream: DataFrame, max_held: int = 1000, idle_ms: int | None = None, keep_ms: int | None = None) -> DataFrame:
+    """One record per pause run, when it closes: (video_id, start_frame, end_frame, before_index, after_index, diff)."""
+    return track(stream, max_held, idle_ms, keep_ms).where("kind = 'pause'").drop("kind")
+
+
+def context_of_records(records: DataFrame) -> DataFrame:
+    """C11 from the stored records of `track`: the context of each video that has ended, as `build_context` gives it.
 
-    Needs the RocksDB state store; state is two frames a video and at most `max_held` that came early.
+    It is complete if the video has frames and none of its frames was lost or late and no pause was skipped.
     """
-    rows = stream.selectExpr("video_id", "frame_idx", "state", "CAST(gray AS ARRAY<DOUBLE>) AS gray", "is_last")
-    return rows.groupBy("video_id").transformWithStateInPandas(BoundaryTracker(max_held), outputStructType=OUT, outputMode="Append", timeMode="None")
+    record = F.struct(F.col("start_frame").alias("start"), F.col("end_frame").alias("end"), "before_index", "after_index", "diff")
+    frames = F.col("end_frame") - F.col("start_frame") + 1
+    lost = F.sum(F.when(F.col("kind") == "lost", frames).otherwise(0))
+    per = records.groupBy("video_id").agg(
+        F.max(F.when(F.col("kind") == "end", frames)).alias("total"),
+        lost.alias("lost"),
+        F.count_if(F.col("kind").isin("lost", "late", "skipped")).alias("missed"),
+        F.sort_array(F.collect_set(F.when(F.col("kind") == "pause", record))).cast(RECORDS).alias("records"),
+    )
+    return per.where("total IS NOT NULL").select(
+        "video_id",
+        F.lit(VERSION).alias("version"),
+        ((F.col("missed") == 0) & (F.col("total") > 0)).alias("complete"),
+        F.col("total").alias("frame_count"),
+        (F.col("total") - F.col("lost")).alias("decoded_frame_count"),
+        F.col("records").alias("pause_boundary_diffs"),
+    )

@@ -4,19 +4,43 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from cutplan.sources.work import work_dir
-from cutplan.streaming.boundaries import track_boundaries
+from cutplan.streaming.boundaries import OUT, track
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SETTING = "spark.sql.streaming.stateStore.providerClass"
 
 
-def boundaries_of_table(frames: DataFrame, batches: int = 3) -> DataFrame:
-    """Writes the frames as `batches` groups of files and streams them, some files a micro-batch."""
+def stateful(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep their state in RocksDB; the given one stays as it is."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set(SETTING, ROCKSDB)
+    return own
+
+
+def start(spark: SparkSession, frames: str, schema: str, folder: str, trigger: dict, max_files: int | None = None, **limits: int) -> StreamingQuery:
+    """Starts `track` over the files of a folder of frames; records go to `folder`/records, and a later start goes on from its checkpoint."""
+    reader = stateful(spark).readStream.schema(schema)
+    stream = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(frames)
+    return (
+        track(stream, **limits)
+        .writeStream.queryName(f"boundaries_{uuid.uuid4().hex}")
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(**trigger)
+        .format("parquet")
+        .option("path", f"{folder}/records")
+        .start()
+    )
+
+
+def records_of_table(frames: DataFrame, batches: int = 3, **limits: int) -> DataFrame:
+    """Writes the frames as `batches` groups of files and streams them, some files a micro-batch; the records of `track`."""
     spark = frames.sparkSession
     folder = work_dir(spark, "boundaries")
     last = F.max("frame_idx").over(W.partitionBy("video_id")) == F.col("frame_idx")
@@ -24,21 +48,11 @@ def boundaries_of_table(frames: DataFrame, batches: int = 3) -> DataFrame:
     for k in range(batches):
         rows.where(F.pmod(F.floor(F.col("frame_idx") / 10), F.lit(batches)) == k).write.mode("append").parquet(f"{folder}/frames")
     stored = spark.read.parquet(f"{folder}/frames")
-    before = spark.conf.get(SETTING)
-    spark.conf.set(SETTING, ROCKSDB)
-    try:
-        files = max(1, len(stored.inputFiles()) // batches)
-        stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/frames")
-        query = (
-            track_boundaries(stream)
-            .writeStream.queryName(f"boundaries_{uuid.uuid4().hex}")
-            .option("checkpointLocation", f"{folder}/state")
-            .trigger(availableNow=True)
-            .format("parquet")
-            .option("path", f"{folder}/records")
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        spark.conf.set(SETTING, before)
-    return spark.read.parquet(f"{folder}/records")
+    files = max(1, len(stored.inputFiles()) // batches)
+    start(spark, f"{folder}/frames", stored.schema, folder, {"availableNow": True}, files, **limits).awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{folder}/records")
+
+
+def boundaries_of_table(frames: DataFrame, batches: int = 3) -> DataFrame:
+    """The records of pauses that a stream over the frames gives."""
+    return records_of_table(frames, batches).where("kind = 'pause'").drop("kind")

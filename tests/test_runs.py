@@ -206,7 +206,7 @@ def test_lost_frames_end_in_the_stream(spark):
 
     def feed(*rows):
         part = pd.DataFrame([(i, s, np.array([float(g)]), last) for i, s, g, last in rows], columns=["frame_idx", "state", "gray", "is_last"])
-        return [tuple(r) for out in tracker.handleInputRows((7,), iter([part]), None) for r in out.itertuples(index=False)]
+        return [tuple(r[1:]) for out in tracker.handleInputRows((7,), iter([part]), None) for r in out.itertuples(index=False) if r.kind == "pause"]
 
     assert feed((0, 0, 1, False), (1, 1, 2, False)) == []
     assert feed((3, 1, 4, False), (4, 0, 9, False)) == [] and len(tracker.held.x) == 2
