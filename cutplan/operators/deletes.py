@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cutplan.functions.frames import SPEED_02X, SPEED_1X, value
 from cutplan.operators.lookup import assigned
+from cutplan.operators.segments import BLOCK, islands
 
 
 def pause_deletes(frames: DataFrame, pauses: DataFrame, mask: DataFrame) -> DataFrame:
@@ -30,14 +30,17 @@ def clip_deletes(frames: DataFrame, clips: DataFrame) -> DataFrame:
     return cut.select("video_id", "frame_idx")
 
 
-def speedup_deletes(rows: DataFrame, state: int, factor: Column, enabled: Column, deleted: str = "deleted") -> DataFrame:
+def speedup_deletes(rows: DataFrame, state: int, factor: Column, enabled: Column, deleted: str = "deleted", block: int = BLOCK) -> DataFrame:
     """`deleted` also holds for all but the 1st of every `factor` frames in a run of frames of `state`
-    that aren't deleted yet.  A factor below 2 takes none."""
-    ranked = W.partitionBy("video_id", "state", deleted).orderBy("frame_idx")
-    grouped = rows.withColumn("_g", F.col("frame_idx") - F.row_number().over(ranked))
-    counted = grouped.withColumn("_c", F.row_number().over(W.partitionBy("video_id", "state", deleted, "_g").orderBy("frame_idx")))
-    taken = enabled & (F.col("state") == state) & ~F.col(deleted) & (factor > 1) & (F.col("_c") % F.greatest(factor, F.lit(1)) != 1)
-    return counted.withColumn(deleted, F.col(deleted) | taken).drop("_g", "_c")
+    that aren't deleted yet.  A factor below 2 takes none.
+
+    A frame's place in its run is its distance from the run's first frame, and runs are put together from their
+    parts in blocks of frames, so no task has more than a block of a video.
+    """
+    placed = islands(rows, ["video_id"], "frame_idx", ["state", deleted], "_from", "_until", block)
+    place = F.col("frame_idx") - F.col("_from")
+    taken = enabled & (F.col("state") == state) & ~F.col(deleted) & (factor > 1) & (place % F.greatest(factor, F.lit(1)) != 0)
+    return placed.withColumn(deleted, F.col(deleted) | taken).drop("_from", "_until")
 
 
 def base_deletes(frames: DataFrame, pauses: DataFrame, mask: DataFrame, clips: DataFrame) -> DataFrame:

@@ -7,19 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cutplan.functions.frames import SPEED_02X, SPEED_1X, speed_label
+from cutplan.operators.segments import BLOCK
 
 
-def assigned(points: DataFrame, segs: DataFrame, info: Column) -> DataFrame:
+def assigned(points: DataFrame, segs: DataFrame, info: Column, block: int = BLOCK) -> DataFrame:
     """(video_id, frame_idx, info) of each point, `info` of the segment that it is in, or null.
 
-    segs have start_frame and end_frame and don't overlap.  One sort of points and segments by video finds
-    the last segment that starts at or before each point, so the work is linear in both.
+    segs have start_frame and end_frame and don't overlap.  Segments are dealt to the blocks of frames that they
+    meet, cut at their edges, so there are at most as many pieces as segments and blocks together; one sort of
+    points and pieces within each block finds the last piece that starts at or before a point.  Points are read once, and
+    no task has more than a block of a video.
     """
-    held = segs.select("video_id", F.col("start_frame").alias("frame_idx"), F.struct("end_frame", info.alias("info")).alias("_seg"), F.lit(0).alias("_kind"))
-    asked = points.select("video_id", "frame_idx").withColumns({"_seg": F.lit(None).cast(held.schema["_seg"].dataType), "_kind": F.lit(1)})
-    along = W.partitionBy("video_id").orderBy("frame_idx", "_kind")
-    met = held.unionByName(asked).withColumn("_seg", F.last("_seg", ignorenulls=True).over(along)).where("_kind = 1")
-    return met.select("video_id", "frame_idx", F.when(F.col("_seg.end_frame") >= F.col("frame_idx"), F.col("_seg.info")).alias("info"))
+    met = F.explode(F.sequence(F.floor(F.col("start_frame") / block), F.floor(F.col("end_frame") / block)))
+    cut = segs.where("start_frame <= end_frame").select("video_id", "start_frame", F.struct("end_frame", info.alias("info")).alias("_seg"), met.alias("_block"))
+    held = cut.select("video_id", "_block", F.greatest("start_frame", F.col("_block") * block).alias("frame_idx"), "_seg", F.lit(0).alias("_kind"))
+    asked = points.select(
+        "video_id", F.floor(F.col("frame_idx") / block).alias("_block"), "frame_idx", F.lit(None).cast(held.schema["_seg"].dataType).alias("_seg"), F.lit(1).alias("_kind")
+    )
+    along = W.partitionBy("video_id", "_block").orderBy("frame_idx", "_kind")
+    found = held.unionByName(asked).withColumn("_seg", F.last("_seg", ignorenulls=True).over(along)).where("_kind = 1")
+    return found.select("video_id", "frame_idx", F.when(F.col("_seg.end_frame") >= F.col("frame_idx"), F.col("_seg.info")).alias("info"))
 
 
 def frame_info(points: DataFrame, pauses: DataFrame, speeds: DataFrame) -> DataFrame:

@@ -372,4 +372,5 @@ def oracle_sql() -> dict[str, str]:
         "reuse_boundaries": _sql("SELECT * FROM bounds", upto="bounds"),
         "stream_boundaries": _sql("SELECT video_id, start_frame, end_frame, before_index, after_index, boundary_diff AS diff FROM bounds", upto="bounds"),
         "stream_context": context,
+        "number_frames": "SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, event_id FROM events",
     }

@@ -313,6 +313,11 @@ def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.deletes_from_list(frames, listed).select("video_id", "frame_idx", "deleted")
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id")
+    return A.number_long_frames(events, "user_id", ["ts", "event_id"]).select("video_id", "frame_idx", "event_id")
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cutplan.streaming.files import boundaries_of_table
 
@@ -366,6 +371,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clock_label": _events(lambda p: p.frames.select("video_id", "frame_idx", clock_label(F.col("frame_idx") * 997, F.lit(FPS)).alias("clock"))),
         "timeline_bins": _events(lambda p: L.timeline_bins(p.deleted, p.lengths, 40, 2.0, 0.25)),
         "audit_frames": _events(_audit),
+        "number_frames": _numbered,
         "resolve_params": _events(lambda p: resolve_params(raw_params(p.frames))),
         "template_geometry": _events(_geometry),
         "proc_height": _events(_proc_height),

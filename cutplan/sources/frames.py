@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cutplan.functions.frames import mean_abs_diff, proc_height
+from cutplan.operators.prefix import numbered
+from cutplan.operators.segments import BLOCK
 
 FRAMES = T.StructType(
     [
@@ -26,11 +28,16 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_frames(rows: DataFrame, video: str, order: list[str]) -> DataFrame:
-    """A1 where there is no frame number: `video_id` and 0-based `frame_idx` in the given order."""
+    """A1 where there is no frame number: `video_id` and 0-based `frame_idx` in the given order.  One task has a whole video."""
     w = W.partitionBy(video).orderBy(*order)
     return rows.withColumn("video_id", F.col(video)).withColumn("frame_idx", F.row_number().over(w).cast("long") - 1)
 
 
+def number_long_frames(rows: DataFrame, video: str, order: list[str], block: int = BLOCK) -> DataFrame:
+    """The same for videos of any length: a prefix scan over range partitions of about `block` rows, which are written once."""
+    return numbered(rows.withColumn("video_id", F.col(video)), ["video_id"], order, "frame_idx", block)
+
+
 def audit_frames(frames: DataFrame, manifest: DataFrame) -> DataFrame:
     """A2: declared and decoded counts, frames with a bad payload, holes and repeats of frame_idx, a status.
 
