@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cutplan.functions.frames import value
+from cutplan.operators.lookup import assigned
+from cutplan.operators.segments import BLOCK, islands
 
-def apply_mode_batch(pauses: DataFrame, mode: str, boundary_thresh: float) -> DataFrame:
-    """One mode for all pauses.  `auto` checks the boundary again, an unknown one counting as 0;
+
+def apply_mode_batch(pauses: DataFrame, mode: str | Column, boundary_thresh: float | Column) -> DataFrame:
+    """One mode for all pauses, or one by video; mode and threshold are values or columns of the pauses.  `auto` checks the boundary again, an unknown one counting as 0;
     masks are then the computed ones, so edits of masks are lost: see `apply_edits`."""
-    if mode != "auto":
-        return pauses.withColumn("mode", F.lit(mode))
-    near = F.coalesce("boundary_diff", F.lit(0.0)) < F.lit(float(boundary_thresh))
-    return pauses.withColumn("mode", F.when(near, "all").otherwise("auto"))
+    wanted = value(mode, "string")
+    near = F.coalesce("boundary_diff", F.lit(0.0)) < value(boundary_thresh, "double")
+    return pauses.withColumn("mode", F.when((wanted == "auto") & near, "all").otherwise(wanted))
 
 
 def apply_mode_edits(pauses: DataFrame, edits: DataFrame) -> DataFrame:
@@ -23,36 +26,50 @@ def apply_mode_edits(pauses: DataFrame, edits: DataFrame) -> DataFrame:
     return pauses.join(last, ["video_id", "pause_id"], "left").withColumn("mode", F.coalesce("_edited", "mode")).drop("_edited")
 
 
-def toggled(m: Column, k: Column) -> Column:
-    """A mask array with the block of equal values around position k flipped: 0 and 3 to 2, 1 and 2 to 3."""
-    value = F.get(m, k)
-    differs = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda j: F.get(m, j) != value)
-    low = F.coalesce(F.array_max(F.filter(differs, lambda j: j < k)), F.lit(-1))
-    high = F.coalesce(F.array_min(F.filter(differs, lambda j: j > k)), F.size(m))
-    flipped = F.when(value.isin(0, 3), 2).otherwise(3).cast("tinyint")
-    inside = lambda x, j: F.when((j > low) & (j < high), flipped).otherwise(x)
-    return F.when(value.isNull(), m).otherwise(F.transform(m, inside))
+def mask_runs(mask: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(video_id, pause_id, runs): masks (video_id, pause_id, k, m) as sorted runs of equal values, array<struct<a, b, m>>."""
+    key = ["video_id", "pause_id"]
+    found = islands(mask.select(*key, "k", "m"), key, "k", ["m"], "a", "b", block).select(*key, "a", "b", "m").distinct()
+    run = F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("m").cast("tinyint").alias("m"))
+    return found.groupBy(*key).agg(F.sort_array(F.collect_list(run)).alias("runs"))
+
+
+def toggled(runs: Column, k: Column) -> Column:
+    """Runs with the one that holds place k flipped, 0 and 3 to 2, 1 and 2 to 3, and one with neighbours that are equal then."""
+
+    def put(hit: Column) -> Column:
+        flipped = F.when(hit["m"].isin(0, 3), 2).otherwise(3).cast("tinyint")
+        beside = F.filter(runs, lambda r: (r["m"] == flipped) & ((r["b"] == hit["a"] - 1) | (r["a"] == hit["b"] + 1)))
+        joined = F.aggregate(
+            beside,
+            F.struct(hit["a"].alias("a"), hit["b"].alias("b"), flipped.alias("m")),
+            lambda x, r: F.struct(F.least(x["a"], r["a"]).alias("a"), F.greatest(x["b"], r["b"]).alias("b"), x["m"].alias("m")),
+        )
+        return F.transform(F.array(joined), lambda x: F.concat(F.filter(runs, lambda r: r["b"] < x["a"]), F.array(x), F.filter(runs, lambda r: r["a"] > x["b"])))[0]
+
+    # a transform of the one run that is hit, so that it's looked for once
+    made = F.transform(F.filter(runs, lambda r: r["m"].isNotNull() & (r["a"] <= k) & (r["b"] >= k)), put)
+    return F.coalesce(F.get(made, F.lit(0)), runs)
 
 
 def apply_mask_edits(mask: DataFrame, pauses: DataFrame, edits: DataFrame) -> DataFrame:
     """D3: masks after all toggles, in order of `seq`; only pauses of mode `auto` take them.
 
     mask (video_id, pause_id, k, m), pauses with start_frame, end_frame and mode, edits (video_id,
-    frame_idx, seq).  A pause's mask is one array, as long as the pause.
+    frame_idx, seq).  A pause's mask is its runs of equal values; an edit flips one and joins it to its neighbours, so its cost
+    goes by runs, and frames come from runs last.  Edits find their pause by blocks of frames.
     """
-    arrays = mask.groupBy("video_id", "pause_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("m")
-    )
-    e = edits.select(F.col("video_id").alias("_v"), F.col("frame_idx").alias("f"), "seq")
     p = pauses.where("mode = 'auto'").select("video_id", "pause_id", "start_frame", "end_frame")
-    placed = e.join(p, (F.col("_v") == F.col("video_id")) & F.col("f").between(F.col("start_frame"), F.col("end_frame"))).select(
-        "video_id", "pause_id", F.struct("seq", (F.col("f") - F.col("start_frame")).cast("int").alias("k")).alias("edit")
-    )
-    lists = placed.groupBy("video_id", "pause_id").agg(F.sort_array(F.collect_list("edit")).alias("edits"))
-    done = arrays.join(lists, ["video_id", "pause_id"], "left").withColumn(
-        "m", F.when(F.col("edits").isNull(), F.col("m")).otherwise(F.aggregate("edits", F.col("m"), lambda m, x: toggled(m, x["k"])))
+    numbered = edits.groupBy("video_id", "frame_idx").agg(F.collect_list("seq").alias("seqs"))
+    met = assigned(numbered, p, F.struct("pause_id", "start_frame")).where("info IS NOT NULL").select("video_id", "frame_idx", "info.*")
+    edit = F.struct("seq", (F.col("frame_idx") - F.col("start_frame")).alias("k"))
+    placed = met.join(numbered, ["video_id", "frame_idx"]).withColumn("seq", F.explode("seqs"))
+    lists = placed.groupBy("video_id", "pause_id").agg(F.sort_array(F.collect_list(edit)).alias("edits"))
+    done = mask_runs(mask).join(lists, ["video_id", "pause_id"], "left").withColumn(
+        "runs", F.when(F.col("edits").isNull(), F.col("runs")).otherwise(F.aggregate("edits", F.col("runs"), lambda m, x: toggled(m, x["k"])))
     )
-    return done.select("video_id", "pause_id", F.posexplode("m").alias("k", "m"))
+    each = done.select("video_id", "pause_id", F.explode("runs").alias("r"))
+    return each.select("video_id", "pause_id", F.explode(F.sequence(F.col("r.a").cast("int"), F.col("r.b").cast("int"))).alias("k"), F.col("r.m").alias("m"))
 
 
 def apply_trim_edits(clips: DataFrame, edits: DataFrame) -> DataFrame:

@@ -340,6 +340,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "template_mask": _sql("SELECT vec_id, CAST(len(list_filter(g, lambda x: x * 100 > 10)) AS INT) AS n_on FROM emb", upto="emb"),
         "mode_batch": _sql("SELECT *, CASE WHEN coalesce(boundary_diff, 0) < 300 THEN 'all' ELSE 'auto' END AS mode FROM bounds", upto="bounds"),
+        "mode_batch_params": _sql("SELECT *, CASE WHEN coalesce(boundary_diff, 0) < video_id % 7 * 100 THEN 'all' ELSE 'auto' END AS mode FROM bounds", upto="bounds"),
         "mode_edits": _sql(
             """SELECT video_id, pause_id, start_frame, end_frame, before_index, after_index, boundary_diff,
               CASE WHEN (video_id + pause_id) % 3 = 0 THEN CASE video_id % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'all' ELSE 'auto' END ELSE mode END AS mode FROM modes""",

@@ -21,6 +21,7 @@ from cutplan.plans import fused
 from cutplan.plans import runs as R
 from cutplan.sources import frames as A
 from cutplan.sources.params import resolve_params
+from cutplan.sources.work import stored
 
 FPS, STILL, MOTION, BOUNDARY, FACTOR = 30.0, 3, 100.0, 20.0, 3
 THRESHOLDS = (0.4, 0.4, 0.4, 0.4)
@@ -73,7 +74,8 @@ class Plan:
 
     @cached_property
     def placed(self) -> DataFrame:
-        return R.placed_runs(R.frame_runs(self.frames, MOTION))
+        """Runs with their pause or clip, written once: what follows is derived from them, not from frames again."""
+        return stored(R.placed_runs(R.frame_runs(self.frames, MOTION)), "placed")
 
     @cached_property
     def run_clips(self) -> DataFrame:
@@ -149,7 +151,7 @@ def video_params(frames: DataFrame) -> DataFrame:
 
 def _delete_mask_params(p: Plan) -> DataFrame:
     params = video_params(p.frames)
-    placed = R.placed_runs(R.frame_runs(p.frames.join(params.select("video_id", "motion_thresh"), "video_id"), F.col("motion_thresh")))
+    placed = stored(R.placed_runs(R.frame_runs(p.frames.join(params.select("video_id", "motion_thresh"), "video_id"), F.col("motion_thresh"))), "placed")
     clips = R.clips(placed)
     own = [F.col(c) for c in ("still_frames", "boundary_thresh", "factor_02", "speedup_1x", "speedup_02")]
     return R.delete_mask(R.decided(placed.join(params, "video_id"), E.apply_trim_edits(clips, trim_edits(clips)), *own))
@@ -385,6 +387,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "locate_templates": _embedding(lambda f, t: B.locate_templates(_sources(f, t), t).withColumn("score", F.round("score", 4))),
         "template_mask": _embedding(lambda f, t: f.select("vec_id", F.aggregate(B.template_mask(F.transform("gray", lambda x: x * 100)), F.lit(0), lambda n, x: n + x.cast("int")).alias("n_on"))),
         "mode_batch": _events(lambda p: E.apply_mode_batch(p.boundaries, "auto", 300.0)),
+        "mode_batch_params": _events(lambda p: E.apply_mode_batch(p.boundaries, "auto", F.col("video_id") % 7 * 100)),
         "mode_edits": _events(lambda p: E.apply_mode_edits(p.pauses, mode_edits(p.pauses))),
         "mask_edits": _events(lambda p: _mask_edits(p)),
         "mode_mask_edits": _events(_mode_mask_edits),

@@ -70,3 +70,56 @@ def test_numbers_do_not_depend_on_the_partitions(spark):
     one = sorted(map(tuple, sources.number_frames(rows, "v", ["t"]).select("v", "t", "i", "frame_idx").collect()))
     for block in (5, 40, 1000):
         assert sorted(map(tuple, sources.number_long_frames(rows.repartition(5), "v", ["t"], block).select("v", "t", "i", "frame_idx").collect())) == one
+
+
+def test_toggles_on_runs_equal_toggles_on_frames(spark):
+    from cutplan.operators import edits
+
+    rng = random.Random(3)
+    masks, given, want = [], [], []
+    for pause in range(12):
+        m = [rng.choice([0, 0, 0, 1, 2, 3]) for _ in range(rng.randrange(1, 40))] if pause else [0] * 50
+        start = 100 * pause
+        masks += [(1, pause, k, v) for k, v in enumerate(m)]
+        for seq in range(rng.randrange(12)):
+            f = start + rng.randrange(-3, len(m) + 3)
+            given.append((1, f, seq))
+            k = f - start
+            if 0 <= k < len(m):
+                old, new = m[k], 2 if m[k] in (0, 3) else 3
+                lo = hi = k
+                while lo and m[lo - 1] == old:
+                    lo -= 1
+                while hi + 1 < len(m) and m[hi + 1] == old:
+                    hi += 1
+                m[lo : hi + 1] = [new] * (hi + 1 - lo)
+        want += [(1, pause, k, v) for k, v in enumerate(m)]
+    pauses = [(1, p, 100 * p, 100 * p + sum(x[1] == p for x in masks) - 1, "auto") for p in range(12)]
+    mask = spark.createDataFrame(masks, "video_id long, pause_id int, k int, m tinyint")
+    frame = spark.createDataFrame(pauses, "video_id long, pause_id int, start_frame long, end_frame long, mode string")
+    edit = spark.createDataFrame(given, "video_id long, frame_idx long, seq int")
+    got = edits.apply_mask_edits(mask, frame, edit)
+    assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, edits.apply_mask_edits(mask, frame.withColumn("mode", F.lit("all")), edit).collect())) == sorted(masks)
+
+
+def test_a_pause_of_a_million_frames_with_a_thousand_edits(spark):
+    from cutplan.operators import edits
+
+    n = 1_000_000
+    mask = spark.range(0, n, 1, 8).select(F.lit(1).alias("video_id"), F.lit(0).alias("pause_id"), F.col("id").cast("int").alias("k"), (F.col("id") / 1000).cast("int").alias("m"))
+    mask = mask.withColumn("m", (F.col("m") % 2).cast("tinyint"))
+    frame = spark.createDataFrame([(1, 0, 0, n - 1, "auto")], "video_id int, pause_id int, start_frame long, end_frame long, mode string")
+    edit = spark.range(1000).select(F.lit(1).alias("video_id"), (F.col("id") * 1000 + 5).alias("frame_idx"), F.col("id").cast("int").alias("seq"))
+    got = edits.apply_mask_edits(mask, frame, edit)
+    # blocks of 0 become 2, those of 1 become 3; the first toggle of each block doesn't touch its neighbours
+    assert {(r.m, r["count"]) for r in got.groupBy("m").count().collect()} == {(2, n // 2), (3, n // 2)}
+
+
+def test_cut_plans_read_frames_once(spark):
+    import __spark_entry__ as entry
+
+    for name in ("cut_list", "delete_mask", "segments", "next_kept", "skip_ranges", "edit_summary"):
+        text = plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+        assert "events.parquet" not in text and "/placed-" in text, name
+        assert text.count("Exchange hashpartitioning") <= 5, (name, text.count("Exchange hashpartitioning"))
