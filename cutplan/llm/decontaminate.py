@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cutplan.llm import kernels as K
-from cutplan.llm.shared import saved, with_column, work_dir
+from cutplan.llm.shared import saved, spare, with_column, work_dir
 
 
 class Automaton:
@@ -315,11 +315,13 @@ def remove_spans(
 
     start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("word"), F.lit(0).alias("n"), F.encode(F.lit(""), "utf-8").alias("t"))
     cut = F.aggregate(long, start, step)
-    rest = F.decode(F.concat(F.col("_cut")["t"], F.substring(body, F.col("_cut")["at"] + 1, F.lit(2**31 - 1))), "utf-8")
+    name = spare(docs.columns, "_cut")
+    made = F.col(name)
+    rest = F.decode(F.concat(made["t"], F.substring(body, made["at"] + 1, F.lit(2**31 - 1))), "utf-8")
     hit, n_words = F.col(out)["n_hit"], F.col(out)["n_words"]
     only_items = (hit == n_words) & (hit > drop_share * n_words)
-    keep = docs.withColumn("_cut", cut).where(F.coalesce((F.col("_cut")["n"] <= drop_share * n_words) & ~only_items, F.lit(True)))
-    return keep.withColumn(text, F.when(F.col("_cut")["n"] > 0, rest).otherwise(F.col(text))).drop("_cut")
+    keep = docs.withColumn(name, cut).where(F.coalesce((made["n"] <= drop_share * n_words) & ~only_items, F.lit(True)))
+    return keep.withColumn(text, F.when(made["n"] > 0, rest).otherwise(F.col(text))).drop(name)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutplan.llm import kernels as K
-from cutplan.llm.shared import saved, work_dir
+from cutplan.llm.shared import saved, spare, work_dir
 
 U32 = np.uint32
 #: Shingles that the members of one block of a bucket may have together.
@@ -450,8 +450,9 @@ def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keys = saved(keys, f"{work_dir(docs.sparkSession, 'near-dedup')}/keys")
 
     def met(given: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("_doc_id"), F.col("text_id").alias("_text_id"))
-        same = F.col(doc_id).cast("long").eqNullSafe(F.col("_doc_id")) & text_key(text).eqNullSafe(F.col("_text_id"))
+        d, t = spare(names, "_doc_id"), spare(names, "_text_id")
+        keys = keys.select(F.col("doc_id").alias(d), F.col("text_id").alias(t))
+        same = F.col(doc_id).cast("long").eqNullSafe(F.col(d)) & text_key(text).eqNullSafe(F.col(t))
         return given.join(keys, same, how)
 
     repeated = met(docs, keys.where("kept"), "left_semi").select(F.col(doc_id).cast("long").alias("d"), text_key(text).alias("t"), F.struct(*names).alias("row"))

@@ -48,6 +48,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def spare(taken: list[str], stem: str) -> str:
+    """A column name that isn't taken, whatever the case of letters."""
+    used = {t.lower() for t in taken}
+    return next(n for k in range(len(taken) + 1) if (n := f"{stem}{k or ''}").lower() not in used)
+
+
 def once(value: Column) -> Column:
     """The value made once a row: a generator is a barrier that projections aren't merged across, so a
     lambda that uses the column doesn't make it anew for every element."""

@@ -103,3 +103,12 @@ def test_blocks_of_items_clashing_names_and_repeated_rows(spark):
     key = lambda r: (r.doc_id, r._hit_0, r.row, r.contamination.n_words, r.contamination.n_hit, r["contamination"]["items"], str(r.contamination.spans))
     assert sorted(map(key, whole.collect())) == sorted(map(key, cut.collect()))
     assert whole.columns == cut.columns and cut.where("doc_id = 1").first().contamination.n_hit == 30
+
+
+def test_spans_are_cut_beside_columns_of_any_name(spark):
+    passage = " ".join(f"b{k}" for k in range(14))
+    docs = spark.createDataFrame([(1, f"{'clean words here ' * 12}{passage} and an end", "x", "y")], "doc_id long, text string, _cut string, _cut1 string")
+    bench = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    got = D.remove_spans(D.contamination(docs, bench))
+    row = got.first()
+    assert (row["_cut"], row["_cut1"]) == ("x", "y") and "b3" not in row.text and row.text.endswith("and an end")

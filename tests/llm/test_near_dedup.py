@@ -88,3 +88,13 @@ def test_null_ids_in_unsettled_buckets(spark):
 
 def test_empty_table(spark):
     assert N.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_kept_documents_with_clashing_columns_ties_and_a_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    docs = [(1, long), (2, long + " end"), (3, "one two three four five six"), (3, "one two three four five six"), (4, None)]
+    names = ["_doc_id", "_text_id", "text_id", "kept", "n", "d", "t", "row"]
+    frame = spark.createDataFrame([(*r, *["x"] * len(names)) for r in docs], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = N.kept_documents(frame)
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id, r["_doc_id"], r.row) for r in got.collect()) == [(1, "x", "x"), (3, "x", "x"), (4, "x", "x")]
