@@ -33,19 +33,27 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, folder: str) -> DataFrame:
-    """Write `df` once and go on from the files: lineage ends here."""
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+#: Spark's own setting: a query's shuffle files are deleted from all executors as soon as it ends.
+CLEAR = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of jobs that are done, once their result is a table.
+def saved(df: DataFrame, folder: str, clear: bool = False) -> DataFrame:
+    """Write `df` once and go on from the files: lineage ends here.
 
-    Spark's cleaner deletes them when the driver's heap is collected; a driver with little to do puts that
-    off for up to half an hour, and all that time the executors' disks hold every earlier shuffle.
+    With `clear` the shuffle files of the write go when it ends; else they stay on the executors' disks until
+    the driver's heap happens to be collected.  The setting is the session's and is put back, also after an
+    error; a query that runs beside the write at worst makes its own shuffles anew.
     """
-    spark.sparkContext._jvm.System.gc()
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAR, "false")
+    try:
+        if clear:
+            conf.set(CLEAR, "true")
+        df.write.parquet(folder)
+    finally:
+        if clear:
+            conf.set(CLEAR, before)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def spare(taken: list[str], stem: str) -> str:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutplan.llm import kernels as K
-from cutplan.llm.shared import release, saved, work_dir
+from cutplan.llm.shared import saved, work_dir
 
 WIDE = K.U(2**64 - 1)
 POSITION = K.U(0xFFFFFF)
@@ -316,12 +316,12 @@ PIECE_COLUMNS = ["d", "tag", "n", "start", "m", "anchor", "hot", "wide", "core",
 
 def split(hot: DataFrame, length: int, gram: int, max_contexts: int, shard_bytes: int, folder: str) -> tuple[DataFrame, DataFrame]:
     """One round of splitting: spans of parts that occur more than once, and the pieces that are left to decide."""
-    made = saved(parts(hot, length, gram), f"{folder}-parts")
+    made = saved(parts(hot, length, gram), f"{folder}-parts", clear=True)
     once = F.struct("d", "tag", "start")
     same = [F.first(c).alias(c) for c in ("m", "core", "width", "body")]
-    alike = saved(made.groupBy("anchor", "h1", "h2").agg(F.sum("n").alias("n"), F.min(once).alias("at"), *same), f"{folder}-distinct")
+    alike = saved(made.groupBy("anchor", "h1", "h2").agg(F.sum("n").alias("n"), F.min(once).alias("at"), *same), f"{folder}-distinct", clear=True)
     left = alike.join(undecided(alike, F.octet_length("body"), max_contexts, shard_bytes), "anchor")
-    left = saved(left.select("at.*", *[c for c in PIECE_COLUMNS if c not in ("d", "tag", "start")]).select(*PIECE_COLUMNS), f"{folder}-left")
+    left = saved(left.select("at.*", *[c for c in PIECE_COLUMNS if c not in ("d", "tag", "start")]).select(*PIECE_COLUMNS), f"{folder}-left", clear=True)
     return whole_spans(made.where("n = 1"), alike, length), left
 
 
@@ -370,18 +370,17 @@ def remove_repeats(
         F.hash(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("tag"),
         F.col(text).cast("string").alias("text"),
     )
-    every = saved(scan(rows.select("d", "tag", "text"), length, gram), f"{folder}/contexts")
+    every = saved(scan(rows.select("d", "tag", "text"), length, gram), f"{folder}/contexts", clear=True)
     distinct = saved(
         every.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "tag", "start", "m")).alias("at")),
         f"{folder}/distinct",
+        clear=True,
     )
-    release(docs.sparkSession)
     shared = undecided(distinct, F.col("at.m") + length, max_contexts, shard_bytes)
     wanted = distinct.join(shared, "anchor").select("at.d", "at.tag", "at.start", "at.m", "n", "anchor", "hot", "wide")
     cut = bodies(rows.select("d", "tag", "text"), wanted, length)
     cut = cut.withColumns({c: F.lit(None).cast("int") for c in ("core", "width")}).select(*PIECE_COLUMNS)
-    cut = saved(cut, f"{folder}/bodies")
-    release(docs.sparkSession)
+    cut = saved(cut, f"{folder}/bodies", clear=True)
     spans, ready, size = whole_spans(every, distinct, length), cut.where("NOT hot"), F.octet_length("body")
     for k in range(length.bit_length()):
         if cut.where("hot").isEmpty():
@@ -391,8 +390,7 @@ def remove_repeats(
     total, narrow = ready.agg(F.sum(size), F.sum(F.when(~F.col("wide"), size))).first()
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // (8 * shard_bytes)))
     spans = spans.union(shard_spans(ready, length, max(1, -(-(narrow or 0) // shard_bytes)), tasks))
-    lists = saved(spans.groupBy("d", "tag").agg(F.collect_list(F.struct("first", "past")).alias("spans")), f"{folder}/spans")
-    release(docs.sparkSession)
+    lists = saved(spans.groupBy("d", "tag").agg(F.collect_list(F.struct("first", "past")).alias("spans")), f"{folder}/spans", clear=True)
     joined = rows.join(lists, ["d", "tag"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
