@@ -50,15 +50,25 @@ def effective_speed(state: Column, speedup_1x: Column, speedup_02: Column, facto
     return label, F.when(fast, 2).when(slow, F.greatest(F.lit(2), factor_02)).otherwise(1).cast("int")
 
 
-def timeline_bins(frames: DataFrame, lengths: DataFrame, width: int, zoom: float = 1.0, scroll: float = 0.0) -> DataFrame:
-    """Per visible bin its frames, deleted frames and most frequent state (the smallest of equals).
+def bin_number(frame: Column, total: Column, width: int, zoom: float, scroll: float) -> Column:
+    """The bin of a frame in a viewport of `width` bins; outside of it, a number below 0 or from `width` on."""
+    share = frame.cast("double") / total.cast("double")
+    return F.floor((share - F.lit(float(scroll))) * F.lit(float(zoom)) * F.lit(float(width))).cast("long")
 
-    Counts by state come first, so a bin's rows are at most one a state.
-    """
-    share = F.col("frame_idx").cast("double") / F.col("total").cast("double")
-    bin_no = F.floor((share - F.lit(float(scroll))) * F.lit(float(zoom)) * F.lit(float(width)))
-    seen = frames.join(lengths, "video_id").withColumn("bin", bin_no.cast("long")).where(F.col("bin").between(0, width - 1))
-    by_state = seen.groupBy("video_id", "bin", "state").agg(F.count(F.lit(1)).alias("n"), F.count_if("deleted").alias("d"))
+
+def shown_bins(counts: DataFrame) -> DataFrame:
+    """(video_id, bin, n_frames, n_deleted, state) from counts (video_id, bin, state, n, d) of any parts of bins."""
+    by_state = counts.groupBy("video_id", "bin", "state").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     return by_state.groupBy("video_id", "bin").agg(
         F.sum("n").alias("n_frames"), F.sum("d").alias("n_deleted"), F.max_by("state", F.struct("n", -F.col("state"))).alias("state")
     )
+
+
+def timeline_bins(frames: DataFrame, lengths: DataFrame, width: int, zoom: float = 1.0, scroll: float = 0.0) -> DataFrame:
+    """Per visible bin its frames, deleted frames and most frequent state (the smallest of equals).
+
+    Counts by state come first, so a bin's rows are at most one a state.  For many viewports of one mask see `pyramid`.
+    """
+    bin_no = bin_number(F.col("frame_idx"), F.col("total"), width, zoom, scroll)
+    seen = frames.join(lengths, "video_id").withColumn("bin", bin_no).where(F.col("bin").between(0, width - 1))
+    return shown_bins(seen.select("video_id", "bin", "state", F.lit(1).alias("n"), F.col("deleted").cast("int").alias("d")))

@@ -210,6 +210,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "cut_script": _sql(SCRIPT.format(audio="false"), upto="cuts"),
         "cut_script_audio": _sql(SCRIPT.format(audio="has_audio"), upto="cuts"),
+        "cut_script_packed": _sql(SCRIPT.format(audio="has_audio"), upto="cuts"),
         "segments": _sql("SELECT * FROM seg", upto="base", extra=_segments(False, True)),
         "segments_frames": _sql("SELECT * FROM seg", upto="base", extra=_segments(False, True)),
         "segments_split": _sql("SELECT * FROM seg", upto="base", extra=_segments(True, True)),
@@ -267,6 +268,14 @@ def oracle_sql() -> dict[str, str]:
             ) WHERE bin BETWEEN 0 AND 39 GROUP BY video_id, bin""",
             upto="del",
         ),
+        "timeline_pyramid": _sql(
+            """SELECT view, video_id, bin, CAST(sum(n) AS BIGINT) AS n_frames, CAST(sum(d) AS BIGINT) AS n_deleted, arg_max(state, n * 10 - state) AS state FROM (
+              SELECT view, w, d.video_id, CAST(floor((frame_idx::DOUBLE / total::DOUBLE - scroll) * zoom * w::DOUBLE) AS BIGINT) AS bin, state,
+                count(*) AS n, count(*) FILTER (WHERE deleted) AS d FROM del d JOIN tot t ON t.video_id = d.video_id,
+                (VALUES (0, 40, 2.0::DOUBLE, 0.25::DOUBLE), (1, 7, 1.0::DOUBLE, 0.0::DOUBLE), (2, 100, 13.7::DOUBLE, 0.61::DOUBLE)) v(view, w, zoom, scroll) GROUP BY ALL
+            ) WHERE bin BETWEEN 0 AND w - 1 GROUP BY view, video_id, bin""",
+            upto="del",
+        ),
         "audit_frames": _sql(
             """SELECT coalesce(m.video_id, g.video_id) AS video_id, coalesce(declared, 0) AS declared, coalesce(decoded, 0) AS decoded, coalesce(n_bad, 0) AS n_bad, coalesce(holes, 0) AS holes,
               coalesce(repeats, 0) AS repeats, CASE WHEN m.video_id IS NULL THEN 'unlisted' WHEN decoded IS NULL THEN 'empty' WHEN n_bad > 0 THEN 'bad_payload'

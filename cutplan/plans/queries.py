@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +15,15 @@ from cutplan.operators import edits as E
 from cutplan.operators import lookup as L
 from cutplan.operators import mask as M
 from cutplan.operators import outputs as O
+from cutplan.operators import pyramid as P
 from cutplan.operators import scoring as B
 from cutplan.operators import segments as S
 from cutplan.plans import fused
 from cutplan.plans import runs as R
 from cutplan.sources import frames as A
+from cutplan.sources import packed
 from cutplan.sources.params import resolve_params
-from cutplan.sources.work import stored
+from cutplan.sources.work import stored, work_dir
 
 FPS, STILL, MOTION, BOUNDARY, FACTOR = 30.0, 3, 100.0, 20.0, 3
 THRESHOLDS = (0.4, 0.4, 0.4, 0.4)
@@ -309,6 +311,26 @@ def _speed(p: Plan) -> DataFrame:
     return p.frames.select("video_id", "frame_idx", label.alias("speed"), step.alias("step"))
 
 
+#: Viewports (width, zoom, scroll): part of a video, all of it, and one far in.
+VIEWS = ((40, 2.0, 0.25), (7, 1.0, 0.0), (100, 13.7, 0.61))
+
+
+def _viewports(p: Plan) -> DataFrame:
+    """All viewports from one pyramid on disk."""
+    pyramid = P.write_pyramid(P.build_pyramid(p.deleted), work_dir(p.frames.sparkSession, "pyramid"))
+    lengths = stored(p.lengths, "lengths")
+    views = [P.viewport_bins(pyramid, lengths, *view).withColumn("view", F.lit(k)) for k, view in enumerate(VIEWS)]
+    return reduce(DataFrame.unionByName, views)
+
+
+def _packed_scripts(p: Plan) -> DataFrame:
+    """The cut scripts with sound, written by the packed sink and read back."""
+    spark = p.frames.sparkSession
+    folder = work_dir(spark, "scripts")
+    packed.write_scripts(O.cut_script(O.cut_list(p.ranges, F.lit(25.0)), manifest(p.lengths)), folder)
+    return packed.read_scripts(spark, folder)
+
+
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = A.events_frames(spark, sf_dir)
     listed = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("video_id"), (F.col("event_id") % 120).alias("frame_idx"))
@@ -361,6 +383,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cut_list": _events(lambda p: p.cuts),
         "cut_script": _events(lambda p: O.cut_script(p.cuts, manifest(p.lengths).withColumn("has_audio", F.lit(False)))),
         "cut_script_audio": _events(lambda p: O.cut_script(O.cut_list(p.ranges, F.lit(25.0)), manifest(p.lengths))),
+        "cut_script_packed": _events(_packed_scripts),
         "segments": _events(lambda p: _ranges_text(R.segments(p.plain))),
         "segments_split": _events(lambda p: _ranges_text(R.segments(p.plain, True, True))),
         "segments_unmerged": _events(lambda p: _ranges_text(R.segments(p.plain, False, False))),
@@ -372,6 +395,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "effective_speed": _events(_speed),
         "clock_label": _events(lambda p: p.frames.select("video_id", "frame_idx", clock_label(F.col("frame_idx") * 997, F.lit(FPS)).alias("clock"))),
         "timeline_bins": _events(lambda p: L.timeline_bins(p.deleted, p.lengths, 40, 2.0, 0.25)),
+        "timeline_pyramid": _events(_viewports),
         "audit_frames": _events(_audit),
         "number_frames": _numbered,
         "resolve_params": _events(lambda p: resolve_params(raw_params(p.frames))),
