@@ -75,10 +75,14 @@ def state_runs(frames: DataFrame, block: int = 100_000) -> DataFrame:
     Runs are formed within blocks of `block` frames first and neighbouring ones joined on the much
     smaller table of runs, so a very long video is spread over tasks.
     """
-    blocked = frames.select("video_id", "frame_idx", "state", F.floor(F.col("frame_idx") / block).alias("_block"))
+    return runs_in_blocks(frames.select("video_id", "frame_idx", "state", F.floor(F.col("frame_idx") / block).alias("_block")))
+
+
+def runs_in_blocks(rows: DataFrame) -> DataFrame:
+    """C1 of (video_id, frame_idx, state, _block), each frame in one block."""
     ranked = W.partitionBy("video_id", "_block", "state").orderBy("frame_idx")
     parts = (
-        blocked.withColumn("_group", F.col("frame_idx") - F.row_number().over(ranked))
+        rows.withColumn("_group", F.col("frame_idx") - F.row_number().over(ranked))
         .groupBy("video_id", "_block", "state", "_group")
         .agg(F.min("frame_idx").alias("s"), F.max("frame_idx").alias("e"))
     )

@@ -154,6 +154,12 @@ def oracle_sql() -> dict[str, str]:
         "clip_segments": _sql("SELECT * FROM clips", upto="clips"),
         "frame_diff": _sql("SELECT video_id, frame_idx, CAST(diff AS DOUBLE) AS diff FROM fr", upto="fr"),
         "boundary_modes": _sql("SELECT * FROM modes", upto="modes"),
+        "stored_pauses": _sql(
+            """SELECT b.video_id, b.pause_id, b.start_frame, b.end_frame, b.boundary_diff, count(*) FILTER (WHERE a.active) AS n_active
+            FROM bounds b JOIN act a ON a.video_id = b.video_id AND a.start_frame = b.start_frame
+            GROUP BY b.video_id, b.pause_id, b.start_frame, b.end_frame, b.boundary_diff""",
+            upto="act",
+        ),
         "pause_activity": _sql("SELECT video_id, frame_idx, k, n, active FROM act", upto="act"),
         "pause_mask": _sql("SELECT * FROM mask", upto="mask"),
         "pause_deletes": _sql("SELECT * FROM e1", upto="e1"),

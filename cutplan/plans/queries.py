@@ -21,7 +21,7 @@ from cutplan.operators import segments as S
 from cutplan.plans import fused
 from cutplan.plans import runs as R
 from cutplan.sources import frames as A
-from cutplan.sources import packed
+from cutplan.sources import packed, store
 from cutplan.sources.params import resolve_params
 from cutplan.sources.work import stored, work_dir
 
@@ -331,6 +331,12 @@ def _packed_scripts(p: Plan) -> DataFrame:
     return packed.read_scripts(spark, folder)
 
 
+def _stored_pauses(p: Plan) -> DataFrame:
+    """The frames without their differences, written to a store; the pauses from its blocks."""
+    kept = store.write_store(p.frames.drop("diff"), work_dir(p.frames.sparkSession, "frame-store"))
+    return R.pause_report(R.placed_runs(kept.frame_runs(MOTION)))
+
+
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = A.events_frames(spark, sf_dir)
     listed = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("video_id"), (F.col("event_id") % 120).alias("frame_idx"))
@@ -365,6 +371,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "frame_diff": _events(lambda p: B.frame_diff(p.frames.drop("diff")).select("video_id", "frame_idx", F.col("diff").cast("double").alias("diff"))),
         "boundary_modes": _events(lambda p: p.pauses),
         "pause_activity": _events(lambda p: M.pause_activity(p.frames, MOTION).select("video_id", "frame_idx", "k", "n", "active")),
+        "stored_pauses": _events(_stored_pauses),
         "pause_mask": _events(lambda p: p.mask.withColumn("m", F.col("m").cast("int"))),
         "pause_deletes": _events(lambda p: D.pause_deletes(p.frames, p.pauses, p.mask)),
         "clip_deletes": _events(lambda p: D.clip_deletes(p.frames, p.trimmed)),

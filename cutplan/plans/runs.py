@@ -28,11 +28,17 @@ def frame_runs(frames: DataFrame, motion_thresh: float | Column, block: int = BL
     """
     limit = value(motion_thresh, "float")
     rows = frames.select("video_id", "frame_idx", "state", F.col("diff").cast("float").alias("diff"), "gray", limit.alias("_limit"), *keep)
+    return runs_of_blocks(blocked(rows, block), F.col("_limit"), keep)
+
+
+def runs_of_blocks(dealt: DataFrame, motion_thresh: float | Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`frame_runs` of rows that are dealt to blocks already, with `_block` and `_own` as `blocked` adds them."""
+    limit, diff = value(motion_thresh, "float"), F.col("diff").cast("float")
     along = W.partitionBy("video_id", "_block").orderBy("frame_idx")
     paused, was, will = F.col("state") == PAUSE, F.lag("state").over(along) == PAUSE, F.lead("state").over(along) == PAUSE
-    own = was & (F.col("diff") > F.col("_limit"))
-    ahead = will & (F.lead("diff").over(along) > F.col("_limit"))
-    marked = blocked(rows, block).select(
+    own = was & (diff > limit)
+    ahead = will & (F.lead(diff).over(along) > limit)
+    marked = dealt.select(
         "video_id",
         "_block",
         "_own",
@@ -78,6 +84,13 @@ def pauses(placed: DataFrame) -> DataFrame:
     )
 
 
+def pause_report(placed: DataFrame) -> DataFrame:
+    """One row a pause: its ends, how many of its frames are active, the difference of the pixels beside it."""
+    active = F.sum(F.when(F.col("active"), F.col("e") - F.col("s") + 1).otherwise(0))
+    ends = [F.col("first").alias("start_frame"), F.col("last").alias("end_frame")]
+    return placed.where(F.col("state") == PAUSE).groupBy("video_id", "pause_id", *ends, "boundary_diff").agg(active.alias("n_active"))
+
+
 def clips(placed: DataFrame) -> DataFrame:
     here = placed.where((F.col("state") != PAUSE) & (F.col("s") == F.col("first")))
     return here.select(
