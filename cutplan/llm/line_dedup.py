@@ -140,10 +140,12 @@ def dedup_lines(
     hashed_lines(docs, doc_id, text, min_chars).withColumn("batch", number).write.partitionBy("batch").parquet(f"{folder}/lines")
     lines = spark.read.schema("d long, tag long, pos int, h1 long, h2 long, batch int").parquet(f"{folder}/lines")
     runs = LineRuns(spark, folder, fanout)
-    for k in range(len(bounds) + 1):
-        runs.add(lines.where(F.col("batch") == k))
-    frequent = saved(runs.frequent(min_docs), f"{folder}/frequent")
-    runs.forget()
+    try:
+        for k in range(len(bounds) + 1):
+            runs.add(lines.where(F.col("batch") == k))
+        frequent = saved(runs.frequent(min_docs), f"{folder}/frequent")
+    finally:
+        runs.forget()
     gone = lines.join(frequent, ["h1", "h2"]).where(F.col("owner") > F.col("d"))
     gone = gone.groupBy("d", "tag").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
 

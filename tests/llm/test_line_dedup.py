@@ -75,3 +75,14 @@ def test_runs_share_no_hash_and_are_not_exchanged_again(spark, tmp_path):
     plan = held[0].join(held[1].hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan
     runs.forget()
+
+
+def test_a_failed_run_leaves_no_table_in_the_catalog(spark, monkeypatch):
+    def fails(self, min_docs):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(D.LineRuns, "frequent", fails)
+    docs = spark.createDataFrame([(1, "a" * 50), (2, "a" * 50)], "doc_id long, text string")
+    with pytest.raises(RuntimeError, match="lost"):
+        D.dedup_lines(docs)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs_")]
