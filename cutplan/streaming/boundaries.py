@@ -6,8 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,18 +14,17 @@ from cutplan.functions.frames import PAUSE
 from cutplan.operators.context import RECORDS, VERSION
 
 OUT = "kind string, video_id long, start_frame long, end_frame long, before_index long, after_index long, diff double"
-COLUMNS = [f.split(" ")[0] for f in OUT.split(", ")]
-STATE = "next_idx long, prev array<double>, open_start long, before array<double>, ended boolean"
+RECORD = Row(*[f.split(" ")[0] for f in OUT.split(", ")])
+STATE = "next_idx long, prev array<double>, open_start long, before array<double>, ended boolean, early int"
 HELD = "frame_idx long, state int, gray array<double>, is_last boolean"
-HELD_COLUMNS = [f.split(" ")[0] for f in HELD.split(", ")]
 
+Frame = tuple[int, int, list[float] | None, bool]
 
-def _mean_abs(a: np.ndarray | None, b: np.ndarray) -> float | None:
-    return float(np.abs(np.subtract(a, b, dtype=np.float64)).mean()) if a is not None and len(a) and len(a) == len(b) else None
 
-
-def _plain(gray: np.ndarray | None) -> list[float] | None:
-    return None if gray is None else np.asarray(gray, np.float64).tolist()
+def _mean_abs(a: list[float] | None, b: list[float] | None) -> float | None:
+    if not a or not b or len(a) != len(b) or None in a or None in b:
+        return None
+    return float(np.abs(np.subtract(a, b, dtype=np.float64)).mean())
 
 
 @dataclass
@@ -35,18 +33,18 @@ class Video:
 
     video_id: int
     next_idx: int = 0
-    prev: np.ndarray | None = None
+    prev: list[float] | None = None
     start: int | None = None
-    before: np.ndarray | None = None
+    before: list[float] | None = None
     ended: bool = False
-    out: list[tuple] = field(default_factory=list)
+    out: list[Row] = field(default_factory=list)
 
     def _emit(self, kind: str, start: int, end: int, before: int | None = None, after: int | None = None, diff: float | None = None) -> None:
-        self.out.append((kind, self.video_id, start, end, before, after, diff))
+        self.out.append(RECORD(kind, self.video_id, start, end, before, after, diff))
 
-    def _close(self, end: int, after: int, gray: np.ndarray | None) -> None:
+    def _close(self, end: int, after: int, gray: list[float] | None) -> None:
         """The open pause ends at `end`; where its difference can't be told, its frames have no record."""
-        diff = None if gray is None else _mean_abs(self.before, gray)
+        diff = _mean_abs(self.before, gray)
         self._emit("skipped" if diff is None else "pause", self.start, end, max(0, self.start - 1), after, diff)
         self.start = self.before = None
 
@@ -56,17 +54,16 @@ class Video:
             self._emit("lost", self.next_idx, until - 1)
             self.next_idx = until
 
-    def take(self, rows: pd.DataFrame) -> None:
-        """The next frames in order; pixels are looked at only where a pause opens or closes."""
-        idx, gray = rows["frame_idx"].to_numpy(np.int64), rows["gray"]
-        paused = rows["state"].to_numpy(np.int64) == PAUSE
-        for k in np.flatnonzero(paused != np.concatenate([[self.start is not None], paused[:-1]])).tolist():
-            if paused[k]:
-                self.start = int(idx[k])
-                self.before = gray.iloc[k - 1] if k else (gray.iloc[k] if self.prev is None else self.prev)
-            else:
-                self._close(int(idx[k]) - 1, int(idx[k]), gray.iloc[k])
-        self.prev, self.next_idx = gray.iloc[-1], int(idx[-1]) + 1
+    def take(self, frame: Frame) -> None:
+        """The next frame; pixels are looked at only where a pause opens or closes."""
+        idx, state, gray, last = frame
+        if state == PAUSE and self.start is None:
+            self.start, self.before = idx, gray if self.prev is None else self.prev
+        elif state != PAUSE and self.start is not None:
+            self._close(idx - 1, idx, gray)
+        self.prev, self.next_idx = gray, idx + 1
+        if last:
+            self.finish()
 
     def finish(self) -> None:
         """No frame follows: an open pause ends with the last one."""
@@ -75,32 +72,26 @@ class Video:
         self._emit("end", 0, self.next_idx - 1)
         self.ended = True
 
-    def advance(self, waiting: pd.DataFrame, max_held: int) -> pd.DataFrame:
+    def advance(self, waiting: list[Frame], max_held: int) -> list[Frame]:
         """Takes what is in order; frames that are missing before more than `max_held` others are lost.  Gives what still waits."""
-        waiting = waiting.drop_duplicates("frame_idx").sort_values("frame_idx", ignore_index=True)
-        waiting = waiting[waiting["frame_idx"] >= self.next_idx].reset_index(drop=True)
-        while len(waiting) and not self.ended:
-            idx = waiting["frame_idx"].to_numpy(np.int64)
-            ready = int((idx == self.next_idx + np.arange(len(idx))).sum())
-            if not ready:
-                if len(idx) <= max_held:
-                    return waiting
-                self.lose(int(idx[0]))
+        first = {f[0]: f for f in reversed(waiting) if f[0] >= self.next_idx}
+        waiting = [first[i] for i in sorted(first)]
+        for k, frame in enumerate(waiting):
+            if self.ended:
+                self._emit("late", frame[0], frame[0])
                 continue
-            marked = np.flatnonzero(waiting["is_last"].to_numpy(bool)[:ready])
-            ready = int(marked[0]) + 1 if len(marked) else ready
-            self.take(waiting.iloc[:ready])
-            if len(marked):
-                self.finish()
-            waiting = waiting.iloc[ready:].reset_index(drop=True)
-        for i in waiting["frame_idx"].to_numpy(np.int64).tolist():
-            self._emit("late", i, i)
-        return waiting.iloc[:0]
+            if frame[0] != self.next_idx:
+                if len(waiting) - k <= max_held:
+                    return waiting[k:]
+                self.lose(frame[0])
+            self.take(frame)
+        return []
 
 
 class BoundaryTracker(StatefulProcessor):
     """State of a video: a `Video`, and frames that came early, which are held.  A frame below the next one is a repeat and
     dropped.  Once more than `max_held` wait, the frames before the first of them count as lost and it goes on there.
+    `early` is their number, so that their list is read and written only for a video that has some.
 
     With `idle_ms` a timer runs for each video, set anew by every frame: when it expires, the video has ended as if its
     last frame had been marked, frames still missing before held ones are lost, and later frames are late.  An ended
@@ -114,37 +105,38 @@ class BoundaryTracker(StatefulProcessor):
         self.place = handle.getValueState("place", STATE, self.keep_ms)
         self.held = handle.getListState("held", HELD, self.keep_ms)
 
-    def _read(self, key: tuple) -> tuple[Video, pd.DataFrame]:
-        video = Video(int(key[0]), *self.place.get()) if self.place.exists() else Video(int(key[0]))
-        return video, pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=HELD_COLUMNS)
-
-    def _write(self, video: Video, waiting: pd.DataFrame) -> pd.DataFrame:
-        self.place.update((video.next_idx, _plain(video.prev), video.start, _plain(video.before), video.ended))
-        if len(waiting):
-            self.held.put([(int(i), int(s), _plain(g), bool(last)) for i, s, g, last in waiting[HELD_COLUMNS].itertuples(index=False)])
-        elif self.held.exists():
+    def _read(self, key: tuple) -> tuple[Video, list[Frame]]:
+        place = self.place.get()
+        if place is None:
+            return Video(key[0]), []
+        *rest, early = place
+        return Video(key[0], *rest), [tuple(f) for f in self.held.get()] if early else []
+
+    def _write(self, video: Video, early: int, waiting: list[Frame]) -> Iterator[Row]:
+        self.place.update((video.next_idx, video.prev, video.start, video.before, video.ended, len(waiting)))
+        if waiting:
+            self.held.put(waiting)
+        elif early:
             self.held.clear()
-        return pd.DataFrame(video.out, columns=COLUMNS).astype({"before_index": "Int64", "after_index": "Int64", "diff": "float64"})
+        return iter(video.out)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
         video, early = self._read(key)
-        parts = [x for x in (early, *(part[HELD_COLUMNS] for part in rows)) if len(x)]
-        waiting = video.advance(pd.concat(parts), self.max_held) if parts else early
+        waiting = video.advance([*early, *((r.frame_idx, r.state, r.gray, r.is_last) for r in rows)], self.max_held)
         if self.idle_ms is not None:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
             if not video.ended:
-                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self._write(video, waiting)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        return self._write(video, len(early), waiting)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
         video, waiting = self._read(key)
         if not video.ended:
-            if len(waiting):
-                video.advance(waiting, 0)
+            video.advance(waiting, 0)
             if not video.ended:
                 video.finish()
-        yield self._write(video, waiting.iloc[:0])
+        return self._write(video, len(waiting), [])
 
     def close(self) -> None:
         pass
@@ -169,7 +161,7 @@ def track(stream: DataFrame, max_held: int = 1000, idle_ms: int | None = None, k
         raise ValueError("keep_ms needs idle_ms")
     rows = stream.selectExpr("video_id", "frame_idx", "state", "CAST(gray AS ARRAY<DOUBLE>) AS gray", "coalesce(is_last, false) AS is_last")
     mode = "None" if idle_ms is None else "ProcessingTime"
-    return rows.groupBy("video_id").transformWithStateInPandas(BoundaryTracker(max_held, idle_ms, keep_ms), outputStructType=OUT, outputMode="Append", timeMode=mode)
+    return rows.groupBy("video_id").transformWithState(BoundaryTracker(max_held, idle_ms, keep_ms), outputStructType=OUT, outputMode="Append", timeMode=mode)
 
 
 def track_boundaries(stream: DataFrame, max_held: int = 1000, idle_ms: int | None = None, keep_ms: int | None = None) -> DataFrame:

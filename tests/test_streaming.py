@@ -88,3 +88,11 @@ def test_limits_are_checked(spark, tmp_path):
         boundaries.track(stream, idle_ms=100, keep_ms=100)
     with pytest.raises(ValueError, match="idle_ms"):
         boundaries.track(stream, keep_ms=100)
+
+
+def test_no_frame_of_a_long_video_is_held_or_lost(spark):
+    part = rows(1, [i // 7 % 2 for i in range(200)]) + rows(2, [1] * 3)
+    frames = spark.createDataFrame(part, DDL).drop("is_last")
+    records = files.records_of_table(frames, max_held=0).collect()
+    assert {r.kind for r in records} == {"pause", "end"}
+    assert sorted((r.start_frame, r.end_frame) for r in records if r.kind == "pause" and r.video_id == 1) == [(i, min(199, i + 6)) for i in range(7, 200, 14)]
