@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cutplan.llm import quality as Q
 
@@ -121,3 +122,56 @@ def test_sample_is_bounded_when_an_id_repeats_in_both_tables(spark, monkeypatch)
     once = Q.learn(*plain, fold=None)
     again = Q.learn(plain[0].unionByName(plain[0]), plain[1].unionByName(plain[1]), fold=None)
     assert np.array_equal(once.weights, again.weights) and once.threshold == again.threshold and model is not None
+
+
+def test_every_labelled_document_counts_in_model_and_threshold(spark):
+    docs, labels = corpus(6500)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = Q.learn(d, lab, fold=None, pairs=1, ridge=1e-2)
+    x, y = Q.features([t.encode() for _, t in docs]).astype(np.float64), np.array([q for _, q, _ in labels])
+    # mean and spread are those of all documents, and a change of any one of them changes the model
+    assert np.allclose(model.mean, x.mean(0), atol=1e-6) and np.allclose(model.scale, x.std(0) + 1e-3, atol=1e-4)
+    other = Q.learn(d.withColumn("text", F.expr("CASE WHEN doc_id = 6017 THEN 'Something else.' ELSE text END")), lab, fold=None, pairs=1, ridge=1e-2)
+    assert not np.array_equal(model.weights, other.weights)
+    raw = np.sort(model.raw(x))
+    at = int((y == 0).sum()) - 1
+    assert abs(model.threshold - (raw[at - 1] + raw[at + 1]) / 2) < 1e-6
+
+
+def test_pairs_hold_every_document_and_slopes_are_those_of_plain_sums(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = {1: 70, 0: 9}
+    x = {y: rng.normal(0, 1, (k, Q.WIDTH)).astype(np.float32) for y, k in n.items()}
+    rows = spark.createDataFrame([(y, r, x[y][r].tobytes()) for y in n for r in range(n[y])], "y int, r long, x binary")
+    model = Q.Ranking(np.zeros(Q.WIDTH), np.ones(Q.WIDTH), np.zeros(Q.WIDTH), 0.0)
+    monkeypatch.setattr(Q, "BLOCK", 16)
+    made = {}
+    for few in (0, 100):
+        monkeypatch.setattr(Q, "FEW", few)
+        df, total = Q.paired(rows, n, model, 200)
+        made[few] = Q.saved(df, Q.work_dir(spark, "pairs"))
+        assert total == made[few].count() == 210
+    assert sorted(map(tuple, made[0].collect())) == sorted(map(tuple, made[100].collect()))
+    want = np.array([x[1][q // 3] - x[0][q % 9] for q in range(210)], np.float64)
+    assert len({(q // 3, q % 9) for q in range(210)}) == 210 and {q % 9 for q in range(210)} == set(range(9))
+    w = rng.normal(0, 0.1, Q.WIDTH)
+    gradient, curvature = Q.slope(made[0], w, 210)
+    p = 1 / (1 + np.exp(want @ w))
+    assert np.allclose(gradient, -want.T @ p / 210, atol=1e-5) and np.allclose(curvature, (want * (p * (1 - p))[:, None]).T @ want / 210, atol=1e-5)
+
+
+def test_quantile_equals_that_of_sorted_values(spark):
+    rng = random.Random(4)
+    for good, bad, share in ((30, 10, (1, 4)), (5, 40, (9, 10)), (50, 50, (1, 3)), (1, 1, (1, 2))):
+        part = [(1, float(rng.randrange(20))) for _ in range(good)] + [(0, float(rng.randrange(12))) for _ in range(bad)]
+        weight = {1: (share[1] - share[0]) * bad, 0: share[0] * good}
+        part.sort(key=lambda r: (r[1], r[0]))
+        total, at = 0, 0
+        for at, (y, _) in enumerate(part):  # noqa: B007
+            total += weight[y]
+            if total >= share[0] * good * bad:
+                break
+        nearby = [v for _, v in part[max(0, at - 1) : at + 2]]
+        found = Q.quantile(spark.createDataFrame(part, "y int, raw double"), {1: good, 0: bad}, share)
+        assert found == (min(nearby) + max(nearby)) / 2
