@@ -96,3 +96,9 @@ def test_no_frame_of_a_long_video_is_held_or_lost(spark):
     records = files.records_of_table(frames, max_held=0).collect()
     assert {r.kind for r in records} == {"pause", "end"}
     assert sorted((r.start_frame, r.end_frame) for r in records if r.kind == "pause" and r.video_id == 1) == [(i, min(199, i + 6)) for i in range(7, 200, 14)]
+
+
+def test_contexts_of_long_videos_are_complete(spark):
+    frames = spark.createDataFrame(rows(1, [i // 7 % 2 for i in range(200)]), DDL).drop("is_last")
+    made = boundaries.context_of_records(files.records_of_table(frames, max_held=5)).first()
+    assert made.complete and made.frame_count == made.decoded_frame_count == 200 and len(made.pause_boundary_diffs) == 14
