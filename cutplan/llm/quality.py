@@ -48,7 +48,7 @@ VALUE_UNIT, BLOCK_UNIT, BLOCK = 2.0**28, 2.0**24, 1024
 #: A vector of sums is added up in this many parts.
 SLOTS = 8
 #: The smaller class is broadcast up to this many documents, about a kilobyte each.
-FEW = 10_000
+FEW = 1000
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -275,18 +275,21 @@ def learn(
         share = F.when(F.col("y") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
         place = F.xxhash64(F.lit("sample"), "id")
         usable = F.broadcast(usable.where(F.pmod(place, F.lit(1 << 20)) < share * (1 << 20)).orderBy(place, "id", "y").limit(2 * sample))
-    rows = rows.join(usable, "id").select("y", "id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
+        rows = rows.join(usable.select("id").distinct(), "id", "left_semi")
+    rows = rows.where("id IS NOT NULL").select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = K.as_bytes(batch.column(3))
+            texts = K.as_bytes(batch.column(2))
             for lo, hi in K.blocks(texts):
                 found = [x.tobytes() for x in features(texts[lo:hi])]
-                held = [batch.column(i).slice(lo, hi - lo) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*held, pa.array(found, pa.binary())], names=["y", "id", "t", "x"])
+                held = [batch.column(i).slice(lo, hi - lo) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(found, pa.binary())], names=["id", "t", "x"])
 
+    # features meet the labels, not texts: they are much smaller once packed
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"y int, id {kind}, t bigint, x binary").groupBy("y", "id", "t").agg(F.first("x").alias("x"))
+    made = rows.mapInArrow(run, f"id {kind}, t bigint, x binary").join(usable, "id")
+    found = made.groupBy("y", "id", "t").agg(F.first("x").alias("x"))
     if sample is None:
         folder = work_dir(docs.sparkSession, "quality")
         return fit(saved(found, f"{folder}/features", clear=True), sizes, pairs, ridge, folder)
