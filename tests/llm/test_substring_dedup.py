@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -120,3 +121,16 @@ def test_null_and_repeated_ids_with_equal_texts(spark):
     got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=20, gram=8).collect()
     want = [(-1 if i is None else i, *w) for (i, _), w in zip(rows, brute([t for _, t in rows], 20), strict=True)]
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(want)
+
+
+def test_query_goes_by_400_bytes_not_by_words(spark):
+    rng = random.Random(16)
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    passage = lambda n: " ".join(text(6, "stuvw") for _ in range(60))[:n]
+    shared = [passage(399), passage(400), "é" * 199 + "x", "ü" * 200]
+    assert all(len(p.split()) > 50 for p in shared[:2]) and [len(p.encode()) for p in shared] == [399, 400, 399, 400]
+    texts = [text(300, letters) + p + text(300, letters) for p in shared for letters in ("abc", "def")]
+    got = S.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = [(i, n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, (n, gone, spans, kept) in enumerate(brute(texts, 400))]
+    assert sorted(map(tuple, got)) == want
+    assert [w[2] for w in want] == [0, 0, 400, 400, 0, 0, 400, 400]
